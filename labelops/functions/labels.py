@@ -1,63 +1,69 @@
-"""Expressions over label arrays: encoding, decoding and the hierarchy."""
+"""Expressions over label arrays: encoding, decoding and the hierarchy.
+
+An array of labels is given as a SQL expression, usually just its column
+name. The expressions are generated from the vocabulary as SQL text, which
+Spark parses in one go.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelops.vocab import LABELS, NODES, closure_mask, node_bit
+from labelops.vocab import LABELS, NODES, closure, closure_mask, sql_array, sql_string
 
 
-def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _has(labels: str, name: str) -> str:
+    return f"array_contains({labels}, {sql_string(name)})"
 
 
-def one_hot(labels: Column | str, vocabulary: Sequence[str] = LABELS) -> list[Column]:
-    """One 0/1 column per vocabulary entry."""
-    return [F.array_contains(_column(labels), v).cast("int").alias(v) for v in vocabulary]
+def one_hot(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> list[str]:
+    """One 0/1 column per vocabulary entry, as SQL for ``selectExpr``."""
+    return [f"cast({_has(labels, v)} as int) as `{v}`" for v in vocabulary]
 
 
-def indicator(labels: Column | str, vocabulary: Sequence[str] = LABELS) -> Column:
+def indicator(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
     """0/1 array in vocabulary order."""
-    return F.array(*one_hot(labels, vocabulary))
+    return F.expr("array(" + ", ".join(f"cast({_has(labels, v)} as int)" for v in vocabulary) + ")")
 
 
-def decode(flags: Sequence[Column], vocabulary: Sequence[str] = LABELS) -> Column:
-    """Label array, in vocabulary order, from one 0/1 flag per entry."""
-    return F.array_compact(
-        F.array(*[F.when(flag == 1, F.lit(v)) for flag, v in zip(flags, vocabulary)])
-    )
+def decode(conditions: Sequence[str], vocabulary: Sequence[str] = LABELS) -> Column:
+    """Label array, in vocabulary order, of the entries whose condition holds."""
+    cells = [f"if({c}, {sql_string(v)}, null)" for c, v in zip(conditions, vocabulary)]
+    return F.expr("array_compact(array(" + ", ".join(cells) + "))")
 
 
-def decode_array(flags: Column | str, vocabulary: Sequence[str] = LABELS) -> Column:
+def decode_array(flags: str, vocabulary: Sequence[str] = LABELS) -> Column:
     """Label array from a 0/1 array in vocabulary order."""
-    flags = _column(flags)
-    return decode([flags[i] for i in range(len(vocabulary))], vocabulary)
+    return decode([f"{flags}[{i}] = 1" for i in range(len(vocabulary))], vocabulary)
 
 
 def joined(labels: Column | str) -> Column:
     """Sorted labels as one string, for reports and comparisons."""
-    return F.array_join(F.sort_array(_column(labels)), "|")
+    return F.array_join(F.sort_array(labels), "|")
+
+
+def label_counts(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
+    """Aggregate: the rows that hold each label, as an array in vocabulary order.
+
+    A fixed number of counters, so it combines before the shuffle whatever
+    the sizes of the groups.
+    """
+    return F.expr("array(" + ", ".join(f"count_if({_has(labels, v)})" for v in vocabulary) + ")")
 
 
-def _bit_set(labels: Column | str, bits: dict[str, int]) -> Column:
-    labels = _column(labels)
-    flags = [
-        F.when(F.array_contains(labels, name), F.lit(mask)).otherwise(F.lit(0)).cast("long")
-        for name, mask in bits.items()
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), flags)
+def _bit_set(labels: str, bits: dict[str, int]) -> Column:
+    return F.expr(" | ".join(f"if({_has(labels, name)}, {mask}L, 0L)" for name, mask in bits.items()))
 
 
-def label_bits(labels: Column | str, vocabulary: Sequence[str] = LABELS) -> Column:
+def label_bits(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
     """The set of labels as bits of a BIGINT (up to 63 entries)."""
     return _bit_set(labels, {v: 1 << i for i, v in enumerate(vocabulary)})
 
 
-def node_bits(labels: Column | str) -> Column:
+def node_bits(labels: str = "labels") -> Column:
     """Labels and all their ancestors as bits of a BIGINT.
 
     Set size is then ``bit_count`` and intersection ``&``: no shuffle, no
@@ -66,16 +72,12 @@ def node_bits(labels: Column | str) -> Column:
     return _bit_set(labels, {n: closure_mask(n) for n in NODES})
 
 
-def with_ancestors(labels: Column | str) -> Column:
+def with_ancestors(labels: str = "labels") -> Column:
     """Labels and all their ancestors as a sorted array."""
-    bits = node_bits(labels)
-    return F.array_compact(
-        F.array(
-            *[F.when(bits.bitwiseAND(F.lit(node_bit(n))) != 0, F.lit(n)) for n in NODES]
-        )
-    )
+    cells = [f"if({_has(labels, n)}, {sql_array(sorted(closure(n)))}, null)" for n in NODES]
+    return F.sort_array(F.expr("array_distinct(flatten(array_compact(array(" + ", ".join(cells) + "))))"))
 
 
-def unknown_labels(labels: Column | str, known: Sequence[str] = NODES) -> Column:
+def unknown_labels(labels: str = "labels", known: Sequence[str] = NODES) -> Column:
     """Entries of the array that are no known label."""
-    return F.array_except(_column(labels), F.array(*[F.lit(k) for k in known]))
+    return F.expr(f"array_except({labels}, {sql_array(known)})")

@@ -38,7 +38,7 @@ def grid_positions() -> Column:
 
 
 def grid_index(score: Column | str) -> Column:
-    """Last grid position whose cut the score reaches, -1 if there is none.
+    """Last grid position whose cut the score reaches, -1 if there is none, NULL for NULL.
 
     The estimate by division may be off by one, so it is corrected by
     comparing with the very doubles of the grid.
@@ -47,7 +47,7 @@ def grid_index(score: Column | str) -> Column:
     guess = F.least(F.greatest(F.floor(score * GRID_SIZE), F.lit(0)), F.lit(GRID_SIZE - 1)).cast("int")
     above = (guess < GRID_SIZE - 1) & (score >= grid_value(guess + 1))
     below = score < grid_value(guess)
-    return F.when(above, guess + 1).when(below, guess - 1).otherwise(guess)
+    return F.when(score.isNull(), None).when(above, guess + 1).when(below, guess - 1).otherwise(guess)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -9,10 +9,11 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelops.functions import labels as L
 from labelops.operators.ranges import global_rank
 from labelops.operators.stats import label_support
 from labelops.session import materialise
-from labelops.vocab import LABELS
+from labelops.vocab import LABELS, label_at, sql_string
 
 # Sampling keys are the leading 12 hexadecimal digits of an MD5 sum.
 KEY_SPACE = 16**12
@@ -77,29 +78,32 @@ def synthetic_rows(draws: DataFrame, vocabulary: Sequence[str] = LABELS) -> Data
     ``draws`` holds (pos, draw, processed_text). Ids are built from label and
     draw, so they are unique by construction.
     """
-    names = F.array(*[F.lit(v) for v in vocabulary])
     return draws.select(
         F.concat_ws("-", F.lit("aug"), F.col("pos"), F.col("draw")).alias("id"),
         F.lit("dummy").alias("text"),
         F.lit("dummy").alias("link"),
-        F.array(F.element_at(names, F.col("pos") + 1)).alias("labels"),
+        F.array(label_at("pos", vocabulary)).alias("labels"),
         "processed_text",
     )
 
 
+def _by_position(numbers: Sequence[int]) -> Column:
+    """The number that belongs to the label position of a row."""
+    return F.expr("element_at(array(" + ", ".join(f"{n}L" for n in numbers) + "), pos + 1)")
+
+
 def _candidates(df: DataFrame, n: int, seed: int, support: Mapping[int, int], vocabulary: Sequence[str]) -> DataFrame:
     """For each label the n rows with the lowest sampling keys (or all it has).
 
     No step of the balancing ever needs another row, so this is the only pass
     over the data. Columns: pos, rank and the row itself.
     """
-    positions = F.array_compact(
-        F.array(*[F.when(F.array_contains("labels", v), F.lit(i)) for i, v in enumerate(vocabulary)])
-    )
+    held = ", ".join(f"if(array_contains(labels, {sql_string(v)}), {i}, null)" for i, v in enumerate(vocabulary))
+    positions = F.expr(f"array_compact(array({held}))")
     exploded = df.withColumn("pos", F.explode(positions)).withColumn("key", sampling_key(seed, "pos", "id"))
 
     def lowest(cuts: Mapping[int, int]) -> DataFrame:
-        cut = F.element_at(F.array(*[F.lit(cuts[i]) for i in range(len(vocabulary))]), F.col("pos") + 1)
+        cut = _by_position([cuts[i] for i in range(len(vocabulary))])
         near = exploded.filter(F.col("key") < cut)
         ranked = global_rank(near, [F.col("key"), F.col("id")], groups=["pos"])
         return materialise(ranked.filter(F.col("rank") <= n).drop("key"))
@@ -145,7 +149,7 @@ def balance(
         take[pos] = min(missing, support[pos])
         added = (
             candidates.filter((F.col("pos") == pos) & (F.col("rank") <= take[pos]))
-            .agg(F.array(*[F.count_if(F.array_contains("labels", v)) for v in vocabulary]).alias("added"))
+            .agg(L.label_counts("labels", vocabulary).alias("added"))
             .first()["added"]
         )
         counts = [c + a for c, a in zip(counts, added)]
@@ -153,7 +157,7 @@ def balance(
             make[pos] = n - counts[pos]
             counts[pos] = n
 
-    quota = F.element_at(F.array(*[F.lit(take.get(p, 0)) for p in range(size)]), F.col("pos") + 1)
+    quota = _by_position([take.get(p, 0) for p in range(size)])
     originals = candidates.filter(F.col("rank") <= quota).select(*columns)
     if not make:
         return originals

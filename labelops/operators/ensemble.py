@@ -20,27 +20,19 @@ def label_votes(
     it; a key without any label keeps a row of zeros. A label outside the
     vocabulary is an error and not dropped.
     """
-    labels = F.col("labels")
-    strange = L.unknown_labels(labels, vocabulary)
-    checked = F.when(
-        F.size(strange) > 0,
-        F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.array_join(strange, ", "))).cast(
-            "array<string>"
-        ),
-    ).otherwise(labels)
-    counters = [F.count_if(F.array_contains("labels", v)) for v in vocabulary]
+    strange = L.unknown_labels("labels", vocabulary)
+    error = F.concat(F.lit("label outside the vocabulary: "), F.array_join(strange, ", "))
+    checked = F.when(F.size(strange) > 0, F.raise_error(error).cast("array<string>")).otherwise(F.col("labels"))
     return (
         predictions.select(*keys, checked.alias("labels"))
         .groupBy(*keys)
-        .agg(F.array(*counters).alias("votes"))
+        .agg(L.label_counts("labels", vocabulary).alias("votes"))
     )
 
 
-def labels_with_votes(at_least: Column | float, vocabulary: Sequence[str] = LABELS) -> Column:
+def labels_with_votes(at_least: float, vocabulary: Sequence[str] = LABELS) -> Column:
     """Labels whose votes reach a number."""
-    needed = at_least if isinstance(at_least, Column) else F.lit(at_least)
-    votes = F.col("votes")
-    return L.decode([(votes[i] >= needed).cast("int") for i in range(len(vocabulary))], vocabulary)
+    return L.decode([f"votes[{i}] >= {float(at_least)!r}D" for i in range(len(vocabulary))], vocabulary)
 
 
 def ensemble_by_union(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
-from labelops.vocab import LABELS, label_at
+from labelops.functions.text import clean_text
+from labelops.vocab import LABELS, label_at, sql_string
 
 
 def quoted(name: str) -> Column:
@@ -18,19 +19,19 @@ def quoted(name: str) -> Column:
 
 def one_hot_encode(df: DataFrame, labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> DataFrame:
     """Replace the label array by one 0/1 column per vocabulary entry."""
-    rest = [quoted(c) for c in df.columns if c != labels]
-    return df.select(*rest, *L.one_hot(labels, vocabulary))
+    rest = [f"`{c}`" for c in df.columns if c != labels]
+    return df.selectExpr(*rest, *L.one_hot(labels, vocabulary))
 
 
 def decode_wide(df: DataFrame, vocabulary: Sequence[str] = LABELS, name: str = "labels") -> DataFrame:
     """Replace the 0/1 columns by one label array in vocabulary order."""
     rest = [quoted(c) for c in df.columns if c not in vocabulary]
-    return df.select(*rest, L.decode([quoted(v) for v in vocabulary], vocabulary).alias(name))
+    return df.select(*rest, L.decode([f"`{v}` = 1" for v in vocabulary], vocabulary).alias(name))
 
 
 def label_vector(vocabulary: Sequence[str] = LABELS) -> Column:
     """0/1 columns packed into ARRAY<FLOAT>."""
-    return F.array(*[quoted(v) for v in vocabulary]).cast("array<float>")
+    return F.expr("array(" + ", ".join(f"`{v}`" for v in vocabulary) + ")").cast("array<float>")
 
 
 def select_labels(df: DataFrame, vocabulary: Sequence[str] = LABELS) -> DataFrame:
@@ -83,6 +84,17 @@ def cast_like(df: DataFrame, model: DataFrame) -> DataFrame:
     return df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in model.schema])
 
 
+def with_clean_text(
+    df: DataFrame, text: str = "text", name: str = "processed_text", keep_punctuation: bool = False
+) -> DataFrame:
+    """Add the cleaned text, computed once per row.
+
+    The one-element array keeps a later filter on the result from being pushed
+    below the projection, which would run the whole chain of patterns twice.
+    """
+    return df.withColumn(name, F.explode(F.array(clean_text(text, keep_punctuation))))
+
+
 def drop_empty_text(df: DataFrame, text: str = "processed_text") -> DataFrame:
     return df.filter(F.col(text) != "")
 
@@ -99,9 +111,8 @@ def join_encoded(df: DataFrame, encoded: DataFrame, key: str = "id") -> DataFram
 
 def score_elements(scores: DataFrame, keep: Sequence[str] = ("model",), score: str = "scores") -> DataFrame:
     """Score arrays to (keep, pos, y, score), one row per label; no shuffle."""
-    return scores.select(
-        *keep, F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col(score).alias("score"))).alias("pos", "cell")
-    ).select(*keep, "pos", F.col("cell.y").alias("y"), F.col("cell.score").alias("score"))
+    cells = scores.select(*keep, "y", F.posexplode(score).alias("pos", "score"))
+    return cells.select(*keep, "pos", F.col("y")[F.col("pos")].alias("y"), "score")
 
 
 def long_scores(scores: DataFrame) -> DataFrame:
@@ -115,9 +126,6 @@ def wide_scores(long: DataFrame, vocabulary: Sequence[str] = LABELS, keys: Seque
     One fixed-width aggregate buffer per key, so a repeated key combines
     before the shuffle.
     """
-    cells = [
-        F.max(F.when(F.col("label") == v, F.struct(F.col("y").alias("y"), F.col("score").alias("score"))))
-        for v in vocabulary
-    ]
-    packed = long.groupBy(*keys).agg(F.array(*cells).alias("cells"))
+    cells = [f"max(if(label = {sql_string(v)}, struct(y, score), null))" for v in vocabulary]
+    packed = long.groupBy(*keys).agg(F.expr("array(" + ", ".join(cells) + ")").alias("cells"))
     return packed.select(*keys, F.col("cells.y").alias("y"), F.col("cells.score").alias("scores"))

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
 from labelops.operators.reshape import quoted
-from labelops.vocab import LABELS
-
-
-def _count_if(condition: Column) -> Column:
-    return F.sum(condition.cast("long"))
+from labelops.vocab import LABELS, label_at
 
 
 def support_wide(df: DataFrame, vocabulary: Sequence[str] = LABELS) -> DataFrame:
     """Column sums of a one-hot table: one row."""
-    return df.agg(*[F.sum(quoted(v)).alias(v) for v in vocabulary])
+    return df.agg(*[F.expr(f"sum(`{v}`)").alias(v) for v in vocabulary])
 
 
 def label_support(df: DataFrame, groups: Sequence[str] = (), vocabulary: Sequence[str] = LABELS) -> DataFrame:
@@ -27,13 +23,9 @@ def label_support(df: DataFrame, groups: Sequence[str] = (), vocabulary: Sequenc
     One counter per label in one aggregate: rows are never exploded, and what
     is shuffled is one row per task and group.
     """
-    counts = df.groupBy(*groups).agg(
-        F.array(*[_count_if(F.array_contains("labels", v)) for v in vocabulary]).alias("counts")
-    )
-    names = F.array(*[F.lit(v) for v in vocabulary])
-    return counts.select(*groups, F.posexplode("counts").alias("pos", "n")).select(
-        *groups, "pos", F.element_at(names, F.col("pos") + 1).alias("label"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    counts = df.groupBy(*groups).agg(L.label_counts("labels", vocabulary).alias("counts"))
+    long = counts.select(*groups, F.posexplode("counts").alias("pos", "n"))
+    return long.select(*groups, "pos", label_at("pos", vocabulary).alias("label"), "n")
 
 
 def labels_per_split(df: DataFrame, split: str = "data_type") -> DataFrame:
@@ -109,57 +101,57 @@ def label_sets(df: DataFrame, vocabulary: Sequence[str] = LABELS) -> DataFrame:
 def label_correlation(df: DataFrame, vocabulary: Sequence[str] = LABELS, lower_only: bool = False) -> DataFrame:
     """Pearson correlation of the 0/1 label columns: (label_a, label_b, pearson).
 
-    All pair counts come from one aggregate over the histogram of label sets;
-    no pairs of rows or labels are emitted. NULL where a label is constant.
+    Rows are first counted per distinct label set, and pairs are formed within
+    these sets only. Position -1 stands for the row itself, so that the same
+    counts hold the supports and the number of rows. NULL where a label is
+    constant.
     """
     size = len(vocabulary)
-
-    def both(a: int, b: int) -> Column:
-        mask = (1 << a) | (1 << b)
-        held = F.col("label_bits").bitwiseAND(F.lit(mask).cast("long")) == mask
-        return F.sum(F.when(held, F.col("n")).otherwise(F.lit(0)))
-
-    pairs = [(a, b) for a in range(size) for b in range(a + 1)]
-    counts = label_sets(df, vocabulary).agg(
-        F.sum("n").alias("n"), *[both(a, b).alias(f"n_{a}_{b}") for a, b in pairs]
+    held = " , ".join(f"if(label_bits & {1 << i}L != 0, {i}, null)" for i in range(size))
+    sets = label_sets(df, vocabulary).select("n", F.expr(f"array_compact(array(-1, {held}))").alias("held"))
+    # explode_outer: no filter on the never empty array is pushed below the count
+    pairs = sets.select("n", "held", F.explode_outer("held").alias("a")).select(
+        "n", "a", F.explode_outer("held").alias("b")
     )
-    wanted = [
-        (a, b) for a in range(size) for b in range(size) if (a > b if lower_only else True)
-    ]
-    cells = [
-        F.struct(
-            F.lit(a).alias("pos_a"),
-            F.lit(b).alias("pos_b"),
-            F.col(f"n_{a}_{a}").cast("double").alias("n_a"),
-            F.col(f"n_{b}_{b}").cast("double").alias("n_b"),
-            F.col(f"n_{max(a, b)}_{min(a, b)}").cast("double").alias("n_ab"),
-        )
-        for a, b in wanted
-    ]
-    spread = F.sqrt(
-        F.col("n_a") * (F.col("n") - F.col("n_a")) * F.col("n_b") * (F.col("n") - F.col("n_b"))
+    counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    packed = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "n"))).alias("counts"))
+
+    def count(a: str, b: str) -> str:
+        return f"cast(coalesce(counts[named_struct('a', {a}, 'b', {b})], 0) as double)"
+
+    cells = packed.select("counts", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("cell")).selectExpr(
+        "counts", f"cell div {size} as div_a", f"cell % {size} as pos_b"
+    ).selectExpr("counts", "cast(div_a as int) as pos_a", "pos_b")
+    if lower_only:
+        cells = cells.filter("pos_a > pos_b")
+    n = cells.selectExpr(
+        "pos_a",
+        "pos_b",
+        f"{count('-1', '-1')} as n",
+        f"{count('-1', 'pos_a')} as n_a",
+        f"{count('-1', 'pos_b')} as n_b",
+        f"{count('pos_a', 'pos_b')} as n_ab",
     )
-    names = F.array(*[F.lit(v) for v in vocabulary])
-    return counts.select("n", F.inline(F.array(*cells))).select(
-        F.element_at(names, F.col("pos_a") + 1).alias("label_a"),
-        F.element_at(names, F.col("pos_b") + 1).alias("label_b"),
-        F.try_divide(F.col("n") * F.col("n_ab") - F.col("n_a") * F.col("n_b"), spread).alias("pearson"),
+    return n.select(
+        label_at("pos_a", vocabulary).alias("label_a"),
+        label_at("pos_b", vocabulary).alias("label_b"),
+        F.expr("try_divide(n * n_ab - n_a * n_b, sqrt(n_a * (n - n_a) * n_b * (n - n_b)))").alias("pearson"),
     )
 
 
-def label_links(gold: DataFrame, predicted: DataFrame, key: str = "id") -> DataFrame:
+def label_links(gold: DataFrame, predicted: DataFrame, groups: Sequence[str] = (), key: str = "id") -> DataFrame:
     """How often a gold label meets a predicted label on the same row.
 
     Both sides keep one row per key for the join; the labels are exploded
     after it and counted with map-side combining.
     """
     both = gold.select(key, F.col("labels").alias("gold")).join(
-        predicted.select(key, F.col("labels").alias("predicted")), key
+        predicted.select(key, *groups, F.col("labels").alias("predicted")), key
     )
     return (
-        both.select(F.explode("gold").alias("gold"), "predicted")
-        .select("gold", F.explode("predicted").alias("predicted"))
-        .groupBy("gold", "predicted")
+        both.select(*groups, F.explode("gold").alias("gold"), "predicted")
+        .select(*groups, "gold", F.explode("predicted").alias("predicted"))
+        .groupBy(*groups, "gold", "predicted")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
 from labelops.functions.scores import (
     GRID_SIZE,
-    binarise,
     f1_from_counts,
     grid_index,
     grid_positions,
@@ -19,7 +18,7 @@ from labelops.functions.scores import (
 )
 from labelops.operators.reshape import score_elements
 from labelops.session import join_bounded
-from labelops.vocab import LABELS, label_at
+from labelops.vocab import LABELS, label_at, sql_string
 
 
 def apply_thresholds(
@@ -32,11 +31,12 @@ def apply_thresholds(
     """
     entries = F.collect_set(F.struct("label", "threshold"))
     by_model = thresholds.groupBy(*keys).agg(F.map_from_entries(entries).alias("cut"))
-    cuts = by_model.select(*keys, F.array(*[F.col("cut")[v] for v in vocabulary]).alias("cuts"))
-    flags = [binarise(F.col("scores")[i], F.col("cuts")[i]) for i in range(len(vocabulary))]
+    by_position = ", ".join(f"cut[{sql_string(v)}]" for v in vocabulary)
+    cuts = by_model.select(*keys, F.expr(f"array({by_position})").alias("cuts"))
+    flags = ", ".join(f"cast(cast(scores[{i}] as double) >= cuts[{i}] as int)" for i in range(len(vocabulary)))
     return (
         join_bounded(scores, cuts, list(keys))
-        .withColumn("yhat", F.array(*flags))
+        .withColumn("yhat", F.expr(f"array({flags})"))
         .drop("cuts")
         .withColumn("labels", L.decode_array("yhat", vocabulary))
     )
@@ -44,8 +44,8 @@ def apply_thresholds(
 
 def apply_threshold(scores: DataFrame, threshold: float, vocabulary: Sequence[str] = LABELS) -> DataFrame:
     """The same with one cut-off for all labels."""
-    flags = [binarise(F.col("scores")[i], threshold) for i in range(len(vocabulary))]
-    return scores.withColumn("yhat", F.array(*flags)).withColumn("labels", L.decode_array("yhat", vocabulary))
+    flags = ", ".join(f"cast(cast(scores[{i}] as double) >= {float(threshold)!r}D as int)" for i in range(len(vocabulary)))
+    return scores.withColumn("yhat", F.expr(f"array({flags})")).withColumn("labels", L.decode_array("yhat", vocabulary))
 
 
 def grid_counts(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
@@ -125,6 +125,12 @@ def sweep_maxima(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataF
     )
 
 
+def first_best_cut(sweep: DataFrame, groups: Sequence[str] = ("model",), metric: str = "f1") -> DataFrame:
+    """The lowest cut that reaches the best value of a sweep (50 rows per group)."""
+    order = Window.partitionBy(*groups).orderBy(F.col(metric).desc(), "cut")
+    return sweep.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
 def label_threshold_scores(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     """F1 of both classes of each label, weighted by class support, at each cut."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))

@@ -212,6 +212,6 @@ def write_metrics(df: DataFrame, path: str, by: Sequence[str] = ("model", "train
     df.write.mode("overwrite").partitionBy(*by).options(**CSV_OPTIONS).csv(path)
 
 
-def write_translated(df: DataFrame, path: str, text: str = "text", skip_existing: bool = False) -> None:
-    """A translated copy: same rows and columns, the text replaced."""
-    write_json_lines(df.select(*df.columns), path, (), skip_existing)
+def write_translated(df: DataFrame, path: str, skip_existing: bool = False) -> None:
+    """A translated copy of an example file: same rows and columns."""
+    write_json_lines(df, path, (), skip_existing)

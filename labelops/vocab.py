@@ -6,6 +6,8 @@ kept as Python constants that become literals inside Spark expressions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,14 +140,23 @@ def closure_mask(node: str) -> int:
     return sum(node_bit(n) for n in closure(node))
 
 
-def label_array(labels: tuple[str, ...] = LABELS) -> Column:
-    return F.array(*[F.lit(label) for label in labels])
+def sql_string(value: str) -> str:
+    """A text as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(sql_string(v) for v in values) + ")"
+
+
+def label_array(labels: Sequence[str] = LABELS) -> Column:
+    return F.expr(sql_array(labels))
 
 
-def label_at(position: Column | str) -> Column:
+def label_at(position: Column | str, labels: Sequence[str] = LABELS) -> Column:
     """Label name at a vector position; a literal lookup, so no join is needed."""
     position = F.col(position) if isinstance(position, str) else position
-    return F.element_at(label_array(), position + 1)
+    return F.element_at(label_array(labels), position + 1)
 
 
 def display_rank(label: Column | str) -> Column:
