@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from time import perf_counter
 
@@ -22,6 +23,7 @@ from labelops.operators.curves import weighted_curve_metrics
 from labelops.operators.metrics import best_run
 from labelops.operators.reshape import union_all
 from labelops.operators.thresholds import sweep_maxima
+from labelops.session import materialise
 from labelops.vocab import LABELS
 
 Scorer = Callable[[pd.Series], Sequence[Sequence[float]]]
@@ -153,55 +155,70 @@ class TextClassifier:
         ]
 
 
-def train_classifier(
-    train: DataFrame, estimator: Estimator, n_labels: int = len(LABELS), n_features: int = 1 << 14
-) -> TextClassifier:
-    """Train on (text, y): features once, kept for all labels, then one model per label."""
+@contextmanager
+def prepared_features(train: DataFrame, n_features: int = 1 << 14) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """Fitted features and the training rows in them, kept while several models train."""
     features = feature_pipeline(n_features=n_features).fit(train)
     prepared = features.transform(train).select("features", "y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [
-            estimator.fit(prepared.select("features", F.col("y")[i].cast("double").alias("label")))
-            for i in range(n_labels)
-        ]
+        yield features, prepared
     finally:
         prepared.unpersist()
+
+
+def fit_labels(features: PipelineModel, prepared: DataFrame, estimator: Estimator, n_labels: int) -> TextClassifier:
+    """One binary model per label on prepared rows."""
+    models = [
+        estimator.fit(prepared.select("features", F.col("y")[i].cast("double").alias("label"))) for i in range(n_labels)
+    ]
     return TextClassifier(features, models)
 
 
+def train_classifier(
+    train: DataFrame, estimator: Estimator, n_labels: int = len(LABELS), n_features: int = 1 << 14
+) -> TextClassifier:
+    """Train on (text, y)."""
+    with prepared_features(train, n_features) as (features, prepared):
+        return fit_labels(features, prepared, estimator, n_labels)
+
+
 def training_history(df: DataFrame, classifier: TextClassifier) -> DataFrame:
     """Loss per label and iteration as a table (a few rows per label)."""
     return df.sparkSession.createDataFrame(classifier.history(), "pos INT, iteration INT, loss DOUBLE")
 
 
-def evaluate_classifier(classifier: TextClassifier, df: DataFrame, keys: Mapping[str, str]) -> DataFrame:
-    """One row: keys, support-weighted AUC and AP, best F1 and accuracy of the sweep."""
-    scored = classifier.scores(df.select("text", "y")).select("y", "scores")
-    for name, value in keys.items():
-        scored = scored.withColumn(name, F.lit(value))
-    groups = list(keys)
-    return weighted_curve_metrics(scored, groups).join(sweep_maxima(scored, groups), groups)
+def run_metrics(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Support-weighted AUC and AP, best F1 and best accuracy of each run."""
+    return weighted_curve_metrics(scored, groups).join(sweep_maxima(scored, groups), list(groups))
 
 
 def run_grid(
     train_sets: Mapping[str, DataFrame],
-    evaluation_sets: Mapping[str, DataFrame],
+    evaluation: DataFrame,
     estimators: Mapping[str, Estimator],
     n_labels: int = len(LABELS),
     finished: Iterable[tuple[str, str]] = (),
+    split: str = "split",
 ) -> DataFrame | None:
-    """Run table (model, train_set, split, metrics) of all runs not yet finished."""
+    """Run table (model, train_set, split, metrics) of all runs not yet finished.
+
+    Features are fitted once per training set. The evaluation rows, tagged by
+    ``split``, are scored once per run, stored, and measured all together.
+    """
     done = set(finished)
-    rows = []
-    for model, estimator in estimators.items():
-        for train_set, train in train_sets.items():
-            if (model, train_set) in done:
-                continue
-            classifier = train_classifier(train, estimator, n_labels)
-            for split, df in evaluation_sets.items():
-                keys = {"model": model, "train_set": train_set, "split": split}
-                rows.append(evaluate_classifier(classifier, df, keys))
-    return union_all(rows) if rows else None
+    scored = []
+    for train_set, train in train_sets.items():
+        pending = {name: e for name, e in estimators.items() if (name, train_set) not in done}
+        if not pending:
+            continue
+        with prepared_features(train) as (features, prepared):
+            for model, estimator in pending.items():
+                run = fit_labels(features, prepared, estimator, n_labels).scores(evaluation.select(split, "text", "y"))
+                tags = [F.lit(model).alias("model"), F.lit(train_set).alias("train_set"), F.col(split).alias("split")]
+                scored.append(run.select(*tags, "y", "scores"))
+    if not scored:
+        return None
+    return run_metrics(materialise(union_all(scored)), ["model", "train_set", "split"])
 
 
 def train_until_no_gain(
@@ -217,18 +234,17 @@ def train_until_no_gain(
     one number per try.
     """
     best, best_ap, since, tries = None, float("-inf"), 0, []
-    for i, estimator in enumerate(settings):
-        classifier = train_classifier(train, estimator, n_labels)
-        scored = classifier.scores(validation.select("text", "y")).withColumn("setting", F.lit(i))
-        ap = weighted_curve_metrics(scored, ["setting"]).first()["ap"]
-        ap = float("-inf") if ap is None else ap
-        tries.append((i, ap))
-        if ap > best_ap:
-            best, best_ap, since = classifier, ap, 0
-        else:
-            since += 1
-            if since >= patience:
-                break
+    with prepared_features(train) as (features, prepared):
+        for i, estimator in enumerate(settings):
+            classifier = fit_labels(features, prepared, estimator, n_labels)
+            ap = weighted_curve_metrics(classifier.scores(validation.select("text", "y")), []).first()["ap"]
+            tries.append((i, ap))
+            if best is None or (ap is not None and ap > best_ap):
+                best, best_ap, since = classifier, float("-inf") if ap is None else ap, 0
+            else:
+                since += 1
+                if since >= patience:
+                    break
     table = train.sparkSession.createDataFrame(tries, "setting INT, ap DOUBLE")
     return best, table
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions.text import clean_text
-from labelops.operators import models
+from labelops.operators import models, reshape
 from labelops.plans.inputs import Inputs, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
@@ -116,17 +116,17 @@ def train(t: Inputs) -> DataFrame:
 
 @query("u6_run_grid")
 def grid(t: Inputs) -> DataFrame:
-    """Three classifiers on all training rows and on a training set of equal label shares."""
+    """Three classifiers on all training rows, and on a set where marked rows count three times."""
     labelled = _labelled(t)
     original = _split(labelled, "Train")
     marked = original.filter(F.array_contains("y", 1))
-    balanced = original.unionByName(marked).unionByName(marked)
     return models.run_grid(
-        {"original_train": original, "balanced_train": balanced},
-        {name: _split(labelled, name) for name in ("Validation", "Development")},
+        {"original_train": original, "balanced_train": reshape.union_all([original, marked, marked])},
+        labelled,
         models.candidate_estimators(max_iter=5),
         n_labels=2,
         finished=[("linear_svc", "balanced_train")],
+        split="data_type",
     )
 
 
