@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 # Patterns of the cleaning steps. They mean the same to Java,
 # Python and RE2 regular expressions.
-UNICODE_BLANKS = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+OTHER_BLANKS = (
+    r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 WEB_LINK = "http[^ ]+"
 SHORT_LINK = "bit.ly/[^ ]+"
@@ -25,7 +24,7 @@ RETWEET = "RT @[A-Za-z]+[A-Za-z0-9_-]+"
 MENTION = "@[A-Za-z]+[A-Za-z0-9_-]+"
 HASHTAG = "#[A-Za-z]+[A-Za-z0-9_-]+"
 SYMBOLS = r"[\x{24C2}-\x{10FFFF}]+"
-PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 # Contraction rules as (pattern, stem group kept, expansion,
 # group kept after it). Whole words come first, then the regular endings.
@@ -64,9 +63,14 @@ def _drop_pattern(text: Column, *patterns: str) -> Column:
 
 
 def remove_linebreaks(text: Column | str) -> Column:
-    """Written-out ``\\n`` and every run of white space become one blank."""
+    """Written-out ``\\n`` and every run of white space become one blank.
+
+    A single plain blank already is what it should be, so the pattern leaves
+    it alone; most texts then have few matches.
+    """
     unescaped = F.replace(_column(text), F.lit("\\n"), F.lit(" "))
-    return F.trim(F.regexp_replace(unescaped, UNICODE_BLANKS, " "))
+    runs = f"[{OTHER_BLANKS}][ {OTHER_BLANKS}]*| [ {OTHER_BLANKS}]+"
+    return F.trim(F.regexp_replace(unescaped, runs, " "))
 
 
 def remove_links(text: Column | str) -> Column:
@@ -92,18 +96,25 @@ def remove_symbols(text: Column | str) -> Column:
 
 
 def remove_punctuation(text: Column | str) -> Column:
-    return _drop_pattern(_column(text), PUNCTUATION)
+    return F.translate(_column(text), PUNCTUATION, "")
 
 
 def expand_contractions(text: Column | str) -> Column:
-    """English contractions spelled out; texts without an apostrophe skip it."""
-    original = _column(text)
-    expanded = original
-    for pattern, before, words, after in CONTRACTIONS:
-        kept = f"${before}{words}" + (f"${after}" if after else "")
-        expanded = F.regexp_replace(expanded, "(?i)" + pattern, kept)
-    has_apostrophe = F.contains(original, F.lit("'")) | F.contains(original, F.lit("’"))
-    return F.when(has_apostrophe, expanded).otherwise(original)
+    """English contractions spelled out; texts without an apostrophe skip it.
+
+    The text is bound to a lambda variable: the expression it comes from may
+    be a long chain, and would otherwise run again in every branch.
+    """
+
+    def expand(original: Column) -> Column:
+        expanded = original
+        for pattern, before, words, after in CONTRACTIONS:
+            kept = f"${before}{words}" + (f"${after}" if after else "")
+            expanded = F.regexp_replace(expanded, "(?i)" + pattern, kept)
+        has_apostrophe = F.contains(original, F.lit("'")) | F.contains(original, F.lit("’"))
+        return F.when(has_apostrophe, expanded).otherwise(original)
+
+    return F.transform(F.array(_column(text)), expand)[0]
 
 
 def clean_text(text: Column | str, keep_punctuation: bool = False) -> Column:

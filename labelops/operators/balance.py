@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelops.functions import labels as L
 from labelops.operators.ranges import global_rank
 from labelops.operators.stats import label_support
-from labelops.session import materialise
+from labelops.session import materialise, stored
 from labelops.vocab import LABELS, label_at, sql_string
 
 # Sampling keys are the leading 12 hexadecimal digits of an MD5 sum.
@@ -106,7 +106,7 @@ def _candidates(df: DataFrame, n: int, seed: int, support: Mapping[int, int], vo
         cut = _by_position([cuts[i] for i in range(len(vocabulary))])
         near = exploded.filter(F.col("key") < cut)
         ranked = global_rank(near, [F.col("key"), F.col("id")], groups=["pos"])
-        return materialise(ranked.filter(F.col("rank") <= n).drop("key"))
+        return stored(ranked.filter(F.col("rank") <= n).drop("key"), "candidates")
 
     found = lowest({i: _key_cut(n, support[i]) for i in range(len(vocabulary))})
     counts = {r["pos"]: r["rows"] for r in found.groupBy("pos").agg(F.count(F.lit(1)).alias("rows")).collect()}

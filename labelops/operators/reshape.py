@@ -92,7 +92,7 @@ def with_clean_text(
     The one-element array keeps a later filter on the result from being pushed
     below the projection, which would run the whole chain of patterns twice.
     """
-    return df.withColumn(name, F.explode(F.array(clean_text(text, keep_punctuation))))
+    return df.withColumn(name, F.explode_outer(F.array(clean_text(text, keep_punctuation))))
 
 
 def drop_empty_text(df: DataFrame, text: str = "processed_text") -> DataFrame:
@@ -110,9 +110,13 @@ def join_encoded(df: DataFrame, encoded: DataFrame, key: str = "id") -> DataFram
 
 
 def score_elements(scores: DataFrame, keep: Sequence[str] = ("model",), score: str = "scores") -> DataFrame:
-    """Score arrays to (keep, pos, y, score), one row per label; no shuffle."""
-    cells = scores.select(*keep, "y", F.posexplode(score).alias("pos", "score"))
-    return cells.select(*keep, "pos", F.col("y")[F.col("pos")].alias("y"), "score")
+    """Score arrays to (keep, pos, y, score), one row per label; no shuffle.
+
+    The outer form is filtered after it, since the plain one would compute the
+    array once more to drop empty ones before.
+    """
+    cells = scores.select(*keep, "y", F.posexplode_outer(score).alias("pos", "score"))
+    return cells.filter("pos is not null").select(*keep, "pos", F.col("y")[F.col("pos")].alias("y"), "score")
 
 
 def long_scores(scores: DataFrame) -> DataFrame:

@@ -79,17 +79,20 @@ def length_boxes(df: DataFrame, length: str = "word_count", groups: Sequence[str
     """
     histogram = df.groupBy(*groups, length).agg(F.count(F.lit(1)).alias("n"))
     quartiles = F.percentile(length, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    boxes = histogram.groupBy(*groups).agg(quartiles.alias("q"), F.sum("n").alias("n_rows"))
+    boxes = histogram.groupBy(*groups).agg(
+        quartiles.alias("q"), F.sum("n").alias("n_rows"), F.collect_list(length).alias("lengths")
+    )
     boxes = boxes.select(
-        *groups, "n_rows", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
-    ).withColumn("reach", 1.5 * (F.col("q3") - F.col("q1")))
-    inside = F.col(length).between(F.col("q1") - F.col("reach"), F.col("q3") + F.col("reach"))
-    return (
-        histogram.drop("n")
-        .join(boxes, list(groups))
-        .filter(inside)
-        .groupBy(*groups, "n_rows", "q1", "median", "q3")
-        .agg(F.min(length).alias("whisker_low"), F.max(length).alias("whisker_high"))
+        *groups, "n_rows", "lengths", F.expr("q[0]").alias("q1"), F.expr("q[1]").alias("median"), F.expr("q[2]").alias("q3")
+    )
+    return boxes.select(
+        *groups,
+        "n_rows",
+        "q1",
+        "median",
+        "q3",
+        F.expr("array_min(filter(lengths, l -> l >= q1 - 1.5D * (q3 - q1)))").alias("whisker_low"),
+        F.expr("array_max(filter(lengths, l -> l <= q3 + 1.5D * (q3 - q1)))").alias("whisker_high"),
     )
 
 

@@ -86,23 +86,25 @@ def sweep_f1(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame
     )
 
 
-def sweep_accuracy(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
-    """Share of rows with all labels right, at each cut of the grid.
+def _right_span(scores: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Grid positions between which a row has all labels right: (above, upto].
 
     A row is right at a cut above its best negative score and not above its
-    worst positive one, so each row is reduced to these two grid positions.
+    worst positive one.
     """
     negative = F.array_max(F.zip_with("y", "scores", lambda y, s: F.when(y == 0, s)))
     positive = F.array_min(F.zip_with("y", "scores", lambda y, s: F.when(y == 1, s)))
-    spans = (
-        scores.select(
-            *groups,
-            F.coalesce(grid_index(negative), F.lit(-1)).alias("above"),
-            F.coalesce(grid_index(positive), F.lit(GRID_SIZE - 1)).alias("upto"),
-        )
-        .groupBy(*groups, "above", "upto")
-        .agg(F.count(F.lit(1)).alias("n"))
+    edges = scores.select(*keep, negative.alias("best_negative"), positive.alias("worst_positive"))
+    return edges.select(
+        *keep,
+        F.coalesce(grid_index("best_negative"), F.lit(-1)).alias("above"),
+        F.coalesce(grid_index("worst_positive"), F.lit(GRID_SIZE - 1)).alias("upto"),
     )
+
+
+def sweep_accuracy(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
+    """Share of rows with all labels right, at each cut of the grid."""
+    spans = _right_span(scores, groups).groupBy(*groups, "above", "upto").agg(F.count(F.lit(1)).alias("n"))
     right = (F.col("cut") > F.col("above")) & (F.col("cut") <= F.col("upto"))
     return (
         spans.withColumn("cut", F.explode(grid_positions()))
@@ -113,9 +115,56 @@ def sweep_accuracy(scores: DataFrame, groups: Sequence[str] = ("model",)) -> Dat
 
 
 def threshold_sweep(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
-    """Weighted F1 and subset accuracy side by side (50 rows per group)."""
-    accuracy = sweep_accuracy(scores, groups).drop("threshold")
-    return sweep_f1(scores, groups).join(accuracy, [*groups, "cut"])
+    """Weighted F1 and subset accuracy at each cut, from one pass over the scores.
+
+    Besides one cell per label (its bin and its truth) each row gives one cell
+    for itself (its right span); both kinds share the histogram. The row's own
+    cell is the one without a score, at the position after the last label.
+    """
+    rows = _right_span(scores, [*groups, "y", "scores"])
+    cells = rows.select(
+        *groups,
+        "y",
+        "above",
+        "upto",
+        F.posexplode_outer(F.concat("scores", F.array(F.lit(None).cast("double")))).alias("pos", "score"),
+    )
+    of_row = F.col("pos") == F.size("y")
+    histogram = (
+        cells.select(
+            *groups,
+            F.when(of_row, -1).otherwise(F.col("pos")).alias("pos"),
+            F.when(of_row, F.col("above")).otherwise(grid_index("score")).alias("low"),
+            F.when(of_row, F.col("upto")).otherwise(F.col("y")[F.col("pos")]).alias("high"),
+        )
+        .groupBy(*groups, "pos", "low", "high")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    n, high = F.col("n"), F.col("high")
+    reached = F.col("low") >= F.col("cut")
+    right = (F.col("low") < F.col("cut")) & (high >= F.col("cut"))
+    total = lambda condition: F.sum(F.when(condition, n).otherwise(0))
+    counts = (
+        histogram.withColumn("cut", F.explode(grid_positions()))
+        .groupBy(*groups, "pos", "cut")
+        .agg(
+            total(reached & (high == 1)).alias("tp"),
+            total(reached & (high == 0)).alias("fp"),
+            total(high == 1).alias("n_pos"),
+            total(right).alias("n_right"),
+            F.sum("n").alias("n"),
+        )
+    )
+    label = F.col("pos") >= 0
+    f1 = f1_from_counts(F.col("tp"), F.col("fp"), F.col("n_pos") - F.col("tp"))
+    return (
+        counts.groupBy(*groups, "cut")
+        .agg(
+            ratio(F.sum(F.when(label, f1 * F.col("n_pos"))), F.sum(F.when(label, F.col("n_pos")))).alias("f1"),
+            ratio(F.sum(F.when(~label, F.col("n_right"))), F.sum(F.when(~label, n))).alias("accuracy"),
+        )
+        .withColumn("threshold", grid_value(F.col("cut")))
+    )
 
 
 def sweep_maxima(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:

@@ -12,6 +12,7 @@ from labelops.plans.inputs import Inputs, joined
 from labelops.plans.model_queries import BACKWARDS, GLOSSARY
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
+from labelops.session import stored
 
 SEED = 20
 
@@ -68,7 +69,7 @@ def synthetic(t: Inputs) -> DataFrame:
 
 def _balanced(t: Inputs) -> DataFrame:
     """Every label to a twelfth of the document count, rare labels by back translation."""
-    prepared = t.prepared.select("id", "text", "link", "labels", "processed_text")
+    prepared = stored(t.prepared.select("id", "text", "link", "labels", "processed_text"), "prepared")
     there, back = (partial(models.GlossaryTranslator, g) for g in (GLOSSARY, BACKWARDS))
     augment = partial(models.back_translate, there=there, back=back)
     return balance.balance(prepared, max(1, prepared.count() // 12), SEED, augment)

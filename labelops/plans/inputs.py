@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from labelops.functions import labels as L
 from labelops.functions.text import clean_text
 from labelops.operators.thresholds import apply_thresholds
+from labelops.session import spread
 from labelops.vocab import DISPLAY_ORDER, LABELS, NODES, closure, sql_string
 
 # Six models, trained on two training sets.
@@ -42,6 +43,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
     @cached_property
     def gold(self) -> DataFrame:
         """(id, text, lang, source, data_type, y, labels)."""
@@ -50,7 +55,7 @@ class Inputs:
         labels = L.decode(has)
         day = F.col("doc_id") % 10
         split = F.when(day == 0, "Validation").when(day <= 2, "Development").otherwise("Train")
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").cast("string").alias("id"),
             "doc_id",
             "text",
@@ -106,7 +111,7 @@ class Inputs:
             .when(kind == 6, F.concat(F.lit("  bit.ly/ab pic.twitter.com/q @ab @a "), text))
             .otherwise(text)
         )
-        return self.table("documents").select(name.alias("id"), "lang", noisy.alias("text"))
+        return self.documents.select(name.alias("id"), "lang", noisy.alias("text"))
 
     @cached_property
     def prepared(self) -> DataFrame:

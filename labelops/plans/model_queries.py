@@ -55,7 +55,7 @@ LONG = "SELECT id, lang, model, CAST(r.i AS INTEGER) AS pos, round(scores[r.i +
 
 
 def _long(scored: DataFrame) -> DataFrame:
-    cells = scored.select("id", "lang", "model", F.posexplode("scores").alias("pos", "score"))
+    cells = scored.select("id", "lang", "model", F.posexplode_outer("scores").alias("pos", "score"))
     return cells.withColumn("score", F.round("score", 9))
 
 
@@ -111,7 +111,7 @@ def train(t: Inputs) -> DataFrame:
     labelled = _labelled(t)
     classifier = models.train_classifier(_split(labelled, "Train"), LogisticRegression(maxIter=10, regParam=0.01), 2)
     scored = classifier.scores(labelled)
-    return scored.select("id", "data_type", F.posexplode("scores").alias("pos", "score"))
+    return scored.select("id", "data_type", F.posexplode_outer("scores").alias("pos", "score"))
 
 
 @query("u6_run_grid")

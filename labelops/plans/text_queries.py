@@ -23,7 +23,7 @@ def _cut(expr: str, literal: str) -> str:
 
 def sql_linebreaks(e: str) -> str:
     unescaped = f"replace({e}, {sql_text(chr(92) + 'n')}, ' ')"
-    return f"trim({_drop(unescaped, T.UNICODE_BLANKS, ' ')}, ' ')"
+    return f"trim({_drop(unescaped, f'[ {T.OTHER_BLANKS}]+', ' ')}, ' ')"
 
 
 def sql_links(e: str) -> str:
@@ -48,7 +48,7 @@ def sql_symbols(e: str) -> str:
 
 
 def sql_punctuation(e: str) -> str:
-    return _drop(e, T.PUNCTUATION)
+    return _drop(e, r"[!-/:-@\[-`{-~]")
 
 
 def sql_contractions(e: str) -> str:

@@ -47,6 +47,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as a Parquet table, for rows of which later steps read few columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that is stored in fewer splits than there are cores.
+
+    A small table may be a single row group, and so a single task for all work
+    per row. A table with enough splits is returned as it is, without shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def join_bounded(
     big: DataFrame,
     small: DataFrame,
