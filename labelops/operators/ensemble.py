@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
-from labelops.vocab import LABELS
+from labelops.vocab import LABELS, sql_string
 
 
 def label_votes(
@@ -67,11 +67,23 @@ def both_ensembles(
     return votes.select(*keys, F.inline(kinds))
 
 
-def aligned_models(predictions: DataFrame, models: Sequence[str], key: str = "id") -> DataFrame:
+def aligned_models(
+    predictions: DataFrame, models: Sequence[str], key: str = "id", vocabulary: Sequence[str] = LABELS
+) -> DataFrame:
     """One row per key with one label array per model, NULL where a model has none.
 
-    The models stay one long table; a single aggregate on the key takes the
-    place of a chain of joins.
+    The models stay one long table; a single aggregate of one BIGINT per model
+    takes the place of a chain of joins.
     """
-    cells = [F.max(F.when(F.col("model") == m, F.col("labels"))).alias(m) for m in models]
-    return predictions.groupBy(key).agg(*cells)
+    sets = predictions.select(key, "model", L.label_bits("labels", vocabulary).alias("bits"))
+    wide = sets.groupBy(key).agg(
+        *[F.expr(f"bit_or(if(model = {sql_string(m)}, bits, null))").alias(m) for m in models]
+    )
+    decoded = [
+        F.when(
+            F.col(f"`{m}`").isNotNull(),
+            L.decode([f"`{m}` & {1 << i}L != 0" for i in range(len(vocabulary))], vocabulary),
+        ).alias(m)
+        for m in models
+    ]
+    return wide.select(key, *decoded)

@@ -46,13 +46,18 @@ def run_offsets(runs: DataFrame, groups: Sequence[str], sums: dict[str, Column])
 def global_rank(
     df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
-    """1-based rank over all rows (or per group), with no window over a whole group."""
-    runs = into_runs(df, groups, order)
+    """1-based rank over all rows (or per group), with no window over a whole group.
+
+    Rows are numbered and stored first. The number breaks ties, so that even
+    copies without end of the same key spread over several runs.
+    """
+    order = [*order, F.col("row_number")]
+    runs = into_runs(materialise(df.withColumn("row_number", F.monotonically_increasing_id())), groups, order)
     offsets = run_offsets(runs, groups, {"rows": F.count(F.lit(1))}).drop("rows_total")
     in_run = Window.partitionBy(*groups, "run").orderBy(*order)
     return (
         runs.withColumn("row_in_run", F.row_number().over(in_run))
         .join(offsets, [*groups, "run"])
         .withColumn(name, F.col("rows_before") + F.col("row_in_run"))
-        .drop("run", "row_in_run", "rows_before")
+        .drop("run", "row_in_run", "rows_before", "row_number")
     )

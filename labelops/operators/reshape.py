@@ -130,6 +130,9 @@ def wide_scores(long: DataFrame, vocabulary: Sequence[str] = LABELS, keys: Seque
     One fixed-width aggregate buffer per key, so a repeated key combines
     before the shuffle.
     """
-    cells = [f"max(if(label = {sql_string(v)}, struct(y, score), null))" for v in vocabulary]
-    packed = long.groupBy(*keys).agg(F.expr("array(" + ", ".join(cells) + ")").alias("cells"))
-    return packed.select(*keys, F.col("cells.y").alias("y"), F.col("cells.score").alias("scores"))
+
+    def cells(column: str) -> Column:
+        picked = [f"max(if(label = {sql_string(v)}, {column}, null))" for v in vocabulary]
+        return F.expr("array(" + ", ".join(picked) + ")")
+
+    return long.groupBy(*keys).agg(cells("y").alias("y"), cells("score").alias("scores"))
