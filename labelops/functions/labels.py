@@ -1,8 +1,10 @@
 """Expressions over label arrays: encoding, decoding and the hierarchy.
 
 An array of labels is given as a SQL expression, usually just its column
-name. The expressions are generated from the vocabulary as SQL text, which
-Spark parses in one go.
+name. Work per label goes through one lambda function over the array instead
+of one generated branch per vocabulary entry: twenty or thirty branches make
+methods that the JVM refuses to compile. What a lambda body reads is bound to
+its arguments, as an expression named in the body would run per element.
 """
 
 from __future__ import annotations
@@ -26,18 +28,25 @@ def one_hot(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> list[
 
 def indicator(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
     """0/1 array in vocabulary order."""
-    return F.expr("array(" + ", ".join(f"cast({_has(labels, v)} as int)" for v in vocabulary) + ")")
+    flags = f"transform({sql_array(vocabulary)}, v -> cast(array_contains(held, v) as int))"
+    return F.expr(f"transform(array({labels}), held -> {flags})[0]")
 
 
-def decode(conditions: Sequence[str], vocabulary: Sequence[str] = LABELS) -> Column:
-    """Label array, in vocabulary order, of the entries whose condition holds."""
-    cells = [f"if({c}, {sql_string(v)}, null)" for c, v in zip(conditions, vocabulary)]
-    return F.expr("array_compact(array(" + ", ".join(cells) + "))")
+def decode_array(flags: str, vocabulary: Sequence[str] = LABELS, condition: str = "flag = 1") -> Column:
+    """Label array, in vocabulary order, of the positions of an array where a condition on ``flag`` holds."""
+    pairs = f"zip_with({flags}, {sql_array(vocabulary)}, (flag, v) -> if({condition}, v, ''))"
+    return F.expr(f"array_remove({pairs}, '')")
 
 
-def decode_array(flags: str, vocabulary: Sequence[str] = LABELS) -> Column:
-    """Label array from a 0/1 array in vocabulary order."""
-    return decode([f"{flags}[{i}] = 1" for i in range(len(vocabulary))], vocabulary)
+def decode_columns(vocabulary: Sequence[str] = LABELS) -> Column:
+    """Label array from one 0/1 column per vocabulary entry."""
+    return decode_array("array(" + ", ".join(f"`{v}`" for v in vocabulary) + ")", vocabulary)
+
+
+def decode_bits(bits: str, vocabulary: Sequence[str] = LABELS) -> Column:
+    """Label array from a bit set."""
+    masks = "array(" + ", ".join(f"{bits} & {1 << i}L" for i in range(len(vocabulary))) + ")"
+    return decode_array(masks, vocabulary, "flag != 0")
 
 
 def joined(labels: Column | str) -> Column:
@@ -45,37 +54,43 @@ def joined(labels: Column | str) -> Column:
     return F.array_join(F.sort_array(labels), "|")
 
 
-def label_counts(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
+def label_counts(bits: str = "bits", size: int = len(LABELS)) -> Column:
     """Aggregate: the rows that hold each label, as an array in vocabulary order.
 
-    A fixed number of counters, so it combines before the shuffle whatever
-    the sizes of the groups.
+    Counted from ``label_bits``. A fixed number of counters, so it combines
+    before the shuffle whatever the sizes of the groups.
     """
-    return F.expr("array(" + ", ".join(f"count_if({_has(labels, v)})" for v in vocabulary) + ")")
+    return F.expr("array(" + ", ".join(f"count_if({bits} & {1 << i}L != 0)" for i in range(size)) + ")")
+
+
+def _sql_map(entries: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"{sql_string(k)}, {v}" for k, v in entries.items()) + ")"
 
 
 def _bit_set(labels: str, bits: dict[str, int]) -> Column:
-    return F.expr(" | ".join(f"if({_has(labels, name)}, {mask}L, 0L)" for name, mask in bits.items()))
+    lookup = _sql_map({name: f"{mask}L" for name, mask in bits.items()})
+    return F.expr(f"aggregate({labels}, 0L, (bits, v) -> bits | coalesce({lookup}[v], 0L))")
 
 
 def label_bits(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
-    """The set of labels as bits of a BIGINT (up to 63 entries)."""
+    """The set of labels as bits of a BIGINT (up to 63 entries); unknown labels leave no bit."""
     return _bit_set(labels, {v: 1 << i for i, v in enumerate(vocabulary)})
 
 
 def node_bits(labels: str = "labels") -> Column:
     """Labels and all their ancestors as bits of a BIGINT.
 
-    Set size is then ``bit_count`` and intersection ``&``: no shuffle, no
-    lambda functions, and duplicates within an array count once.
+    Set size is then ``bit_count`` and intersection ``&``, without a shuffle,
+    and duplicates within an array count once.
     """
     return _bit_set(labels, {n: closure_mask(n) for n in NODES})
 
 
 def with_ancestors(labels: str = "labels") -> Column:
     """Labels and all their ancestors as a sorted array."""
-    cells = [f"if({_has(labels, n)}, {sql_array(sorted(closure(n)))}, null)" for n in NODES]
-    return F.sort_array(F.expr("array_distinct(flatten(array_compact(array(" + ", ".join(cells) + "))))"))
+    lookup = _sql_map({n: sql_array(sorted(closure(n))) for n in NODES})
+    nodes = f"transform({labels}, v -> coalesce({lookup}[v], array()))"
+    return F.expr(f"sort_array(array_distinct(flatten({nodes})))")
 
 
 def unknown_labels(labels: str = "labels", known: Sequence[str] = NODES) -> Column:

@@ -96,7 +96,7 @@ def _candidates(df: DataFrame, n: int, seed: int, support: Mapping[int, int], vo
     """For each label the n rows with the lowest sampling keys (or all it has).
 
     No step of the balancing ever needs another row, so this is the only pass
-    over the data. Columns: pos, rank and the row itself.
+    over the data. Columns: pos, rank, bits and the row itself.
     """
     held = ", ".join(f"if(array_contains(labels, {sql_string(v)}), {i}, null)" for i, v in enumerate(vocabulary))
     positions = F.expr(f"array_compact(array({held}))")
@@ -106,7 +106,8 @@ def _candidates(df: DataFrame, n: int, seed: int, support: Mapping[int, int], vo
         cut = _by_position([cuts[i] for i in range(len(vocabulary))])
         near = exploded.filter(F.col("key") < cut)
         ranked = global_rank(near, [F.col("key"), F.col("id")], groups=["pos"])
-        return stored(ranked.filter(F.col("rank") <= n).drop("key"), "candidates")
+        found = ranked.filter(F.col("rank") <= n).drop("key").withColumn("bits", L.label_bits("labels", vocabulary))
+        return stored(found, "candidates")
 
     found = lowest({i: _key_cut(n, support[i]) for i in range(len(vocabulary))})
     counts = {r["pos"]: r["rows"] for r in found.groupBy("pos").agg(F.count(F.lit(1)).alias("rows")).collect()}
@@ -149,7 +150,7 @@ def balance(
         take[pos] = min(missing, support[pos])
         added = (
             candidates.filter((F.col("pos") == pos) & (F.col("rank") <= take[pos]))
-            .agg(L.label_counts("labels", vocabulary).alias("added"))
+            .agg(L.label_counts("bits", size).alias("added"))
             .first()["added"]
         )
         counts = [c + a for c, a in zip(counts, added)]

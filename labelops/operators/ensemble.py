@@ -20,19 +20,20 @@ def label_votes(
     it; a key without any label keeps a row of zeros. A label outside the
     vocabulary is an error and not dropped.
     """
-    strange = L.unknown_labels("labels", vocabulary)
-    error = F.concat(F.lit("label outside the vocabulary: "), F.array_join(strange, ", "))
-    checked = F.when(F.size(strange) > 0, F.raise_error(error).cast("array<string>")).otherwise(F.col("labels"))
+    strange = F.array_join(L.unknown_labels("labels", vocabulary), ", ")
+    error = F.raise_error(F.concat(F.lit("label outside the vocabulary: "), strange)).cast("long")
+    sets = predictions.select(*keys, "labels", L.label_bits("labels", vocabulary).alias("known"))
+    complete = F.bit_count("known") == F.size(F.array_distinct("labels"))
     return (
-        predictions.select(*keys, checked.alias("labels"))
+        sets.select(*keys, F.when(complete | F.col("labels").isNull(), F.col("known")).otherwise(error).alias("bits"))
         .groupBy(*keys)
-        .agg(L.label_counts("labels", vocabulary).alias("votes"))
+        .agg(L.label_counts("bits", len(vocabulary)).alias("votes"))
     )
 
 
 def labels_with_votes(at_least: float, vocabulary: Sequence[str] = LABELS) -> Column:
     """Labels whose votes reach a number."""
-    return L.decode([f"votes[{i}] >= {float(at_least)!r}D" for i in range(len(vocabulary))], vocabulary)
+    return L.decode_array("votes", vocabulary, f"flag >= {float(at_least)!r}D")
 
 
 def ensemble_by_union(
@@ -79,11 +80,5 @@ def aligned_models(
     wide = sets.groupBy(key).agg(
         *[F.expr(f"bit_or(if(model = {sql_string(m)}, bits, null))").alias(m) for m in models]
     )
-    decoded = [
-        F.when(
-            F.col(f"`{m}`").isNotNull(),
-            L.decode([f"`{m}` & {1 << i}L != 0" for i in range(len(vocabulary))], vocabulary),
-        ).alias(m)
-        for m in models
-    ]
+    decoded = [F.when(F.col(f"`{m}`").isNotNull(), L.decode_bits(f"`{m}`", vocabulary)).alias(m) for m in models]
     return wide.select(key, *decoded)

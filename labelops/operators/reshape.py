@@ -26,7 +26,7 @@ def one_hot_encode(df: DataFrame, labels: str = "labels", vocabulary: Sequence[s
 def decode_wide(df: DataFrame, vocabulary: Sequence[str] = LABELS, name: str = "labels") -> DataFrame:
     """Replace the 0/1 columns by one label array in vocabulary order."""
     rest = [quoted(c) for c in df.columns if c not in vocabulary]
-    return df.select(*rest, L.decode([f"`{v}` = 1" for v in vocabulary], vocabulary).alias(name))
+    return df.select(*rest, L.decode_columns(vocabulary).alias(name))
 
 
 def label_vector(vocabulary: Sequence[str] = LABELS) -> Column:

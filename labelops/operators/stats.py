@@ -23,7 +23,8 @@ def label_support(df: DataFrame, groups: Sequence[str] = (), vocabulary: Sequenc
     One counter per label in one aggregate: rows are never exploded, and what
     is shuffled is one row per task and group.
     """
-    counts = df.groupBy(*groups).agg(L.label_counts("labels", vocabulary).alias("counts"))
+    sets = df.select(*groups, L.label_bits("labels", vocabulary).alias("bits"))
+    counts = sets.groupBy(*groups).agg(L.label_counts("bits", len(vocabulary)).alias("counts"))
     long = counts.select(*groups, F.posexplode("counts").alias("pos", "n"))
     return long.select(*groups, "pos", label_at("pos", vocabulary).alias("label"), "n")
 

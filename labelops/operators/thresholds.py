@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelops.functions import labels as L
 from labelops.functions.scores import (
     GRID_SIZE,
+    binarise,
     f1_from_counts,
     grid_index,
     grid_positions,
@@ -33,10 +34,9 @@ def apply_thresholds(
     by_model = thresholds.groupBy(*keys).agg(F.map_from_entries(entries).alias("cut"))
     by_position = ", ".join(f"cut[{sql_string(v)}]" for v in vocabulary)
     cuts = by_model.select(*keys, F.expr(f"array({by_position})").alias("cuts"))
-    flags = ", ".join(f"cast(cast(scores[{i}] as double) >= cuts[{i}] as int)" for i in range(len(vocabulary)))
     return (
         join_bounded(scores, cuts, list(keys))
-        .withColumn("yhat", F.expr(f"array({flags})"))
+        .withColumn("yhat", F.zip_with("scores", "cuts", binarise))
         .drop("cuts")
         .withColumn("labels", L.decode_array("yhat", vocabulary))
     )
@@ -44,8 +44,8 @@ def apply_thresholds(
 
 def apply_threshold(scores: DataFrame, threshold: float, vocabulary: Sequence[str] = LABELS) -> DataFrame:
     """The same with one cut-off for all labels."""
-    flags = ", ".join(f"cast(cast(scores[{i}] as double) >= {float(threshold)!r}D as int)" for i in range(len(vocabulary)))
-    return scores.withColumn("yhat", F.expr(f"array({flags})")).withColumn("labels", L.decode_array("yhat", vocabulary))
+    flagged = scores.withColumn("yhat", F.transform("scores", lambda score: binarise(score, threshold)))
+    return flagged.withColumn("labels", L.decode_array("yhat", vocabulary))
 
 
 def grid_counts(scores: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:

@@ -52,7 +52,7 @@ class Inputs:
         """(id, text, lang, source, data_type, y, labels)."""
         has = [f"(doc_id * 29 + {pos * 13}) % {pos + 4} = 0" for pos in range(len(LABELS))]
         y = F.expr("array(" + ", ".join(f"cast({h} as int)" for h in has) + ")")
-        labels = L.decode(has)
+        labels = L.decode_array("y")
         day = F.col("doc_id") % 10
         split = F.when(day == 0, "Validation").when(day <= 2, "Development").otherwise("Train")
         return self.documents.select(
@@ -63,8 +63,7 @@ class Inputs:
             "source",
             split.alias("data_type"),
             y.alias("y"),
-            labels.alias("labels"),
-        )
+        ).withColumn("labels", labels)
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -23,7 +23,7 @@ def _cut(expr: str, literal: str) -> str:
 
 def sql_linebreaks(e: str) -> str:
     unescaped = f"replace({e}, {sql_text(chr(92) + 'n')}, ' ')"
-    return f"trim({_drop(unescaped, f'[ {T.OTHER_BLANKS}]+', ' ')}, ' ')"
+    return f"trim({_drop(unescaped, f'[ {T.LATIN_BLANKS}{T.WIDE_BLANKS}]+', ' ')}, ' ')"
 
 
 def sql_links(e: str) -> str:
