@@ -3,7 +3,8 @@
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from labelops.plans.catalog import ORACLE, QUERIES
 
 WITHOUT_SQL = {
     "b5_balance", "b6_balance_report", "m14_throughput",
@@ -18,14 +19,14 @@ def duck(small_dir):
 
 
 def test_registry_is_complete():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(QUERIES)
     numbers = {"s": 12, "v": 6, "p": 14, "j": 9, "a": 14, "w": 6, "x": 4, "f": 17, "b": 6, "m": 14, "u": 8}
-    registered = {part for name in queries() for part in name.split("_")}
+    registered = {part for name in QUERIES for part in name.split("_")}
     assert [f"{k}{i}" for k, n in numbers.items() for i in range(1, n + 1) if f"{k}{i}" not in registered] == []
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, small_dir, name):
     verdict = check.compare(spark, duck, name, small_dir)
     assert verdict.startswith(("ok", "rows only")) and "TYPES" not in verdict, verdict
@@ -36,13 +37,13 @@ def test_entry(spark, small_dir):
     assert 0 < row["f1_h"] < 1 and row["tp"] <= min(row["n_pred"], row["n_gold"])
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if n[0] in "apjxmwf" and n != "m14_throughput"))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[0] in "apjxmwf" and n != "m14_throughput"))
 def test_plan_has_no_cross_join_or_python(spark, small_dir, name):
-    plan = queries()[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan, bad
 
 
 def test_scan_reads_needed_columns_only(spark, small_dir):
-    plan = queries()["a1_label_support"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["a1_label_support"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
