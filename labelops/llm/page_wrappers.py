@@ -290,15 +290,15 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = _flat(parse(source or ""))
             old = found.get(host)
             found[host] = (align(old[0], node), old[1] + 1) if old else (node, 1)
-    yield _wrapper_rows(found)
+    yield _wrapper_rows(list(found), list(found.values()))
 
 
-def _wrapper_rows(found: dict[str, tuple[list, int]]) -> pa.RecordBatch:
+def _wrapper_rows(hosts: list[str], found: list[tuple[list, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(list(found), pa.string()),
-            pa.array([json.dumps(node) for node, _ in found.values()], pa.string()),
-            pa.array([pages for _, pages in found.values()], pa.int64()),
+            pa.array(hosts, pa.string()),
+            pa.array([json.dumps(node) for node, _ in found], pa.string()),
+            pa.array([pages for _, pages in found], pa.int64()),
         ],
         names=["host", "wrapper", "pages"],
     )
@@ -314,9 +314,7 @@ def _aligned(rows: DataFrame, *keys: str) -> DataFrame:
                 node, key = json.loads(text), (host, *salt)
                 old = found.get(key)
                 found[key] = (align(old[0], node), old[1] + pages) if old else (node, pages)
-        hosts = [key[0] for key in found]
-        out = _wrapper_rows(dict(enumerate(found.values())))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *out.columns[1:]], names=["host", "wrapper", "pages"])
+        yield _wrapper_rows([key[0] for key in found], list(found.values()))
 
     columns = ["host", "wrapper", "pages", *(k for k in keys if k != "host")]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "wrapper")
