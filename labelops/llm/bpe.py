@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the published pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +58,29 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+_MARKS = ".,;:!?"
+
+
+def atoms(piece: str) -> list[str]:
+    """Cut a piece further, around single line feeds and before marks that follow letters.
+
+    The pattern always ends a word at these places, so many pieces share their parts.
+    """
+    out: list[str] = []
+    lines = piece.split("\n") if "\n" in piece else [piece]
+    if len(lines) > 1 and any(not line or line[0] in " \t\r" and k or line[-1].isspace() or len(line.split()) > 1 for k, line in enumerate(lines)):
+        return [piece]
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n")
+        word = line.rstrip(_MARKS)
+        if word is not line and len(word) < len(line) and (word[1:] if word[:1] == " " else word).isalpha():
+            out += [word, line[len(word) :]]
+        else:
+            out.append(line)
+    return out
+
+
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file in the tokenizers format."""
 
@@ -177,10 +200,12 @@ class Bpe:
             first.add(parts[0])
             rest.update(parts[1:])
         rest -= self.spaced.keys()
-        plain = [p for p in rest if p and not p[0].isspace() and not p[-1].isspace()]
+        plain = {p: atoms(" " + p) for p in rest if p and not p[0].isspace() and not p[-1].isspace()}
+        self._know({a for own in plain.values() for a in own} | first)
+        known = self.known
         self.spaced.update(dict.fromkeys(rest))
-        self.spaced.update(zip(plain, self._learn([" " + p for p in plain])))
-        self._know(first)
+        for part, own in plain.items():
+            self.spaced[part] = known[own[0]] if len(own) == 1 else b"".join([known[a] for a in own])
         out, uncut = {}, {}
         for segment in segments:
             head, *parts = segment.split(" ")
@@ -200,9 +225,9 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; null counts as empty. Strings of special tokens become their ids."""
-        if len(self.known) + len(self.spaced) > CACHE_ENTRIES:
-            self.known.clear()
-            self.spaced.clear()
+        for cache in (self.known, self.spaced):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
         cut = {}
         for text in set(texts):
             segments, marks = [text or ""], []

@@ -2,12 +2,13 @@
 
 A token table is a folder of parts in ascending order of doc_id. Part k has
 
-* ``*.ids``: all token ids as unsigned 32-bit little-endian integers,
+* ``*.ids``: all token ids as unsigned little-endian integers, of 16 bits if all
+  ids of the vocabulary fit, else of 32 bits,
 * ``*.offsets``: n_docs + 1 signed 64-bit little-endian token offsets in it,
 * ``*.docs``: the doc_id of each document as signed 64-bit integers,
 
-and a Parquet manifest lists per part its file name and its numbers of
-documents and tokens. The offset of a part in the whole corpus is a prefix sum
+and a Parquet manifest lists per part its file name, its numbers of documents
+and tokens, and the bytes of an id. The offset of a part in the whole corpus is a prefix sum
 over the manifest, so no part waits for another.
 
 Names hold a random part: a task that runs twice, after the loss of an executor
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from labelops.llm.bpe import Bpe
 from labelops.session import scratch_path
 
-MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long"
+MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int"
+MANIFEST = pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
 _ROWS = 2048
 
 
@@ -60,9 +62,23 @@ class _Library(Bpe):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    #: Pieces that are encoded as one text, a special token between them.
+    JOINED = 1000
+
     def _learn(self, new: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if not self.specials:
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        mark, mark_id = next(iter(self.specials.items()))
+        joined = [mark.join(new[b : b + self.JOINED]) for b in range(0, len(new), self.JOINED)]
+        out: list[bytes] = []
+        for encoding in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark_id)
+            begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            out += [data[b:e] for b, e in zip(begins, ends)]
+        return out
 
 
 class _Whole:
@@ -89,6 +105,13 @@ def encoder(path: str):
     return _Library(path) if plain and not spec.get("normalizer") else _Whole(path)
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id in files of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values(), default=0) < 1 << 16 else 4
+
+
 def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into a token table at ``target``; returns its manifest.
 
@@ -97,6 +120,9 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
     empty table gives parts without documents. Other columns are ignored.
     """
 
+    width = max(id_width(tokenizer_path), 2 if end_id < 1 << 16 else 4)
+    kind = f"<u{width}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = folder(target)
         part = TaskContext.get().partitionId()
@@ -110,15 +136,16 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
                 for start in range(0, batch.num_rows, _ROWS):
                     encoded = encode(batch.column(1).slice(start, _ROWS).to_pylist())
                     counts.append(np.array([len(e) + 1 for e in encoded], np.int64))
-                    end = np.array([end_id], "<u4").tobytes()
-                    out.write(b"".join([x for e in encoded for x in (e.tobytes(), end)]))
+                    end = np.array([end_id], "<u4")
+                    if encoded:
+                        out.write(np.concatenate([x for e in encoded for x in (e, end)]).astype(kind).tobytes())
         offsets = np.cumsum(np.concatenate(counts)).astype("<i8")
         with system.open_output_stream(f"{root}/{name}.offsets") as out:
             out.write(offsets.tobytes())
         with system.open_output_stream(f"{root}/{name}.docs") as out:
             out.write(b"".join(x.tobytes() for x in ids_of))
-        row = {"part": [part], "name": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]}
-        yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        row = {"part": [part], "name": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": [width]}
+        yield pa.RecordBatch.from_pydict(row, MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -136,13 +163,13 @@ def _mapped(system: fs.FileSystem, path: str) -> memoryview:
         return memoryview(file.read())
 
 
-def documents_of(system: fs.FileSystem, root: str, name: str) -> Iterator[tuple[int, int, memoryview]]:
-    """(doc_id, offset in the part, bytes of its ids) of each document of a part."""
-    ids = _mapped(system, f"{root}/{name}.ids")
+def documents_of(system: fs.FileSystem, root: str, name: str, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc_id, offset in the part, its ids) of each document of a part."""
+    ids = np.frombuffer(_mapped(system, f"{root}/{name}.ids"), f"<u{width}")
     offsets = np.frombuffer(_mapped(system, f"{root}/{name}.offsets"), "<i8").tolist()
     docs = np.frombuffer(_mapped(system, f"{root}/{name}.docs"), "<i8").tolist()
     for doc, begin, end in zip(docs, offsets, offsets[1:]):
-        yield doc, begin, ids[4 * begin : 4 * end]
+        yield doc, begin, ids[begin:end]
 
 
 def read_digests(spark, target: str) -> DataFrame:
@@ -150,13 +177,14 @@ def read_digests(spark, target: str) -> DataFrame:
     manifest = spark.read.parquet(f"{target}/manifest").where("n_docs > 0")
     n = max(1, manifest.count())
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base")).repartition(n)
+    parts = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base"), "width").repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = folder(target)
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(doc, base + at, len(ids) // 4, zlib.crc32(ids)) for doc, at, ids in documents_of(system, root, name)]
+            for name, base, width in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = documents_of(system, root, name, width)
+                rows = [(doc, base + at, len(ids), zlib.crc32(ids.astype("<u4"))) for doc, at, ids in found]
                 columns = np.array(rows, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
