@@ -76,7 +76,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 def _templates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(leaf, line, template) of the wanted distinct lines whose template has enough fixed tokens."""
     places = wanted.select(F.col("first").alias("doc"), "leaf", "line", "docs")
-    texts = docs.join(places.select("doc").distinct(), "doc", "left_semi")
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    texts = docs.join(places.select("doc").distinct().hint("merge"), "doc", "left_semi")
     lines = _lines(texts).select("doc", "masked", _leaf(F.col("masked")).alias("leaf"), F.xxhash64("masked").alias("line"))
     lines = lines.join(places, ["doc", "leaf", "line"]).dropDuplicates(["leaf", "line"])
     tokens = lines.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
@@ -112,5 +113,6 @@ def _without(docs: DataFrame) -> DataFrame:
     gone = recurring_lines(named).groupBy("doc").agg(F.collect_set("place").alias("places"))
     kept = F.filter(F.split("text", "\n"), lambda line, place: ~F.array_contains("__places", place.cast("int")))
     text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.withColumn("__doc", id_).join(gone.select(F.col("doc").alias("__doc"), F.col("places").alias("__places")), "__doc", "left")
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("places").alias("__places")).hint("merge")
+    joined = docs.withColumn("__doc", id_).join(gone, "__doc", "left")
     return joined.withColumn("text", text)
