@@ -13,11 +13,16 @@ similarity of at least 0.75. All links between different sets are found:
    sets of up to PAIR_SIZE shingles only; larger sets index their frequent
    shingles singly. Sets between PAIR_SIZE and PAIR_SIZE / 0.75 do both, so no
    link across the limit is lost.
-3. Entities sharing an index key are candidates. They are not paired up: each
+3. Entities sharing an index key are candidates if their sizes are near enough:
+   sizes fall into bands of ratio 4/3, and a key is looked at for every two
+   neighbouring bands by itself. They are not paired up: each
    is listed under the smallest entity of the key, its centre. All entities
    that share a key share its centre, so every candidate pair meets in the
    group of a centre.
-4. A group is verified exactly by set intersection, in tasks of at most
+4. Counts of shingles per hash bucket bound each intersection from above; only
+   entities that pass the bound with another one of their group go on, so few
+   texts are moved.
+   A group is verified exactly by set intersection, in tasks of at most
    BLOCK entities (or two blocks), which give back a spanning forest of the
    links found. Groups above BLOCK are first verified block by block, each
    block with the centre; only the entities that stay apart from the centre's
@@ -31,6 +36,7 @@ result. Shingles stand as 64-bit hashes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +51,11 @@ from labelops.session import stored
 PERCENT = 75
 PAIR_SIZE = 48
 BLOCK = 512
-FREQUENT = 0.002
-FREQUENT_LEAST = 8
+BUCKETS = 256
+FREQUENT = 0.0005
+FREQUENT_LEAST = 4
 
+_BUCKET = np.uint64(64 - 8)
 _SINGLE, _PAIR = np.uint64(0x51A3C2B1), np.uint64(0x9B97F4A7)
 
 
@@ -63,9 +71,15 @@ def _set_keys(values: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a]))[0].view(np.int64)), int((a ^ b).view(np.int64))
 
 
+def bucket_counts(values: np.ndarray) -> bytes:
+    """How many shingles fall into each of BUCKETS buckets, one byte each; empty if a count does not fit."""
+    counts = np.bincount((mix(values ^ np.uint64(0xB5026F5AA96619E9)) >> _BUCKET).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set size and keys (doc not null); per partition its frequent shingles (doc null)."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
     seen: set[int] = set()
     pending: list[np.ndarray] = []
     size = documents = 0
@@ -79,9 +93,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return held, np.bincount(where, np.concatenate((counts, n[keep])), len(held)).astype(np.int64)
 
     for batch in batches:
-        rows = []
+        rows, counted = [], []
         for values in shingle_lists(batch.column(1).to_pylist()):
             values = np.unique(values)
+            counted.append(bucket_counts(values))
             keys = _set_keys(values) if len(values) else (0, 0)
             rows.append((len(values), *keys))
             documents += 1
@@ -93,13 +108,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, counts = fold(held, counts)
                     pending, size = [], 0
         columns = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns.T)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns.T), pa.array(counted, pa.binary())], schema=schema)
     if pending:
         held, counts = fold(held, counts)
     often = counts >= max(FREQUENT_LEAST, FREQUENT * documents)
     values = held[often].view(np.int64)
     nulls = pa.nulls(len(values), pa.int64())
-    yield pa.RecordBatch.from_arrays([nulls, pa.array(counts[often]), pa.array(values), nulls], schema=schema)
+    columns = [nulls, pa.array(counts[often]), pa.array(values), nulls, pa.nulls(len(values), pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def signatures(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +143,28 @@ def signatures(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tu
     return mix(rare[:plain] ^ _SINGLE), np.concatenate(keys)
 
 
+def _limits() -> list[int]:
+    """Least sizes of bands: sizes of linked sets are in the same band or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // PERCENT + 1)
+    return out
+
+
+_LIMITS = _limits()
+
+
+def band(size: int) -> int:
+    return bisect_right(_LIMITS, size)
+
+
 def _index(frequent: np.ndarray, rank: np.ndarray, common: bool):
     """Index keys (sig, entity), either those of rare shingles or those of common ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, entities = [], []
+            keys, entities, sizes = [], [], []
             for values in shingle_lists(batch.column(0).to_pylist()):
                 values = np.unique(values)
                 entity = _set_keys(values)[0] if len(values) else 0
@@ -143,10 +174,10 @@ def _index(frequent: np.ndarray, rank: np.ndarray, common: bool):
                 own = signatures(values, frequent, rank)[common]
                 keys.append(own)
                 entities.append(np.full(len(own), entity, np.int64))
+                sizes.append(np.full(len(own), band(len(values)), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(entities))], names=["sig", "entity"]
-                )
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(entities), np.concatenate(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "entity", "band"])
 
     return run
 
@@ -215,21 +246,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = zip(*found)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    unit, rows = None, []
+    for rows in _by_unit(batches, 4):
+        if len(rows) > 1 and (found := links(rows)):
+            yield out(found)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, side, entity, n, counts), sorted by unit, to those (unit, side, entity) that may link in their unit."""
+
+    def passing(rows: list[tuple]) -> list[tuple]:
+        sides = np.array([r[1] for r in rows])
+        names = np.array([r[2] for r in rows])
+        sizes = np.array([r[3] for r in rows])
+        uncounted = np.array([not r[4] for r in rows])
+        counts = np.array([np.frombuffer(r[4] or bytes(BUCKETS), np.uint8) for r in rows])
+        two = len(set(sides.tolist())) > 1
+        passed = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            most = np.minimum(counts[i], counts[i + 1 :]).sum(axis=1, dtype=np.int64)
+            most = np.where(uncounted[i] | uncounted[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :]), most)
+            near = (100 * most >= PERCENT * (sizes[i] + sizes[i + 1 :] - most)) & (names[i + 1 :] != names[i])
+            if two:
+                near &= sides[i + 1 :] != sides[i]
+            if near.any():
+                passed[i] = True
+                passed[i + 1 :] |= near
+        return [r[:3] for r, ok in zip(rows, passed) if ok]
+
+    schema = pa.schema([("unit", pa.int64()), ("side", pa.int32()), ("entity", pa.int64())])
+    for rows in _by_unit(batches, 5):
+        if len(rows) > 1 and (kept := passing(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
+    """The rows of each unit; rows come sorted by their first column."""
+    rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if row[0] != unit:
-                if len(rows) > 1 and (found := links(rows)):
-                    yield out(found)
-                unit, rows = row[0], []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(columns))):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
             rows.append(row)
-    if len(rows) > 1 and (found := links(rows)):
-        yield out(found)
+    if rows:
+        yield rows
 
 
-def _links(units: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(units: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links of units (unit, side, entity)."""
-    rows = units.join(texts, "entity").select("unit", "side", "entity", "text")
+    counted = units.join(owner.select("entity", "n", "counts"), "entity").select("unit", "side", "entity", "n", "counts")
+    dealt = counted.repartition("unit").sortWithinPartitions("unit", "side", "entity")
+    units = stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
+    wanted = units.select("entity").distinct()
+    # The wanted documents grow with the corpus, so they are never broadcast.
+    texts = owner.join(wanted, "entity", "left_semi").select("entity", "doc").hint("merge").join(docs, "doc").select("entity", "text")
+    rows = units.join(texts.mapInArrow(_own_texts, "entity long, text string"), "entity").select("unit", "side", "entity", "text")
     dealt = rows.repartition("unit").sortWithinPartitions("unit", "side", "entity")
     return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
 
@@ -244,8 +315,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    scanned = stored(docs.mapInArrow(_scan, "doc long, n long, k1 long, k2 long"), "sets")
-    sets = scanned.where("k2 is not null").select("doc", "n", F.col("k1").alias("entity"), "k2")
+    scanned = stored(docs.mapInArrow(_scan, "doc long, n long, k1 long, k2 long, counts binary"), "sets")
+    sets = scanned.where("k2 is not null").select("doc", "n", F.col("k1").alias("entity"), "counts")
 
     # At most 1 / FREQUENT * (mean size of a set) shingles pass this filter.
     total = sets.count()
@@ -257,25 +328,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rank = np.empty(len(held), np.int64)
     rank[np.lexsort((frequent, held))] = np.arange(len(held))
 
-    listed = _listed(docs.select("text"), frequent, rank)
-    sizes = listed.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    stars = stored(listed.join(sizes.where("blocks > 1"), "centre", "left"), "stars")
-
-    owner = stored(sets.where("n > 0").groupBy("entity").agg(F.min("doc").alias("doc")), "owners")
-    wanted = stars.select("entity").union(stars.select(F.col("centre").alias("entity"))).distinct()
-    texts = owner.join(wanted, "entity", "left_semi").join(docs, "doc").select("entity", "text")
-    texts = stored(texts.mapInArrow(_own_texts, "entity long, text string"), "texts")
+    stars = _grouped(_listed(docs.select("text"), frequent, rank))
 
+    owner = sets.where("n > 0").groupBy("entity").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    owner = stored(owner, "owners")
     spot = F.when(F.col("blocks").isNull(), 0).otherwise(_spot("blocks"))
     members = stars.select("centre", spot.alias("spot"), "entity")
     heads = members.select("centre", "spot").distinct().select("centre", "spot", F.col("centre").alias("entity"))
     units = members.union(heads).select(F.xxhash64("centre", "spot").alias("unit"), F.lit(0).alias("side"), "entity")
-    links = _links(units, texts)
+    links = _links(units, owner, docs)
     found = components(links)
 
     large = stars.where("blocks is not null")
     if not large.isEmpty():
-        links = links.union(_links(_apart(large, found), texts))
+        links = links.union(_links(_apart(large, found), owner, docs))
         found = components(links)
 
     roots = found.select(F.col("node").alias("entity"), "root")
@@ -289,6 +355,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(listed: DataFrame) -> DataFrame:
+    """(centre, entity, blocks): the groups to verify, ``blocks`` being null for those of one block."""
+    sizes = listed.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return stored(listed.join(sizes.where("blocks > 1"), "centre", "left"), "stars")
+
+
 def _spot(blocks: str, seed: int = 0):
     return F.pmod(F.xxhash64("entity", F.lit(seed)), F.col(blocks)).cast("int")
 
@@ -300,15 +372,17 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     together; those of frequent ones are reduced to their smallest entity
     before it is joined back, so that no task sees all rows of such a key.
     """
-    schema = "sig long, entity long"
+    schema = "sig long, entity long, band int"
+    bands = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
     rare = texts.mapInArrow(_index(frequent, rank, False), schema)
-    centre = F.min("entity").over(Window.partitionBy("sig")).alias("centre")
+    rare = rare.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1").select("sig", "entity", bands)
+    centre = F.min("entity").over(Window.partitionBy("sig", "band")).alias("centre")
     listed = rare.select(centre, "entity").where("centre <> entity")
     if len(frequent):
-        common = stored(texts.mapInArrow(_index(frequent, rank, True), schema), "common")
-        least = common.groupBy("sig").agg(F.min("entity").alias("centre"), F.max("entity").alias("last"))
-        least = least.where("centre <> last").select("sig", "centre")
-        listed = listed.union(common.join(least, "sig").where("centre <> entity").select("centre", "entity"))
+        common = stored(texts.mapInArrow(_index(frequent, rank, True), schema), "common").select("sig", "entity", bands)
+        least = common.groupBy("sig", "band").agg(F.min("entity").alias("centre"), F.max("entity").alias("last"))
+        least = least.where("centre <> last").select("sig", "band", "centre")
+        listed = listed.union(common.join(least, ["sig", "band"]).where("centre <> entity").select("centre", "entity"))
     return stored(listed.distinct(), "candidates")
 
 
