@@ -51,11 +51,11 @@ from labelops.session import stored
 PERCENT = 75
 PAIR_SIZE = 48
 BLOCK = 512
-BUCKETS = 256
+BUCKETS = 512
 FREQUENT = 0.0005
 FREQUENT_LEAST = 4
 
-_BUCKET = np.uint64(64 - 8)
+_BUCKET = np.uint64(64 - 9)
 _SINGLE, _PAIR = np.uint64(0x51A3C2B1), np.uint64(0x9B97F4A7)
 
 
