@@ -21,6 +21,20 @@ def _has(labels: str, name: str) -> str:
     return f"array_contains({labels}, {sql_string(name)})"
 
 
+def known(labels: str = "labels", vocabulary: Sequence[str] = NODES) -> Column:
+    """The array itself; an entry outside the vocabulary is an error."""
+    strange = f"array_except({labels}, {sql_array(vocabulary)})"
+    refused = _refusal(f"array_join({strange}, ', ', 'NULL')")
+    return F.expr(f"if(size({strange}) > 0, {refused}, {labels})")
+
+
+def _refusal(name: str) -> str:
+    return f"raise_error(concat('label outside the vocabulary: ', {name}))"
+
+
+UNKNOWN = _refusal("coalesce(v, 'NULL')")
+
+
 def one_hot(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> list[str]:
     """One 0/1 column per vocabulary entry, as SQL for ``selectExpr``."""
     return [f"cast({_has(labels, v)} as int) as `{v}`" for v in vocabulary]
@@ -68,12 +82,15 @@ def _sql_map(entries: dict[str, str]) -> str:
 
 
 def _bit_set(labels: str, bits: dict[str, int]) -> Column:
+    if len(bits) > 63:
+        raise ValueError(f"a BIGINT holds sets of up to 63 labels, not {len(bits)}")
     lookup = _sql_map({name: f"{mask}L" for name, mask in bits.items()})
-    return F.expr(f"aggregate({labels}, 0L, (bits, v) -> bits | coalesce({lookup}[v], 0L))")
+    refused = f"cast({UNKNOWN} as bigint)"
+    return F.expr(f"aggregate({labels}, 0L, (bits, v) -> bits | coalesce({lookup}[v], {refused}))")
 
 
 def label_bits(labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> Column:
-    """The set of labels as bits of a BIGINT (up to 63 entries); unknown labels leave no bit."""
+    """The set of labels as bits of a BIGINT (up to 63 entries); an unknown label is an error."""
     return _bit_set(labels, {v: 1 << i for i, v in enumerate(vocabulary)})
 
 
@@ -81,15 +98,16 @@ def node_bits(labels: str = "labels") -> Column:
     """Labels and all their ancestors as bits of a BIGINT.
 
     Set size is then ``bit_count`` and intersection ``&``, without a shuffle,
-    and duplicates within an array count once.
+    and duplicates within an array count once. An unknown label is an error.
     """
     return _bit_set(labels, {n: closure_mask(n) for n in NODES})
 
 
 def with_ancestors(labels: str = "labels") -> Column:
-    """Labels and all their ancestors as a sorted array."""
+    """Labels and all their ancestors as a sorted array; an unknown label is an error."""
     lookup = _sql_map({n: sql_array(sorted(closure(n))) for n in NODES})
-    nodes = f"transform({labels}, v -> coalesce({lookup}[v], array()))"
+    refused = f"cast({UNKNOWN} as array<string>)"
+    nodes = f"transform({labels}, v -> coalesce({lookup}[v], {refused}))"
     return F.expr(f"sort_array(array_distinct(flatten({nodes})))")
 
 

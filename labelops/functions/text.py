@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 # Python and RE2 regular expressions.
 LATIN_BLANKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 WIDE_BLANKS = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WEB_LINK = "http[^ ]+"
-SHORT_LINK = "bit.ly/[^ ]+"
-PICTURE_LINK = "pic.twitter[^ ]+"
-RETWEET = "RT @[A-Za-z]+[A-Za-z0-9_-]+"
+WEB_LINK = f"http[^ {LATIN_BLANKS}{WIDE_BLANKS}]+"
+SHORT_LINK = f"bit.ly/[^ {LATIN_BLANKS}{WIDE_BLANKS}]+"
+PICTURE_LINK = f"pic.twitter[^ {LATIN_BLANKS}{WIDE_BLANKS}]+"
+RETWEET = f"RT[ {LATIN_BLANKS}{WIDE_BLANKS}]@[A-Za-z]+[A-Za-z0-9_-]+"
 MENTION = "@[A-Za-z]+[A-Za-z0-9_-]+"
 HASHTAG = "#[A-Za-z]+[A-Za-z0-9_-]+"
 SYMBOLS = r"[\x{24C2}-\x{10FFFF}]+"

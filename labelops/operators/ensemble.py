@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
-from labelops.vocab import LABELS, sql_string
+from labelops.vocab import NODES, sql_string
 
 
 def label_votes(
-    predictions: DataFrame, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = LABELS
+    predictions: DataFrame, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = NODES
 ) -> DataFrame:
     """Number of models that predict each label, as an array per key.
 
@@ -20,24 +20,17 @@ def label_votes(
     it; a key without any label keeps a row of zeros. A label outside the
     vocabulary is an error and not dropped.
     """
-    strange = F.array_join(L.unknown_labels("labels", vocabulary), ", ")
-    error = F.raise_error(F.concat(F.lit("label outside the vocabulary: "), strange)).cast("long")
-    sets = predictions.select(*keys, "labels", L.label_bits("labels", vocabulary).alias("known"))
-    complete = F.bit_count("known") == F.size(F.array_distinct("labels"))
-    return (
-        sets.select(*keys, F.when(complete | F.col("labels").isNull(), F.col("known")).otherwise(error).alias("bits"))
-        .groupBy(*keys)
-        .agg(L.label_counts("bits", len(vocabulary)).alias("votes"))
-    )
+    sets = predictions.select(*keys, L.label_bits("labels", vocabulary).alias("bits"))
+    return sets.groupBy(*keys).agg(L.label_counts("bits", len(vocabulary)).alias("votes"))
 
 
-def labels_with_votes(at_least: float, vocabulary: Sequence[str] = LABELS) -> Column:
+def labels_with_votes(at_least: float, vocabulary: Sequence[str] = NODES) -> Column:
     """Labels whose votes reach a number."""
     return L.decode_array("votes", vocabulary, f"flag >= {float(at_least)!r}D")
 
 
 def ensemble_by_union(
-    predictions: DataFrame, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = LABELS
+    predictions: DataFrame, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = NODES
 ) -> DataFrame:
     """Labels predicted by any model."""
     votes = label_votes(predictions, keys, vocabulary)
@@ -49,7 +42,7 @@ def ensemble_by_vote(
     n_models: int,
     share: float = 0.5,
     keys: Sequence[str] = ("id",),
-    vocabulary: Sequence[str] = LABELS,
+    vocabulary: Sequence[str] = NODES,
 ) -> DataFrame:
     """Labels predicted by at least a share of the models loaded."""
     votes = label_votes(predictions, keys, vocabulary)
@@ -57,7 +50,7 @@ def ensemble_by_vote(
 
 
 def both_ensembles(
-    predictions: DataFrame, n_models: int, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = LABELS
+    predictions: DataFrame, n_models: int, keys: Sequence[str] = ("id",), vocabulary: Sequence[str] = NODES
 ) -> DataFrame:
     """Union and vote from one aggregate: (keys, ensemble, labels)."""
     votes = label_votes(predictions, keys, vocabulary)
@@ -69,14 +62,16 @@ def both_ensembles(
 
 
 def aligned_models(
-    predictions: DataFrame, models: Sequence[str], key: str = "id", vocabulary: Sequence[str] = LABELS
+    predictions: DataFrame, models: Sequence[str], key: str = "id", vocabulary: Sequence[str] = NODES
 ) -> DataFrame:
     """One row per key with one label array per model, NULL where a model has none.
 
     The models stay one long table; a single aggregate of one BIGINT per model
-    takes the place of a chain of joins.
+    takes the place of a chain of joins. A model outside the list is an error.
     """
-    sets = predictions.select(key, "model", L.label_bits("labels", vocabulary).alias("bits"))
+    refused = F.raise_error(F.concat(F.lit("model outside the list: "), F.coalesce("model", F.lit("NULL"))))
+    listed = F.when(F.col("model").isin(*models), L.label_bits("labels", vocabulary)).otherwise(refused.cast("long"))
+    sets = predictions.select(key, "model", listed.alias("bits"))
     wide = sets.groupBy(key).agg(
         *[F.expr(f"bit_or(if(model = {sql_string(m)}, bits, null))").alias(m) for m in models]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
@@ -96,15 +96,45 @@ def hierarchical_scores(aligned: DataFrame, groups: Sequence[str] = ()) -> DataF
     )
 
 
-def align(gold: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
-    """Gold and predicted labels of the same key on one row."""
-    return gold.select(key, F.col("labels").alias("gold")).join(
-        predictions.withColumnRenamed("labels", "predicted"), key
+def align(
+    gold: DataFrame, predictions: DataFrame, key: str = "id", run: Sequence[str] = (), n_runs: int = 1
+) -> DataFrame:
+    """Gold and predicted labels of the same key on one row.
+
+    Both sides must hold the same keys: gold once, the predictions once for
+    each of ``n_runs`` runs, which the columns ``run`` tell apart. A key that
+    lacks on either side or in a run, one without labels, and a repeated one
+    are errors (``validate.last_record_wins`` settles repeats beforehand).
+    They are found after the join, on its own partitions and without a job.
+    """
+    both = gold.select(key, F.col("labels").alias("gold")).join(
+        predictions.withColumnRenamed("labels", "predicted"), key, "full"
+    )
+    own = Window.partitionBy(key)
+    problem = (
+        F.when(F.col("gold").isNull(), F.lit("not in gold, or without labels there"))
+        .when(F.col("predicted").isNull(), F.lit("not predicted, or without labels there"))
+        .when(F.count(F.lit(1)).over(own) != n_runs, F.lit(f"not there once for each of {n_runs} runs"))
     )
+    if run:
+        this = F.struct(*run)
+        problem = F.coalesce(problem, F.when(F.lag(this).over(own.orderBy(*run)) == this, F.lit("repeated in a run")))
+    told = both.withColumn("__problem", problem)
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    error = F.raise_error(F.concat(F.lit("id "), name, F.lit(" is "), F.col("__problem"))).cast("array<string>")
+    return told.withColumn(
+        "predicted", F.when(F.col("__problem").isNull(), F.col("predicted")).otherwise(error)
+    ).drop("__problem")
 
 
 def binary_scores(df: DataFrame, classes: Sequence[str], gold: str = "gold", predicted: str = "predicted") -> DataFrame:
-    """Macro and micro F1 of single labels; one pass, one row."""
+    """Macro and micro F1 of single labels; one pass, one row. A class outside the list is an error."""
+    def listed(column: str) -> Column:
+        name = F.coalesce(F.col(column).cast("string"), F.lit("NULL"))
+        error = F.raise_error(F.concat(F.lit("class outside the list: "), name)).cast(df.schema[column].dataType)
+        return F.when(F.col(column).isin(*classes), F.col(column)).otherwise(error).alias(column)
+
+    df = df.select(listed(gold), listed(predicted))
     g, p = F.col(gold), F.col(predicted)
     count = lambda condition: F.sum(condition.cast("long"))
     counts = df.agg(
@@ -133,7 +163,12 @@ def majority_predictions(df: DataFrame, label: str | None = None, key: str = "id
 
 
 def best_run(runs: DataFrame, metric: str = "ap", groups: Sequence[str] = ()) -> DataFrame:
-    """The run with the highest metric, per group if groups are given."""
+    """The run with the highest metric, per group if groups are given.
+
+    Equal metrics go to the run that comes first by its other columns; runs
+    with a NULL or NaN metric come last.
+    """
     others = [c for c in runs.columns if c not in groups]
-    best = F.max_by(F.struct(*others), F.col(metric)).alias("best")
-    return runs.groupBy(*groups).agg(best).select(*groups, "best.*")
+    unknown = F.col(metric).isNull() | F.isnan(metric)
+    best = F.min(F.struct(unknown.alias("__unknown"), (-F.col(metric)).alias("__metric"), *others)).alias("best")
+    return runs.groupBy(*groups).agg(best).select(*groups, *[F.col(f"best.`{c}`").alias(c) for c in others])

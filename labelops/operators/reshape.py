@@ -18,9 +18,9 @@ def quoted(name: str) -> Column:
 
 
 def one_hot_encode(df: DataFrame, labels: str = "labels", vocabulary: Sequence[str] = LABELS) -> DataFrame:
-    """Replace the label array by one 0/1 column per vocabulary entry."""
+    """Replace the label array by one 0/1 column per vocabulary entry; an unknown label is an error."""
     rest = [f"`{c}`" for c in df.columns if c != labels]
-    return df.selectExpr(*rest, *L.one_hot(labels, vocabulary))
+    return df.withColumn(labels, L.known(labels, vocabulary)).selectExpr(*rest, *L.one_hot(labels, vocabulary))
 
 
 def decode_wide(df: DataFrame, vocabulary: Sequence[str] = LABELS, name: str = "labels") -> DataFrame:

@@ -30,8 +30,9 @@ def label_support(df: DataFrame, groups: Sequence[str] = (), vocabulary: Sequenc
 
 
 def labels_per_split(df: DataFrame, split: str = "data_type") -> DataFrame:
-    """Number of labels assigned in each split."""
-    return df.groupBy(split).agg(F.sum(F.size("labels").cast("long")).alias("total"))
+    """Number of labels assigned in each split; a label counts once per row, as in the supports."""
+    sets = df.select(split, L.label_bits("labels").alias("bits"))
+    return sets.groupBy(split).agg(F.sum(F.bit_count("bits").cast("long")).alias("total"))
 
 
 def split_label_counts(df: DataFrame, split: str = "data_type") -> DataFrame:

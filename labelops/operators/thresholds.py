@@ -18,7 +18,6 @@ from labelops.functions.scores import (
     ratio,
 )
 from labelops.operators.reshape import score_elements
-from labelops.session import join_bounded
 from labelops.vocab import LABELS, label_at, sql_string
 
 
@@ -28,14 +27,20 @@ def apply_thresholds(
     """Add ``yhat`` (0/1 array) and ``labels`` from cut-offs (keys, label, threshold).
 
     Cut-offs are matched by label name. They are gathered into one row per
-    model, so the scores keep one row per id and are not shuffled.
+    model, so the scores keep one row per id. Rows of a model without cut-offs,
+    and a vocabulary label without one, are an error.
     """
     entries = F.collect_set(F.struct("label", "threshold"))
     by_model = thresholds.groupBy(*keys).agg(F.map_from_entries(entries).alias("cut"))
     by_position = ", ".join(f"cut[{sql_string(v)}]" for v in vocabulary)
-    cuts = by_model.select(*keys, F.expr(f"array({by_position})").alias("cuts"))
+    run = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    refusal = lambda text: F.raise_error(F.concat(F.lit(text), run)).cast("array<double>")
+    cuts = by_model.withColumn("cuts", F.expr(f"array({by_position})").cast("array<double>"))
+    lacking = F.exists("cuts", lambda cut: cut.isNull())
+    cuts = cuts.select(*keys, F.when(lacking, refusal("a label has no cut-off: ")).otherwise(F.col("cuts")).alias("cuts"))
     return (
-        join_bounded(scores, cuts, list(keys))
+        scores.join(cuts, list(keys), "left")
+        .withColumn("cuts", F.coalesce("cuts", refusal("no cut-offs: ")))
         .withColumn("yhat", F.zip_with("scores", "cuts", binarise))
         .drop("cuts")
         .withColumn("labels", L.decode_array("yhat", vocabulary))

@@ -50,11 +50,13 @@ def same_keys(left: DataFrame, right: DataFrame, key: str = "id") -> bool:
 def last_record_wins(df: DataFrame, order: str = "record_no", key: str = "id") -> DataFrame:
     """One row per key, the one read last.
 
-    ``max_by`` combines before the shuffle, so a key with very many copies is
-    no burden for a single task.
+    The maximum combines before the shuffle, so a key with very many copies is
+    no burden for a single task. Equal places in the order go to the largest
+    content, so that the result never depends on chance.
     """
     others = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last")).select(key, "last.*")
+    last = F.max(F.struct(order, *[c for c in others if c != order])).alias("last")
+    return df.groupBy(key).agg(last).select(key, *[F.col(f"last.`{c}`").alias(c) for c in others])
 
 
 def misaligned_ids(predictions: DataFrame, n_models: int, key: str = "id") -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from labelops.functions import labels as L
 from labelops.functions.text import clean_text
 from labelops.operators.thresholds import apply_thresholds
-from labelops.session import spread
 from labelops.vocab import DISPLAY_ORDER, LABELS, NODES, closure, sql_string
 
 # Six models, trained on two training sets.
@@ -45,7 +44,7 @@ class Inputs:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     @cached_property
     def gold(self) -> DataFrame:

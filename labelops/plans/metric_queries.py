@@ -281,7 +281,7 @@ def hierarchical(t: Inputs) -> DataFrame:
     *_hierarchical_cte("model, train_set, lang", "preds_long"),
 )
 def report(t: Inputs) -> DataFrame:
-    aligned = metrics.align(t.gold, t.predictions.select("id", "model", "train_set", "labels", "lang"))
+    aligned = metrics.align(t.gold, t.predictions.select("id", "model", "train_set", "labels", "lang"), run=["model"], n_runs=6)
     return _rounded_scores(metrics.hierarchical_scores(aligned, ["model", "train_set", "lang"]))
 
 
@@ -302,7 +302,7 @@ ensembles AS (
 )
 def ensemble_report(t: Inputs) -> DataFrame:
     both = ensemble.both_ensembles(t.predictions, n_models=3, keys=["id", "train_set"])
-    aligned = metrics.align(t.gold, both)
+    aligned = metrics.align(t.gold, both, run=["train_set", "ensemble"], n_runs=4)
     return _rounded_scores(metrics.hierarchical_scores(aligned, ["train_set", "ensemble"]))
 
 

@@ -125,7 +125,6 @@ def grid(t: Inputs) -> DataFrame:
         labelled,
         models.candidate_estimators(max_iter=5),
         n_labels=2,
-        finished=[("linear_svc", "balanced_train")],
         split="data_type",
     )
 

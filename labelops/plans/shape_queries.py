@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelops.functions import labels as L
 from labelops.operators import ensemble, metrics, reshape, stats, validate
 from labelops.operators.thresholds import apply_threshold
-from labelops.plans.inputs import MODEL_NAMES, Inputs, joined, sql_text
+from labelops.plans.inputs import MODEL_NAMES, SPLITS, Inputs, joined, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
 from labelops.vocab import LABELS, label_at
@@ -77,10 +77,9 @@ def rename(t: Inputs) -> DataFrame:
     return t.gold.select("id", "text", "source").withColumnsRenamed({"text": "sentence", "source": "link"})
 
 
-@query("p6_tag_splits", "SELECT id, lang AS data_type FROM docs")
+@query("p6_tag_splits", "SELECT id, data_type FROM docs")
 def tag(t: Inputs) -> DataFrame:
-    languages = ("en", "fr", "de", "es")
-    parts = {lang: t.gold.filter(F.col("lang") == lang).select("id") for lang in languages}
+    parts = {split: t.gold.filter(F.col("data_type") == split).select("id") for split in SPLITS}
     return reshape.tag_splits(parts)
 
 
@@ -135,7 +134,7 @@ def label_columns(t: Inputs) -> DataFrame:
        FROM gold g JOIN preds p ON g.id = p.id""",
 )
 def gold_with_predictions(t: Inputs) -> DataFrame:
-    both = metrics.align(t.gold, t.predictions.select("id", "model", "labels"))
+    both = metrics.align(t.gold, t.predictions.select("id", "model", "labels"), run=["model"], n_runs=len(MODEL_NAMES))
     return both.select("id", "model", L.joined("gold").alias("gold"), L.joined("predicted").alias("predicted"))
 
 

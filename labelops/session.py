@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, materialisation and checked broadcasts."""
+"""Session helpers: shared scratch space, materialisation."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A join side is broadcast only after its row count was found to be within this.
-MAX_BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,33 +48,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is stored in fewer splits than there are cores.
-
-    A small table may be a single row group, and so a single task for all work
-    per row. A table with enough splits is returned as it is, without shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
-def join_bounded(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | list[str],
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join with a side that is expected to be small.
-
-    The small side is broadcast only if its row count proves to be within
-    ``max_rows``; otherwise it stays a plain join that adaptive execution may
-    split on skewed keys.
-    """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)

@@ -134,8 +134,10 @@ def test_apply_thresholds_by_name(spark):
         s = data[r["model"]][1][int(r["id"])]
         expected = [int(s[i] >= 0.3 + 0.01 * i) for i in range(20)]
         assert r["yhat"] == expected and r["labels"] == [v for v, flag in zip(LABELS, expected) if flag]
-    beyond = thresholds.join_bounded(df, table.select("model").distinct(), "model", max_rows=1)
-    assert beyond.count() == df.count()
+    with pytest.raises(Exception, match="no cut-offs: b"):
+        thresholds.apply_thresholds(df, table.where("model = 'a'")).collect()
+    with pytest.raises(Exception, match="a label has no cut-off"):
+        thresholds.apply_thresholds(df, table.where("label <> 'Smears'")).collect()
 
 
 def test_prediction_metrics(spark):
@@ -173,6 +175,39 @@ def test_disjoint_labels_give_null(spark):
     assert metrics.hierarchical_scores(metrics.align(gold, empty)).first()["prec_h"] is None
 
 
+@pytest.mark.parametrize(
+    "gold, predicted, message",
+    [
+        ([("1", ["Smears"]), ("2", [])], [("1", ["Smears"])], "not predicted"),
+        ([("1", ["Smears"])], [("1", ["Smears"]), ("2", [])], "not in gold"),
+        ([("1", ["Smears"])], [("1", None)], "without labels"),
+        ([("1", ["Smears"])], [("1", ["nonsense"])], "outside the vocabulary: nonsense"),
+        ([("1", ["nonsense"])], [("1", [])], "outside the vocabulary: nonsense"),
+        ([("1", ["Smears"])] * 2, [("1", [])], "not there once"),
+        ([("1", ["Smears"])], [("1", [])] * 2, "not there once"),
+        ([(None, ["Smears"])], [(None, [])], "without labels"),
+    ],
+)
+def test_bad_scoring_input_is_refused(spark, gold, predicted, message):
+    schema = "id STRING, labels ARRAY<STRING>"
+    aligned = metrics.align(spark.createDataFrame(gold, schema), spark.createDataFrame(predicted, schema))
+    with pytest.raises(Exception, match=message):
+        metrics.hierarchical_scores(aligned).collect()
+
+
+def test_every_run_has_every_id(spark):
+    gold = spark.createDataFrame([("1", ["Smears"]), ("2", [])], "id STRING, labels ARRAY<STRING>")
+    schema = "id STRING, model STRING, labels ARRAY<STRING>"
+    rows = [("1", "a", ["Smears"]), ("1", "b", []), ("2", "a", []), ("2", "b", [])]
+    scored = metrics.hierarchical_scores(
+        metrics.align(gold, spark.createDataFrame(rows, schema), run=["model"], n_runs=2), ["model"]
+    )
+    assert {r["model"]: r["tp"] for r in scored.collect()} == {"a": 3, "b": 0}
+    for wrong in (rows[:3], [*rows[:3], ("2", "a", [])]):
+        with pytest.raises(Exception, match="once for each of 2 runs|repeated in a run"):
+            metrics.align(gold, spark.createDataFrame(wrong, schema), run=["model"], n_runs=2).collect()
+
+
 def test_binary_scores(spark):
     rows = [("p", "p")] * 50 + [("n", "p")] * 100
     df = spark.createDataFrame(rows, "gold STRING, predicted STRING")
@@ -183,6 +218,28 @@ def test_binary_scores(spark):
 def test_best_run(spark):
     runs = spark.createDataFrame([("a", 0.1, 1), ("b", 0.4, 2), ("c", 0.3, 3)], "model STRING, ap DOUBLE, k INT")
     assert metrics.best_run(runs).first().asDict() == {"model": "b", "ap": 0.4, "k": 2}
+    ties = spark.createDataFrame([("c", 0.4, 1), ("b", 0.4, 2), ("a", None, 3)], "model STRING, ap DOUBLE, k INT")
+    assert metrics.best_run(ties).first()["model"] == "b"
+
+
+def test_values_outside_their_lists_are_refused(spark):
+    df = spark.createDataFrame([("n", "x")], "gold STRING, predicted STRING")
+    with pytest.raises(Exception, match="class outside the list: x"):
+        metrics.binary_scores(df, ("n", "p")).collect()
+    other = spark.createDataFrame([("1", "z", ["Smears"])], "id STRING, model STRING, labels ARRAY<STRING>")
+    with pytest.raises(Exception, match="model outside the list: z"):
+        ensemble.aligned_models(other, ["a"]).collect()
+    bad = spark.createDataFrame([("1", ["nonsense"])], "id STRING, labels ARRAY<STRING>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        reshape.one_hot_encode(bad).collect()
+    with pytest.raises(ValueError, match="63"):
+        stats.L.label_bits("labels", [f"label {i}" for i in range(70)])
+
+
+def test_inner_nodes_take_part_in_ensembles(spark):
+    node = next(n for n in NODES if n not in LABELS)
+    df = spark.createDataFrame([("1", "a", [node]), ("1", "b", [])], "id STRING, model STRING, labels ARRAY<STRING>")
+    assert ensemble.ensemble_by_union(df).first()["labels"] == [node]
 
 
 # --- published label files, wherever they are: every pair of files over the same ids is scored
