@@ -13,6 +13,10 @@ similarity of at least 0.75. All links between different sets are found:
    sets of up to PAIR_SIZE shingles only; larger sets index their frequent
    shingles singly. Sets between PAIR_SIZE and PAIR_SIZE / 0.75 do both, so no
    link across the limit is lost.
+   Linked sets even share k shingles within their prefixes extended by k. Each
+   set extends by 1 + size // SLACK, so one that has fewer shingles there which
+   are frequent or held by another set than its least partner's extension has
+   no links, and its rare shingles are left out of what follows.
 3. Entities sharing an index key are candidates if their sizes are near enough:
    sizes fall into bands of ratio 4/3, and a key is looked at for every two
    neighbouring bands by itself. They are not paired up: each
@@ -50,6 +54,7 @@ from labelops.session import stored
 
 PERCENT = 75
 PAIR_SIZE = 48
+SLACK = 20
 BLOCK = 512
 BUCKETS = 512
 FREQUENT = 0.0005
@@ -118,8 +123,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def signatures(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set of shingle hashes (sorted, distinct): of rare shingles, of common ones.
+def signatures(
+    values: np.ndarray, frequent: np.ndarray, rank: np.ndarray
+) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """Index keys of one set of shingle hashes (sorted, distinct).
+
+    They are those of rare shingles in the prefix extended by 1 + size // SLACK,
+    the number of them in the plain prefix (they come first), how many of them
+    another set must hold too if this one has links, and the keys of common
+    shingles.
 
     ``frequent`` holds the frequent shingles, sorted, and ``rank`` their places
     in the order among themselves, the rarest first.
@@ -140,7 +152,12 @@ def signatures(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tu
             head = common[: extended - len(rare)]
             i, j = np.triu_indices(len(head), 1)
             keys.append(mix(head[i] * np.uint64(3) + mix(head[j] ^ _PAIR)))
-    return mix(rare[:plain] ^ _SINGLE), np.concatenate(keys)
+    # No partner is smaller than t, so none extends its prefix by less than this.
+    shared = 1 + t // SLACK
+    reach = plain + n // SLACK
+    counted = rare[:reach]
+    need = max(0, shared - (min(reach, n) - len(counted)))
+    return mix(counted ^ _SINGLE), min(plain, len(counted)), need, np.concatenate(keys)
 
 
 def _limits() -> list[int]:
@@ -159,25 +176,33 @@ def band(size: int) -> int:
 
 
 def _index(frequent: np.ndarray, rank: np.ndarray, common: bool):
-    """Index keys (sig, entity), either those of rare shingles or those of common ones."""
+    """Index keys (sig, entity, info), either those of rare shingles or those of common ones.
+
+    ``info`` packs, from the lowest bit: whether the key is in the plain prefix
+    (1 bit), the band of the set (8 bits), the number of keys to be shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, entities, sizes = [], [], []
+            keys, entities, infos = [], [], []
             for values in shingle_lists(batch.column(0).to_pylist()):
                 values = np.unique(values)
                 entity = _set_keys(values)[0] if len(values) else 0
                 if len(values) < 2 or entity in seen:
                     continue
                 seen.add(entity)
-                own = signatures(values, frequent, rank)[common]
+                rare, plain, need, often = signatures(values, frequent, rank)
+                own = often if common else rare
+                info = np.full(len(own), need << 9 | band(len(values)) << 1 | 1, np.int32)
+                if not common:
+                    info[plain:] -= 1
                 keys.append(own)
                 entities.append(np.full(len(own), entity, np.int64))
-                sizes.append(np.full(len(own), band(len(values)), np.int32))
+                infos.append(info)
             if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(entities), np.concatenate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "entity", "band"])
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(entities), np.concatenate(infos)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "entity", "info"])
 
     return run
 
@@ -372,10 +397,17 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     together; those of frequent ones are reduced to their smallest entity
     before it is joined back, so that no task sees all rows of such a key.
     """
-    schema = "sig long, entity long, band int"
-    bands = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
+    schema = "sig long, entity long, info int"
+    own_band = F.expr("shiftright(info, 1) & 255")
+    bands = F.explode(F.array(own_band, own_band + 1)).alias("band")
     rare = texts.mapInArrow(_index(frequent, rank, False), schema)
-    rare = rare.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1").select("sig", "entity", bands)
+    # Copies of a set in several partitions give its keys repeatedly; they share nothing with each other.
+    of_key = Window.partitionBy("sig")
+    rare = rare.select("*", F.min("entity").over(of_key).alias("least"), F.max("entity").over(of_key).alias("last"))
+    rare = stored(rare.where("least <> last").select("sig", "entity", "info").distinct(), "shared")
+    counts = rare.groupBy("entity").agg(F.count("*").alias("n"), F.max(F.shiftright("info", 9)).alias("need"))
+    linkable = counts.where("n >= need").select("entity")
+    rare = rare.where("info & 1 = 1").join(linkable, "entity", "left_semi").select("sig", "entity", bands)
     centre = F.min("entity").over(Window.partitionBy("sig", "band")).alias("centre")
     listed = rare.select(centre, "entity").where("centre <> entity")
     if len(frequent):
