@@ -16,7 +16,8 @@ similarity of at least 0.75. All links between different sets are found:
    Linked sets even share k shingles within their prefixes extended by k. Each
    set extends by 1 + size // SLACK, so one that has fewer shingles there which
    are frequent or held by another set than its least partner's extension has
-   no links, and its rare shingles are left out of what follows.
+   no links, and its rare shingles are left out of what follows. The count is
+   taken over all sets first and then over those of near sizes that are left.
 3. Entities sharing an index key are candidates if their sizes are near enough:
    sizes fall into bands of ratio 4/3, and a key is looked at for every two
    neighbouring bands by itself. They are not paired up: each
@@ -402,12 +403,11 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     bands = F.explode(F.array(own_band, own_band + 1)).alias("band")
     rare = texts.mapInArrow(_index(frequent, rank, False), schema)
     # Copies of a set in several partitions give its keys repeatedly; they share nothing with each other.
-    of_key = Window.partitionBy("sig")
-    rare = rare.select("*", F.min("entity").over(of_key).alias("least"), F.max("entity").over(of_key).alias("last"))
-    rare = stored(rare.where("least <> last").select("sig", "entity", "info").distinct(), "shared")
-    counts = rare.groupBy("entity").agg(F.count("*").alias("n"), F.max(F.shiftright("info", 9)).alias("need"))
-    linkable = counts.where("n >= need").select("entity")
-    rare = rare.where("info & 1 = 1").join(linkable, "entity", "left_semi").select("sig", "entity", bands)
+    rare = stored(_held_twice(rare, "sig").distinct(), "shared")
+    # A linked pair is in one band together, so what it shares is counted again within each band.
+    near = _with_enough(rare, "entity").select("sig", "entity", "info", bands)
+    near = stored(_held_twice(near, "sig", "band"), "near")
+    rare = _with_enough(near, "entity", "band").where("info & 1 = 1").select("sig", "entity", "band")
     centre = F.min("entity").over(Window.partitionBy("sig", "band")).alias("centre")
     listed = rare.select(centre, "entity").where("centre <> entity")
     if len(frequent):
@@ -418,6 +418,19 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     return stored(listed.distinct(), "candidates")
 
 
+def _held_twice(keys: DataFrame, *by: str) -> DataFrame:
+    """The rows whose key is held by more than one entity."""
+    of_key = Window.partitionBy(*by)
+    told = keys.select("*", F.min("entity").over(of_key).alias("least"), F.max("entity").over(of_key).alias("last"))
+    return told.where("least <> last").drop("least", "last")
+
+
+def _with_enough(keys: DataFrame, *by: str) -> DataFrame:
+    """The rows of entities that share as many keys as a link takes."""
+    counts = keys.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.shiftright("info", 9)).alias("need"))
+    return keys.join(counts.where("n >= need").select(*by), list(by), "left_semi")
+
+
 def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
     """Units that compare what is not yet in its centre's component with all members of the group."""
     roots = found.select(F.col("node").alias("entity"), "root")
