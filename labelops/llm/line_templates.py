@@ -2,12 +2,13 @@
 
 A fixed-depth tree sorts lines: the first level is the number of tokens, the
 next LEADING levels are the leading tokens. Tokens that hold a digit are
-variable fields and stand as ``*`` from the start. In a leaf, a token is part
-of a template only if at least MIN_DOCS documents of the leaf have it at that
-place; what varies there becomes ``*`` too. A template with at least MIN_LITERAL
-of its tokens fixed recurs when MIN_DOCS documents hold a line of it, and so
-does a line whose masked form recurs by itself. Of a recurring template the
-first line (by doc_id, then place) stays and all others are dropped.
+variable fields and stand as ``*`` from the start. A line whose masked form is
+held by MIN_DOCS documents recurs. Lines that differ in words as well recur as a
+template: in a leaf, a token is part of a template only if at least TEMPLATE_DOCS
+documents of the leaf have it at that place; what varies there becomes ``*`` too.
+A template with at least MIN_LITERAL of its tokens fixed recurs when TEMPLATE_DOCS
+documents hold a line of it. Of a recurring form or template the first line (by
+doc_id, then place) stays and all others are dropped.
 
 Everything is counted by hashes of lines and tokens; texts move once, to be
 joined with the places that are dropped in them.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from labelops.session import stored
 
 LEADING = 3
-MIN_DOCS = 3
+MIN_DOCS = 2
+TEMPLATE_DOCS = 3
 MIN_LITERAL = 0.6
 
 
@@ -51,14 +53,15 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     leaves = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
     forms = stored(forms.join(leaves.where(F.col("leaf_docs") >= MIN_DOCS), "leaf"), "forms")
 
-    # Leaves where some line does not recur by itself but may belong to a template.
-    open_leaves = forms.groupBy("leaf").agg(F.min("docs").alias("least"), F.count("*").alias("n")).where(f"least < {MIN_DOCS} and n > 1")
+    # Leaves where some line is in few documents by itself but may belong to a template.
+    shared = forms.where(F.col("leaf_docs") >= TEMPLATE_DOCS)
+    open_leaves = shared.groupBy("leaf").agg(F.min("docs").alias("least"), F.count("*").alias("n")).where(f"least < {TEMPLATE_DOCS} and n > 1")
     wanted = forms.join(open_leaves.select("leaf"), "leaf", "left_semi").select("leaf", "line", "docs", "first")
     templates = stored(_templates(docs, wanted), "templates")
 
     plain = forms.where(F.col("docs") >= MIN_DOCS).select("leaf", "line", F.col("line").alias("template"))
     sized = held.join(templates, ["leaf", "line"]).select("leaf", "template", "doc").distinct()
-    general = sized.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    general = sized.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= TEMPLATE_DOCS)
     general = templates.join(general.select("leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "line", "template")
     # A line in a general template goes with it, else with its own masked form.
     chosen = stored(
@@ -82,7 +85,7 @@ def _templates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     lines = lines.join(places, ["doc", "leaf", "line"]).dropDuplicates(["leaf", "line"])
     tokens = lines.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = stored(tokens.select("leaf", "line", "docs", "at", F.xxhash64("token").alias("token"), (F.col("token") == "*").alias("any")), "tokens")
-    common = tokens.where("not any").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    common = tokens.where("not any").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= TEMPLATE_DOCS)
     fixed = tokens.join(common.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")
     size = tokens.groupBy("leaf", "line").agg(F.count("*").alias("size"))
     shapes = fixed.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))

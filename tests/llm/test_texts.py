@@ -38,6 +38,15 @@ def test_template_with_words_that_vary(table):
     assert [k for k, t in got.items() if "Posted" in t] == [0]
 
 
+def test_a_line_of_two_documents_recurs(table):
+    shared = "this long passage stands in exactly two documents and nowhere else in the corpus"
+    rows = [(2, f"{shared}\nown words of the second"), (1, f"quite other text here\n{shared}"), (3, "nothing of the kind")]
+    # Lines that differ in a word are no template until three documents hold one.
+    rows += [(4, "Posted in the forum by anna"), (5, "Posted in the forum by berta")]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(table(rows)).collect()}
+    assert got == dict(rows) | {2: "own words of the second"}
+
+
 @pytest.mark.parametrize("kind", [bpe.Bpe, token_files._Library])
 def test_bpe_equals_the_library(kind):
     reference = Tokenizer.from_file(BYTE_BPE)
