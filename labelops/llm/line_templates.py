@@ -3,7 +3,9 @@
 A fixed-depth tree sorts lines: the first level is the number of tokens, the
 next LEADING levels are the leading tokens. Tokens that hold a digit are
 variable fields and stand as ``*`` from the start. A line whose masked form is
-held by MIN_DOCS documents recurs. Lines that differ in words as well recur as a
+held by MIN_DOCS documents recurs. A line with fewer than MIN_LITERAL of its
+tokens fixed, such as a row of figures, is not masked: it recurs only if equal
+lines (but for blanks) do, and is in no template. Other lines that differ in words as well recur as a
 template: in a leaf, a token is part of a template only if at least TEMPLATE_DOCS
 documents of the leaf have it at that place; what varies there becomes ``*`` too.
 A template with at least MIN_LITERAL of its tokens fixed recurs when TEMPLATE_DOCS
@@ -27,26 +29,42 @@ TEMPLATE_DOCS = 3
 MIN_LITERAL = 0.6
 
 
+def spaced(line: Column) -> Column:
+    """A line with single blanks between tokens."""
+    return F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
+
+
 def masked(line: Column) -> Column:
-    """A line with single blanks between tokens and ``*`` for tokens with a digit."""
-    spaced = F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "*")).otherwise(spaced)
+    """A spaced line with ``*`` for tokens with a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", "*")).otherwise(line)
+
+
+def _count(text: Column, part: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, place, masked) of all lines with tokens."""
+    """(doc, place, form, exact) of all lines with tokens: the masked line, or the line itself where too little of it is fixed."""
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.select("doc", "place", masked(F.col("line")).alias("masked")).where("masked <> ''")
+    rows = rows.select("doc", "place", spaced(F.col("line")).alias("line")).where("line <> ''")
+    rows = rows.select("doc", "place", "line", masked(F.col("line")).alias("masked"))
+    # Doubled blanks keep neighbouring tokens from sharing one.
+    apart = F.concat(F.lit(" "), F.replace("masked", F.lit(" "), F.lit("  ")), F.lit(" "))
+    size = _count(F.col("masked"), " ") + 1
+    exact = F.when(F.col("masked") == F.col("line"), F.lit(False)).otherwise(size - _count(apart, " * ") < MIN_LITERAL * size)
+    rows = rows.select("doc", "place", "line", "masked", exact.alias("exact"))
+    return rows.select("doc", "place", F.when(F.col("exact"), F.col("line")).otherwise(F.col("masked")).alias("form"), "exact")
 
 
-def _leaf(line: Column) -> Column:
-    count = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.xxhash64(count, F.substring_index(line, " ", LEADING))
+def _leaf() -> Column:
+    """The leaf of a line; an exact one has a leaf of its own, so it meets no other line."""
+    count = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit("")))
+    return F.when(F.col("exact"), F.xxhash64(F.lit("exact"), "form")).otherwise(F.xxhash64(count, F.substring_index("form", " ", LEADING)))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, place) of every line to drop, for ``docs`` (doc, text)."""
-    lines = _lines(docs).select("doc", "place", _leaf(F.col("masked")).alias("leaf"), F.xxhash64("masked").alias("line"))
+    lines = _lines(docs).select("doc", "place", _leaf().alias("leaf"), F.xxhash64("form").alias("line"))
     # A document holds a line once here; hot lines are combined before they are dealt.
     held = stored(lines.groupBy("leaf", "line", "doc").agg(F.collect_list("place").alias("places")), "lines")
     forms = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
@@ -81,9 +99,9 @@ def _templates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = wanted.select(F.col("first").alias("doc"), "leaf", "line", "docs")
     # Both sides grow with the corpus, so neither is ever broadcast.
     texts = docs.join(places.select("doc").distinct().hint("merge"), "doc", "left_semi")
-    lines = _lines(texts).select("doc", "masked", _leaf(F.col("masked")).alias("leaf"), F.xxhash64("masked").alias("line"))
+    lines = _lines(texts).where("not exact").select("doc", "form", _leaf().alias("leaf"), F.xxhash64("form").alias("line"))
     lines = lines.join(places, ["doc", "leaf", "line"]).dropDuplicates(["leaf", "line"])
-    tokens = lines.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    tokens = lines.select("leaf", "line", "docs", F.posexplode(F.split("form", " ")).alias("at", "token"))
     tokens = stored(tokens.select("leaf", "line", "docs", "at", F.xxhash64("token").alias("token"), (F.col("token") == "*").alias("any")), "tokens")
     common = tokens.where("not any").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= TEMPLATE_DOCS)
     fixed = tokens.join(common.select("leaf", "at", "token"), ["leaf", "at", "token"], "left_semi")

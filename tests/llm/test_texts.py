@@ -47,6 +47,14 @@ def test_a_line_of_two_documents_recurs(table):
     assert got == dict(rows) | {2: "own words of the second"}
 
 
+def test_rows_of_figures_are_not_one_template(table):
+    rows = [(1, "12 45.3 8\n5\nRow 1 2 3 x"), (2, "7 9 1001\n6\nRow 1 2 3 y"), (3, "1 2 3\n7\nRow 1 2 3 z"), (4, "8"), (5, " 12  45.3 8\n6")]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(table(rows)).collect()}
+    # Only lines that are equal but for blanks go.
+    assert got == dict(rows) | {5: ""}
+    assert {r.doc_id for r in line_templates.without_emptied(table(rows)).collect()} == {1, 2, 3, 4}
+
+
 @pytest.mark.parametrize("kind", [bpe.Bpe, token_files._Library])
 def test_bpe_equals_the_library(kind):
     reference = Tokenizer.from_file(BYTE_BPE)
