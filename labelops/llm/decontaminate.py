@@ -78,12 +78,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equals), if their weighted similarity is at least 0.75. Null and empty texts
     and items match nothing; so do rows without an id. Items of fewer than five
     words are one shingle and are found only as a whole document of the same
-    words. Repeated ids count as one document or item each for the result.
+    words. Repeated ids count as one document or item each for the result; every
+    text of them is searched and looked for by itself.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("item is not null and text is not null")
-    items = with_words(items.groupBy("item").agg(F.min("text").alias("text")))
-    items = items.select("item", shingles(F.col("words")).alias("shingles")).where(F.size("shingles") > 0)
-    places = stored(items.select("item", F.size("shingles").alias("size"), F.posexplode("shingles").alias("at", "h")), "items")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    # Each text of an item_id is an item of its own until the end.
+    items = with_words(items).select("item_id", F.xxhash64("item_id", "words").alias("item"), shingles(F.col("words")).alias("shingles"))
+    items = items.where(F.size("shingles") > 0).dropDuplicates(["item_id", "item"])
+    places = stored(items.select("item_id", "item", F.size("shingles").alias("size"), F.posexplode("shingles").alias("at", "h")), "items")
     n_items = places.select("item").distinct().count()
     rarity = F.log(F.lit(1.0 + n_items) / F.count_distinct("item")) + 1
     weights = stored(places.groupBy("h").agg(_whole(rarity).alias("weight")), "weights")
@@ -98,7 +100,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     begin = (F.col("place") - F.col("at")).alias("begin")
     windows = hits.join(places, "h").select("doc", "row", "size", begin).distinct()
     per_row = windows.groupBy("doc", "row").agg(F.collect_list(F.struct("size", "begin")).alias("windows"))
-    opened = with_words(rows.select("row", "text").join(per_row, "row"))
+    # Equal rows are one row; only those with windows are looked at for that.
+    opened = rows.join(per_row, ["doc", "row"]).dropDuplicates(["doc", "row"])
+    opened = with_words(opened)
     opened = opened.select("doc", "row", "windows", shingles(F.col("words")).alias("shingles"))
     opened = opened.select("doc", "row", "shingles", F.explode("windows").alias("w"))
     inside = F.slice("shingles", F.greatest(F.col("w.begin"), F.lit(0)) + 1, F.col("w.size") + F.least(F.col("w.begin"), F.lit(0)))
@@ -106,7 +110,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     members = members.groupBy("doc", "row", "size", "begin", "h").agg(F.count("*").alias("n"))
     members = members.join(weights, "h", "left").withColumn("weight", F.coalesce("weight", unseen))
     members = stored(members, "windows")
-    contents = stored(places.groupBy("item", "size", "h").agg(F.count("*").alias("n")).join(weights, "h"), "contents")
+    contents = stored(places.groupBy("item_id", "item", "size", "h").agg(F.count("*").alias("n")).join(weights, "h"), "contents")
 
     window = ["doc", "row", "size", "begin"]
     prints = _fingerprints(members, window).select(*window, "fingerprint", _blocks(F.col("fingerprint")))
@@ -122,16 +126,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = near.join(members, window).join(other, ["item", "h"])
     shared = shared.groupBy(*window, "item", "distance").agg(F.sum(F.least(mine, theirs) * F.col("weight")).alias("both"))
     of_window = members.groupBy(*window).agg(F.sum(F.col("n") * F.col("weight")).alias("window_weight"))
-    of_item = contents.groupBy("item").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"))
+    of_item = contents.groupBy("item_id", "item").agg(F.sum(F.col("n") * F.col("weight")).alias("item_weight"))
     joined = shared.join(of_window, window).join(of_item, "item")
     joined = joined.withColumn("either", F.col("window_weight") + F.col("item_weight") - F.col("both"))
     leaks = joined.where(F.col("both") >= F.col("either") * SIMILARITY)
     leaks = leaks.withColumn("similarity", F.col("both") / F.col("either"))
     best = F.max(F.struct("similarity", (-F.col("begin")).alias("b"), (-F.col("distance")).alias("d"), "size")).alias("best")
-    found = leaks.groupBy("doc", "item").agg(best)
+    found = leaks.groupBy("doc", "item_id").agg(best)
     return found.select(
         F.col("doc").alias("doc_id"),
-        F.col("item").alias("item_id"),
+        "item_id",
         (-F.col("best.b")).cast("long").alias("start_word"),
         (F.col("best.size") + WORDS - 1).cast("long").alias("n_words"),
         (-F.col("best.d")).cast("long").alias("distance"),

@@ -130,3 +130,10 @@ def test_similarity_below_the_limit_is_no_leak(table, spark):
     assert decontaminate.find_leaks(table([(1, "q r s " + item + " t u")]), benchmark).first()["start_word"] == 3
 
 
+def test_leaks_of_repeated_rows_and_items(table, spark):
+    first, second = (" ".join(f"{c}{n}" for n in range(30)) for c in "ab")
+    benchmark = spark.createDataFrame([(1, first), (1, second), (1, second), (2, "c " * 9)], "item_id long, text string")
+    docs = table([(1, f"x y {first} z")] * 3 + [(2, second), (2, "other words"), (3, "other words")])
+    got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {(1, 1): (2, 1.0), (2, 1): (0, 1.0)}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()] == [3]
