@@ -9,8 +9,10 @@ most of the pages is no single task.
 
 The wrapper tells where the host keeps its article: its article or main element,
 if that holds a slot. Hosts without one get the whole body but for texts that
-are the same on all pages. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments are never part of the text. A page that
+are the same on all pages. Menus, page headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments are never part of the text. They
+are told by element, role, and class or id tokens made of such words only; a
+token that has them beside others, as with-sidebar, says nothing. A page that
 lacks its host's article element is taken by a wrapper of its own.
 """
 
@@ -54,12 +56,26 @@ _MARKUP = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# One attribute at a time, its value included, so that nothing inside a value counts as a name.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _WORD = re.compile(r"[a-z]+")
+#: Elements that hold the content and are never left out for a class or id.
+CONTENT = frozenset("html body main article".split())
+#: A header inside one of these belongs to the content.
+SECTIONS = frozenset("main article section".split())
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+    """The attributes of a tag, in lower case; of repeated names the first one counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _marked(tokens: list[str], marks: frozenset[str]) -> bool:
+    """Whether a class or id token is a mark or made of marks only, as in ad-banner."""
+    return any((words := _WORD.findall(token)) and marks.issuperset(words) for token in tokens)
 
 
 class Element:
@@ -69,12 +85,12 @@ class Element:
 
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name = name
-        marks = set(_WORD.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
         roles = set(attributes.get("role", "").split())
-        self.dropped = name in DROPPED or bool(marks & MARKS) or bool(roles & ROLES) or "hidden" in attributes
-        self.dropped |= bool(marks & HEADER_MARKS) and name not in ("body", "article", "main")
+        self.dropped = name in DROPPED or bool(roles & ROLES) or "hidden" in attributes
         if "main" in roles:
             name = "main"
+        if name not in CONTENT:
+            self.dropped |= _marked(attributes.get("class", "").split() + attributes.get("id", "").split(), MARKS | HEADER_MARKS)
         self.kind = ".".join([name, *sorted(attributes.get("class", "").split())])
         self.children: list[Element | str] = []
 
@@ -124,6 +140,9 @@ def parse(source: str) -> Element:
         if ending:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
+                    # Only a closed header: one that is never closed holds the rest of the page.
+                    if name == "header" and SECTIONS.isdisjoint(e.kind.split(".")[0] for e in stack[:k]):
+                        stack[k].dropped = True
                     close(k)
                     break
             flush()
@@ -255,7 +274,7 @@ def extract(source: str | None, rules: dict) -> str:
         for child in article.children if article is root else [article]:
             if isinstance(child, str):
                 out.append(child)
-            elif not (article is root and child.name == "header"):
+            else:
                 _blocks(child, fixed if not articles else frozenset(), out)
     return "\n".join(out)
 

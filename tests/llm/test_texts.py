@@ -165,6 +165,19 @@ def test_pages(spark):
     assert page_wrappers.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_marks_are_whole_names_and_tokens():
+    def text(source):
+        return page_wrappers.extract(source, {"articles": [], "fixed": []})
+
+    for tag in ('article class="post has-comments"', 'article class="related"', 'main class="with-sidebar"', "article aria-hidden=false"):
+        assert text(f"<body class='right-sidebar' style=\"overflow:hidden\"><{tag} data-id='ad' data-class=ads><p>kept</p></{tag.split()[0]}>") == "kept"
+    assert text('<p>one <a href="/hidden/x" title=" id=ad ">two</a> <a href=/role=menu>three</a></p>') == "one two three"
+    assert text("<p>a</p><p hidden>b</p><p HIDDEN=''>c</p><div class='x ad'>d</div><div id=ad-banner>e</div><div class=ad-2>f</div>") == "a"
+    assert text("<html><body><header>site</header><section><header>title</header>text</section>") == "title\ntext"
+    assert text("<article><header>title</header>text</article>") == "title\ntext"
+    assert text("<header>never closed <p>text") == "never closed\ntext"
+
+
 def test_wrapper_alignment():
     pages = ["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>a</h1><aside>z</aside><p>x</p></div>"]
     a, b = (page_wrappers.wrapper(page_wrappers.parse(p)) for p in pages)
