@@ -29,9 +29,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of linked documents."""
-    groups = jaccard_join.jaccard_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(groups, F.col("doc_id").cast("long") == F.col("__other"), "left_anti")
+    """One row, that of the smallest doc_id, of each group of linked rows.
+
+    Rows are told apart by all their columns, not by doc_id, so a doc_id may keep
+    some of its rows and lose others. Of equal rows one stays; rows without words
+    are linked with nothing and all stay. A null doc_id comes after all others.
+    """
+    # Nulls do not change a hash, so where they are is hashed as well.
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("__row", row)
+    linked = jaccard_join.jaccard_join(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
+    linked = linked.groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("group"), F.count("*").alias("copies"))
+    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("id")).distinct()
+    rows = stored(linked.join(ids, "__row"), "linked_rows")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).getField("__row").alias("first"))
+    told = rows.join(first, "group")
+    repeated = told.where("__row = first and copies > 1").select("__row")
+    others = told.where("__row <> first or copies > 1").select("__row")
+    once = keyed.join(others, "__row", "left_anti")
+    one_of = keyed.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(one_of).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
