@@ -11,11 +11,15 @@ from labelops.llm import (
     decontaminate,
     fingerprints,
     jaccard_join,
+    license_scan,
     line_templates,
+    oracles,
     page_wrappers,
+    phrase_trees,
     secret_scan,
     token_files,
     url_rules,
+    vector_codes,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +82,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_trees.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +107,9 @@ QUERIES = {
         op8_html_extraction,
         op9_quality_classifier,
         op10_secret_scan,
+        op11_license_scan,
+        op12_vector_codes,
+        op13_phrase_mining,
     )
 }
 
@@ -134,4 +153,9 @@ SELECT s.page_id, s.host, s.path, o.rule,
 FROM split s LEFT JOIN own o USING (page_id)
 """
 
-ORACLE = {"op7_url_filter": OP7_SQL}
+ORACLE = {
+    "op7_url_filter": OP7_SQL,
+    "op11_license_scan": oracles.licenses(),
+    "op12_vector_codes": oracles.vector_rounds(),
+    "op13_phrase_mining": oracles.phrases(),
+}
