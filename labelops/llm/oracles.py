@@ -23,7 +23,9 @@ WITH rules(place, rank, label, anchor, pattern) AS (VALUES {values}),
 words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM words),
+anchors AS (SELECT list(DISTINCT anchor) AS all_anchors FROM rules),
+places AS (
+  SELECT doc_id, w, unnest(list_filter(range(len(w)), lambda i: list_contains(all_anchors, w[i + 1]))) AS i FROM words, anchors),
 tried AS (
   SELECT p.doc_id, p.i, r.place, r.rank, r.label, array_to_string(p.w[p.i + 1 : p.i + {license_rules.WIDTH}], ' ') || ' ' AS seen, r.pattern
   FROM places p JOIN rules r ON p.w[p.i + 1] = r.anchor),
@@ -54,9 +56,9 @@ def vector_rounds() -> str:
     parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
     steps = [
         f"""kept AS MATERIALIZED (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v
   FROM embeddings WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""cells AS MATERIALIZED (
   SELECT k.vec_id, p.p, k.v[p.p * (len(k.v) // {parts}) + 1 : (p.p + 1) * (len(k.v) // {parts})] AS x
   FROM kept k CROSS JOIN range({parts}) p(p))""",
@@ -66,7 +68,7 @@ def vector_rounds() -> str:
     ]
     near = """near{n} AS MATERIALIZED (
   SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
-    SELECT c.vec_id, c.p, b.e, CAST(list_sum(list_transform(list_zip(c.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    SELECT c.vec_id, c.p, b.e, CAST(list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
     FROM cells c JOIN book{n} b USING (p)) GROUP BY vec_id, p)"""
     for n in range(vector_codes.ROUNDS):
         steps.append(near.format(n=n))
@@ -102,15 +104,20 @@ def phrases() -> str:
 WITH pieces AS (
   SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
   FROM (SELECT coalesce(lang, '{phrase_trees.UNKNOWN}') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents)),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-runs AS (SELECT lang, k.k, array_to_string(w[i.i : i.i + k.k - 1], ' ') AS phrase
-         FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words) i(lang, w, i) CROSS JOIN range(1, 4) k(k) WHERE i.i + k.k - 1 <= len(w)),
+numbered AS (SELECT lang, row_number() OVER () AS piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, piece_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM numbered),
+following AS (
+  SELECT lang, word, lead(word, 1) OVER p AS second, lead(word, 2) OVER p AS third FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+runs AS (
+  SELECT lang, 1 AS k, word AS phrase FROM following
+  UNION ALL SELECT lang, 2, word || ' ' || second FROM following WHERE second IS NOT NULL
+  UNION ALL SELECT lang, 3, word || ' ' || second || ' ' || third FROM following WHERE third IS NOT NULL),
 counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
 sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= {least}),
 cuts AS (
-  SELECT c.lang, c.words, c.phrase, c.a, k.k, array_to_string(c.w[1 : k.k], ' ') AS l_phrase, array_to_string(c.w[k.k + 1 : c.words], ' ') AS r_phrase
-  FROM candidates c JOIN range(1, 3) k(k) ON k.k < c.words),
+  SELECT c.lang, c.words, c.phrase, c.a, c.k, array_to_string(c.w[1 : c.k], ' ') AS l_phrase, array_to_string(c.w[c.k + 1 : c.words], ' ') AS r_phrase
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates) c),
 rated AS (
   SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
          CAST((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
@@ -118,8 +125,9 @@ rated AS (
 lowest AS (
   SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 explained AS (
-  SELECT DISTINCT p.lang, p.phrase FROM candidates p JOIN candidates t ON t.lang = p.lang AND t.words = 3 AND p.words = 2
-    AND (array_to_string(t.w[1:2], ' ') = p.phrase OR array_to_string(t.w[2:3], ' ') = p.phrase) AND 100 * t.a >= {contained} * p.a),
+  SELECT DISTINCT p.lang, p.phrase FROM candidates p JOIN (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE words = 3) t
+    ON t.lang = p.lang AND t.phrase = p.phrase AND p.words = 2 AND 100 * t.a >= {contained} * p.a),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
   FROM lowest ANTI JOIN explained USING (lang, phrase))
