@@ -271,8 +271,11 @@ def first_codebooks(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES)
 
     Of rows that share an id the least vector counts; null ids come last and count as one id.
     """
-    least = kept.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = least.orderBy(F.asc_nulls_last("vec_id")).limit(entries).collect()
+    order = F.asc_nulls_last("vec_id")
+    ids = [r["vec_id"] for r in kept.select("vec_id").distinct().orderBy(order).limit(entries).collect()]
+    # Only these few rows are shuffled whole.
+    first = kept.where(F.col("vec_id").isin([i for i in ids if i is not None]) | (F.col("vec_id").isNull() & F.lit(None in ids)))
+    rows = first.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(order).collect()
     if not rows:
         return None
     size = len(rows[0]["embedding"])
