@@ -3,10 +3,9 @@
 Every word position starts a suffix of up to three words within its piece. The
 suffixes are dealt out by prefix: a word that starts no more suffixes than the
 budget is a prefix of its own, a more frequent one is extended by the next
-word, and a pair above the budget once more. Hashing deals the prefixes to
-groups of about one budget; a group's suffixes are sorted, which is its
-depth-truncated suffix tree read in order, and the count of a node is the total
-of its leaves. Groups need nothing of each other.
+word, and two such words by the one after them. Hashing deals the prefixes to
+groups of less than the budget; each group's depth-truncated suffix tree is
+built on its own, and the count of a node is the total of its leaves.
 
 A phrase is as frequent as its rarest word at most, so a suffix ends before the
 first word that is too rare. Rare words are told by a bit filter of bounded
@@ -15,11 +14,11 @@ size; what it lets through by mistake is counted and costs time only.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,8 +33,8 @@ TOP = 2000
 BUDGET = 1 << 20
 #: Bits of a filter (2 MB).
 FILTER_BITS = 1 << 24
-#: Distinct suffixes a task counts before it passes them on.
-HELD = 1 << 19
+#: Bytes of text a task counts together; a longer text is counted by itself.
+BLOCK = 1 << 23
 #: A longer phrase with this percentage of a phrase's count explains it.
 CONTAINED = 50
 UNKNOWN = "und"
@@ -78,196 +77,143 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).cast("binary").alias("lang"), text.cast("binary").alias("text"))
 
 
-def _flushed(counts: dict[bytes, Counter]) -> pa.RecordBatch:
-    langs = [lang for lang, counter in counts.items() for _ in range(len(counter))]
-    words = [w for counter in counts.values() for w in counter]
-    totals = [c for counter in counts.values() for c in counter.values()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.binary()), pa.array(words, pa.binary()), pa.array(totals, pa.int64())], ["lang", "phrase", "f"]
-    )
+class _Block:
+    """The words of some texts, numbered by language and word.
 
+    ``ids`` has one number for each word in order, ``piece`` that of its piece.
+    """
 
-def _counted(batches: Iterator[pa.RecordBatch], units) -> Iterator[dict[bytes, Counter]]:
-    """Counts of what ``units(lang, data)`` yields, passed on whenever many distinct ones are held."""
-    counts: dict[bytes, Counter] = {}
+    def __init__(self, langs: list[bytes], texts: list[bytes]):
+        joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        breaks = joined == 10
+        inside = ~(breaks | (joined == 32))
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        data = pa.py_buffer(joined[inside].tobytes())
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), data])
+        encoded = words.dictionary_encode()
+        text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+        lang_of, self.langs = pd.factorize(np.array(langs, dtype=object))
+        size = max(1, len(encoded.dictionary))
+        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids, keys = pd.factorize(lang_of[text_of] * size + codes if len(starts) else codes)
+        self.piece = np.cumsum(breaks)[starts] if len(starts) else starts
+        self.lang_of_id = keys // size
+        self.words = encoded.dictionary.take(pa.array(keys % size))
+
+    def lang_column(self, ids: np.ndarray) -> pa.Array:
+        return pa.array(self.langs, pa.binary()).take(pa.array(self.lang_of_id[ids]))
+
+    def keys(self) -> list[bytes]:
+        """Language and word of each number."""
+        return [_key(self.langs[lang], word) for lang, word in zip(self.lang_of_id.tolist(), self.words.to_pylist())]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    langs, texts, size = [], [], 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(units(lang, text.translate(_PLAIN)))
-            if sum(map(len, counts.values())) > HELD:
-                yield counts
-                counts = {}
-    yield counts
+            if size + len(text) > BLOCK and texts:
+                yield _Block(langs, texts)
+                langs, texts, size = [], [], 0
+            langs.append(lang)
+            texts.append(text.translate(_PLAIN))
+            size += len(text) + 1
+    if texts:
+        yield _Block(langs, texts)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for counts in _counted(batches, lambda lang, data: data.split()):
-        yield _flushed(counts)
-
-
-def _heavy_pairs(heavy: Filter):
-    """Counts of pairs that start with a word above the budget."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[bytes, bytes], bool] = {}
-
-        def units(lang: bytes, data: bytes) -> Iterator[bytes]:
-            for piece in data.split(b"\n"):
-                words = piece.split()
-                for first, second in zip(words, words[1:]):
-                    found = known.get((lang, first))
-                    if found is None:
-                        found = known[lang, first] = _key(lang, first) in heavy
-                    if found:
-                        yield first + b" " + second
-            if len(known) > HELD:
-                known.clear()
-
-        for counts in _counted(batches, units):
-            yield _flushed(counts)
-
-    return run
+    for block in _blocks(batches):
+        counts = np.bincount(block.ids, minlength=len(block.words))
+        langs = block.lang_column(np.arange(len(counts)))
+        yield pa.RecordBatch.from_arrays([langs, block.words, pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"])
 
 
 _SUFFIXES = "grp int, part boolean, lang binary, pair binary, third binary, c bigint"
 
 
-def _suffixes(frequent: Filter, heavy: Filter, heavy_pairs: Filter, groups: int):
-    """Suffixes of two or three frequent words with their counts in the task and their group."""
+def _suffixes(frequent: Filter, heavy: Filter, groups: int):
+    """Suffixes of two or three frequent words with their counts in a block and their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bool] = {}
-
-        def units(lang: bytes, data: bytes) -> Iterator[tuple[bytes, bytes]]:
-            if len(known) > HELD:
-                known.clear()
-            for piece in data.split(b"\n"):
-                words = piece.split()
-                if len(words) < 2:
-                    continue
-                kept = []
-                for w in words:
-                    key = lang + b" " + w
-                    found = known.get(key)
-                    if found is None:
-                        found = known[key] = key in frequent
-                    kept.append(w if found else b"")
-                kept.append(b"")
-                for first, second, third in zip(kept, kept[1:], kept[2:]):
-                    if first and second:
-                        yield first + b" " + second, third
-
-        for counts in _counted(batches, units):
-            yield dealt(counts)
-
-    def dealt(counts: dict[bytes, Counter]) -> pa.RecordBatch:
-        langs, pairs, thirds, totals, grp, part = [], [], [], [], [], []
-        for lang, counter in counts.items():
-            of_first: dict[bytes, bool] = {}
-            for (pair, third), c in counter.items():
-                first = pair[: pair.index(b" ")]
-                extend = of_first.get(first)
-                if extend is None:
-                    extend = of_first[first] = _key(lang, first) in heavy
-                prefix = _key(lang, pair) if extend else _key(lang, first)
-                split = extend and prefix in heavy_pairs
-                if split:
-                    prefix = prefix + b" " + third
-                langs.append(lang)
-                pairs.append(pair)
-                thirds.append(third)
-                totals.append(c)
-                grp.append(crc32(prefix) % groups)
-                part.append(split)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(grp, pa.int32()),
-                pa.array(part, pa.bool_()),
-                pa.array(langs, pa.binary()),
-                pa.array(pairs, pa.binary()),
-                pa.array(thirds, pa.binary()),
-                pa.array(totals, pa.int64()),
-            ],
-            ["grp", "part", "lang", "pair", "third", "c"],
-        )
+        for block in _blocks(batches):
+            yield counted(block)
+
+    def counted(block: _Block) -> pa.RecordBatch:
+        keys = block.keys()
+        size = len(keys)
+        kept = np.fromiter((k in frequent for k in keys), bool, size)
+        ids, piece = block.ids, block.piece
+        good = np.concatenate((kept[ids], [False, False]))
+        after = np.concatenate((piece, [-1, -1]))
+        first = np.flatnonzero(good[:-2] & good[1:-1] & (after[:-2] == after[1:-1]))
+        with_third = good[first + 2] & (after[first] == after[first + 2])
+        following = np.concatenate((ids, [0, 0]))
+        pair_of, pairs = pd.factorize(ids[first] * np.int64(size) + following[first + 1])
+        # 0 stands for no third word.
+        third = np.where(with_third, following[first + 2] + 1, 0)
+        suffix_of, suffixes = pd.factorize(pair_of * np.int64(size + 1) + third)
+        counts = np.bincount(suffix_of, minlength=len(suffixes)).astype(np.int64)
+        own, thirds = suffixes // (size + 1), suffixes % (size + 1)
+        heads, seconds = pairs // max(size, 1), pairs % max(size, 1)
+        pair_names = pc.binary_join_element_wise(block.words.take(pa.array(heads)), block.words.take(pa.array(seconds)), b" ")
+        third_names = pa.concat_arrays([pa.array([b""], pa.binary()), block.words]).take(pa.array(thirds))
+
+        extended = np.fromiter((kept[i] and k in heavy for i, k in enumerate(keys)), bool, size)
+        by_word = np.fromiter((crc32(k) % groups for k in keys), np.int32, size)
+        by_pair = by_word[heads]
+        for p in np.flatnonzero(extended[heads]).tolist():
+            by_pair[p] = crc32(keys[heads[p]] + b" " + block.words[seconds[p]].as_py()) % groups
+        group = by_pair[own]
+        split = (extended[heads] & extended[seconds])[own]
+        for n in np.flatnonzero(split).tolist():
+            prefix = keys[heads[own[n]]] + b" " + pair_names[own[n]].as_py() + b" " + third_names[n].as_py()
+            group[n] = crc32(prefix) % groups
+        columns = [pa.array(group), pa.array(split), block.lang_column(heads[own]), pair_names.take(pa.array(own)), third_names, pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, ["grp", "part", "lang", "pair", "third", "c"])
 
     return run
 
 
-class _Runs:
-    """Totals of runs of equal keys over batches; the last run stays open."""
-
-    def __init__(self):
-        self.open: tuple | None = None
-        self.total = 0
-
-    def closed(self, columns: list[pa.Array], counts: np.ndarray) -> tuple[list[list], np.ndarray]:
-        """Keys and totals of the runs that ended."""
-        changed = np.ones(len(counts), dtype=bool)
-        changed[1:] = False
-        for column in columns:
-            changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(changed)
-        totals = np.add.reduceat(counts, starts)
-        keys = [column.take(pa.array(starts)).to_pylist() for column in columns]
-        first = tuple(k[0] for k in keys)
-        if self.open == first:
-            totals[0] += self.total
-        elif self.open is not None:
-            keys = [[was, *k] for was, k in zip(self.open, keys)]
-            totals = np.concatenate(([self.total], totals))
-        self.open, self.total = tuple(k[-1] for k in keys), int(totals[-1])
-        return [k[:-1] for k in keys], totals[:-1]
-
-    def rest(self) -> tuple[list[list], np.ndarray]:
-        if self.open is None:
-            return [[], [], [], []], np.empty(0, dtype=np.int64)
-        return [[k] for k in self.open], np.array([self.total], dtype=np.int64)
-
-
 _NODES = "lang binary, phrase binary, words int, f bigint"
 
 
-def _nodes(least: int):
-    """Node totals of sorted suffixes: pairs and triples that are frequent, and parts of split pairs."""
+def _trees(least: int):
+    """Trees of whole groups: pairs and triples that are frequent, and parts of split pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, triples = _Runs(), _Runs()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, lang, pair, third = (batch.column(i) for i in (1, 2, 3, 4))
-            counts = batch.column(5).to_numpy(zero_copy_only=False)
-            # The group is a key too: parts of a split pair are not next to each other.
-            yield _found(pairs.closed([batch.column(0), part, lang, pair], counts), None)
-            yield _found(triples.closed([lang, pair, third], counts), 3)
-        yield _found(pairs.rest(), None)
-        keys, totals = triples.rest()
-        yield _found((keys[:3], totals), 3)
-
-    def _found(runs: tuple[list[list], np.ndarray], words: int | None) -> pa.RecordBatch:
-        keys, totals = runs
-        langs, phrases, found = [], [], []
-        if words == 3:
-            for lang, pair, third, total in zip(*keys, totals.tolist()):
-                if third and total >= least:
-                    langs.append(lang)
-                    phrases.append(pair + b" " + third)
-                    found.append(total)
-        else:
-            for _, part, lang, pair, total in zip(*keys, totals.tolist()):
-                if part or total >= least:
-                    langs.append(lang)
-                    phrases.append(pair)
-                    found.append(total)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.binary()),
-                pa.array(phrases, pa.binary()),
-                pa.array([words or 2] * len(found), pa.int32()),
-                pa.array(found, pa.int64()),
-            ],
-            ["lang", "phrase", "words", "f"],
-        )
+            group = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate(([not held or held[-1].column(0)[-1].as_py() != group[0]], group[1:] != group[:-1])))
+            cuts = [0, *starts.tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if start in starts and held and start != end:
+                    yield from nodes(held)
+                    held = []
+                if start != end:
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield from nodes(held)
+
+    def nodes(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = total(pa.Table.from_batches(rows), ["part", "lang", "pair", "third"])
+        pairs = total(leaves, ["part", "lang", "pair"])
+        pairs = pairs.filter(pc.or_(pairs["part"], pc.greater_equal(pairs["c"], least)))
+        yield from found(pairs["lang"], pairs["pair"], 2, pairs["c"])
+        triples = leaves.filter(pc.and_(pc.greater_equal(leaves["c"], least), pc.not_equal(leaves["third"], b"")))
+        yield from found(triples["lang"], pc.binary_join_element_wise(triples["pair"], triples["third"], b" "), 3, triples["c"])
+
+    def total(table: pa.Table, names: list[str]) -> pa.Table:
+        return table.group_by(names, use_threads=False).aggregate([("c", "sum")]).rename_columns([*names, "c"])
+
+    def found(lang, phrase, words: int, f) -> Iterator[pa.RecordBatch]:
+        number = pa.array(np.full(len(f), words, np.int32))
+        yield from pa.Table.from_arrays([lang, phrase, number, f], ["lang", "phrase", "words", "f"]).to_batches()
 
     return run
 
@@ -296,17 +242,12 @@ def phrase_counts(
     total = frequent.agg(F.sum("f")).first()[0] or 0
     kept = _filter_of(frequent.select(key.alias("prefix")), filter_bits)
     heavy = _filter_of(words.where(F.col("f") > budget).select(key.alias("prefix")), filter_bits)
-    heavy_pairs = Filter(bytes(filter_bits // 8))
-    if any(heavy.bits):
-        pairs = texts.mapInArrow(_heavy_pairs(heavy), "lang binary, phrase binary, f bigint")
-        pairs = pairs.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") > budget)
-        heavy_pairs = _filter_of(pairs.select(key.alias("prefix")), filter_bits)
     groups = int(total // budget) + 1
     partitions = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Several groups a partition even out their sizes.
-    suffixes = texts.mapInArrow(_suffixes(kept, heavy, heavy_pairs, 16 * partitions), _SUFFIXES)
-    trees = suffixes.repartition(partitions, "grp").sortWithinPartitions("grp", "part", "lang", "pair", "third")
-    nodes = trees.mapInArrow(_nodes(least), _NODES)
+    suffixes = texts.mapInArrow(_suffixes(kept, heavy, 16 * partitions), _SUFFIXES)
+    trees = suffixes.repartition(partitions, "grp").sortWithinPartitions("grp")
+    nodes = trees.mapInArrow(_trees(least), _NODES)
     return nodes.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
