@@ -3,9 +3,10 @@
 Every word position starts a suffix of up to three words within its piece. The
 suffixes are dealt out by prefix: a word that starts no more suffixes than the
 budget is a prefix of its own, a more frequent one is extended by the next
-word, and two such words by the one after them. Hashing deals the prefixes to
-groups of less than the budget; each group's depth-truncated suffix tree is
-built on its own, and the count of a node is the total of its leaves.
+word, and a pair above the budget once more. Hashing deals the prefixes to
+groups of about the budget; each group's depth-truncated suffix tree is built
+on its own, and the count of a node is the total of its leaves. A task holds
+one group at a time.
 
 A phrase is as frequent as its rarest word at most, so a suffix ends before the
 first word that is too rare. Rare words are told by a bit filter of bounded
@@ -30,7 +31,7 @@ from labelops.session import stored
 LEAST = 10
 TOP = 2000
 #: Suffixes that one prefix, and on average one group, may have.
-BUDGET = 1 << 20
+BUDGET = 1 << 16
 #: Bits of a filter (2 MB).
 FILTER_BITS = 1 << 24
 #: Bytes of text a task counts together; a longer text is counted by itself.
@@ -105,6 +106,9 @@ class _Block:
     def lang_column(self, ids: np.ndarray) -> pa.Array:
         return pa.array(self.langs, pa.binary()).take(pa.array(self.lang_of_id[ids]))
 
+    def pair_names(self, first: np.ndarray, second: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(self.words.take(pa.array(first)), self.words.take(pa.array(second)), b" ")
+
     def keys(self) -> list[bytes]:
         """Language and word of each number."""
         return [_key(self.langs[lang], word) for lang, word in zip(self.lang_of_id.tolist(), self.words.to_pylist())]
@@ -131,10 +135,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([langs, block.words, pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"])
 
 
+def _heavy_pairs(heavy: Filter):
+    """Counts of the pairs of words above the budget; no other pair can be above it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            keys = block.keys()
+            size = max(1, len(keys))
+            often = np.fromiter((k in heavy for k in keys), bool, len(keys))[block.ids]
+            first = np.flatnonzero(often[:-1] & often[1:] & (block.piece[:-1] == block.piece[1:]))
+            pair_of, pairs = pd.factorize(block.ids[first] * np.int64(size) + block.ids[first + 1])
+            counts = np.bincount(pair_of, minlength=len(pairs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [block.lang_column(pairs // size), block.pair_names(pairs // size, pairs % size), pa.array(counts)], ["lang", "phrase", "f"]
+            )
+
+    return run
+
+
 _SUFFIXES = "grp int, part boolean, lang binary, pair binary, third binary, c bigint"
 
 
-def _suffixes(frequent: Filter, heavy: Filter, groups: int):
+def _suffixes(frequent: Filter, heavy: Filter, heavy_pairs: Filter, groups: int):
     """Suffixes of two or three frequent words with their counts in a block and their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +178,25 @@ def _suffixes(frequent: Filter, heavy: Filter, groups: int):
         third = np.where(with_third, following[first + 2] + 1, 0)
         suffix_of, suffixes = pd.factorize(pair_of * np.int64(size + 1) + third)
         counts = np.bincount(suffix_of, minlength=len(suffixes)).astype(np.int64)
+        # Neighbours with the same first words compress better.
+        order = np.argsort(pairs[suffixes // (size + 1)], kind="stable")
+        suffixes, counts = suffixes[order], counts[order]
         own, thirds = suffixes // (size + 1), suffixes % (size + 1)
         heads, seconds = pairs // max(size, 1), pairs % max(size, 1)
-        pair_names = pc.binary_join_element_wise(block.words.take(pa.array(heads)), block.words.take(pa.array(seconds)), b" ")
+        pair_names = block.pair_names(heads, seconds)
         third_names = pa.concat_arrays([pa.array([b""], pa.binary()), block.words]).take(pa.array(thirds))
 
         extended = np.fromiter((kept[i] and k in heavy for i, k in enumerate(keys)), bool, size)
         by_word = np.fromiter((crc32(k) % groups for k in keys), np.int32, size)
         by_pair = by_word[heads]
-        for p in np.flatnonzero(extended[heads]).tolist():
-            by_pair[p] = crc32(keys[heads[p]] + b" " + block.words[seconds[p]].as_py()) % groups
-        group = by_pair[own]
-        split = (extended[heads] & extended[seconds])[own]
+        split_pair = np.zeros(len(pairs), bool)
+        long = np.flatnonzero(extended[heads])
+        names = pair_names.take(pa.array(long)).to_pylist()
+        for p, lang, name, second in zip(long.tolist(), block.lang_of_id[heads[long]].tolist(), names, extended[seconds[long]].tolist()):
+            prefix = _key(block.langs[lang], name)
+            by_pair[p] = crc32(prefix) % groups
+            split_pair[p] = second and prefix in heavy_pairs
+        group, split = by_pair[own], split_pair[own]
         for n in np.flatnonzero(split).tolist():
             prefix = keys[heads[own[n]]] + b" " + pair_names[own[n]].as_py() + b" " + third_names[n].as_py()
             group[n] = crc32(prefix) % groups
@@ -242,10 +271,15 @@ def phrase_counts(
     total = frequent.agg(F.sum("f")).first()[0] or 0
     kept = _filter_of(frequent.select(key.alias("prefix")), filter_bits)
     heavy = _filter_of(words.where(F.col("f") > budget).select(key.alias("prefix")), filter_bits)
-    groups = int(total // budget) + 1
-    partitions = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heavy_pairs = Filter(bytes(filter_bits // 8))
+    if any(heavy.bits):
+        pairs = texts.mapInArrow(_heavy_pairs(heavy), "lang binary, phrase binary, f bigint")
+        pairs = pairs.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") > budget)
+        heavy_pairs = _filter_of(pairs.select(key.alias("prefix")), filter_bits)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Several groups a partition even out their sizes.
-    suffixes = texts.mapInArrow(_suffixes(kept, heavy, 16 * partitions), _SUFFIXES)
+    groups = max(16 * partitions, 2 * int(total // budget))
+    suffixes = texts.mapInArrow(_suffixes(kept, heavy, heavy_pairs, groups), _SUFFIXES)
     trees = suffixes.repartition(partitions, "grp").sortWithinPartitions("grp")
     nodes = trees.mapInArrow(_trees(least), _NODES)
     return nodes.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
