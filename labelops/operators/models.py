@@ -14,7 +14,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -23,7 +23,9 @@ from labelops.operators.curves import weighted_curve_metrics
 from labelops.operators.metrics import best_run
 from labelops.operators.reshape import union_all
 from labelops.operators.thresholds import sweep_maxima
+from labelops.operators.training import JointClassifier, train_jointly
 from labelops.session import materialise
+from labelops.sources.ledger import RunLedger
 from labelops.vocab import LABELS
 
 Scorer = Callable[[pd.Series], Sequence[Sequence[float]]]
@@ -249,18 +251,57 @@ def train_until_no_gain(
     return best, table
 
 
+Trainer = Callable[[DataFrame], "TextClassifier | JointClassifier"]
+
+
+def joint_trainer(n_labels: int = len(LABELS), **settings) -> Trainer:
+    """Joint training with the given settings, for a grid of runs."""
+    return lambda train: train_jointly(train, n_labels, **settings).classifier
+
+
+def estimator_trainer(estimator: Estimator, n_labels: int = len(LABELS)) -> Trainer:
+    """One binary model per label, for a grid of runs."""
+    return lambda train: train_classifier(train, estimator, n_labels)
+
+
+def resume_grid(
+    ledger: RunLedger,
+    train_sets: Mapping[str, DataFrame],
+    evaluation: DataFrame,
+    trainers: Mapping[str, Trainer],
+    split: str = "split",
+    written_by: str = "",
+) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Run what the ledger lacks of the grid, and read all of it back.
+
+    Every run is committed as soon as its metrics are known, so an interrupted
+    grid loses one run at most. Returns the metrics of all runs of the grid,
+    those finished earlier included, and the runs trained by this call.
+    """
+    grid = [(model, train_set) for train_set in train_sets for model in trainers]
+    done = set(ledger.finished(grid))
+    pending = [run for run in grid if run not in done]
+    for model, train_set in pending:
+        scored = trainers[model](train_sets[train_set]).scores(evaluation.select(split, "text", "y"))
+        rows = materialise(scored.select(F.col(split).alias("split"), "y", "scores"))
+        ledger.record(model, train_set, run_metrics(rows, ["split"]), written_by)
+    return ledger.table(grid), pending
+
+
 def best_by_ap(runs: DataFrame, groups: Sequence[str] = ("split",)) -> DataFrame:
     return best_run(runs, "ap", groups)
 
 
 def throughput(df: DataFrame, batch_size: int = 8) -> DataFrame:
-    """Run the plan once for its full output: rows, seconds, rows and batches per second."""
+    """Run the plan once for its full output: rows, seconds, rows and batches per second.
+
+    The rows are counted while they are written, so nothing is read twice.
+    """
+    seen = Observation()
     started = perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    seconds = perf_counter() - started
-    return df.agg(F.count(F.lit(1)).alias("samples")).select(
-        "samples",
-        F.lit(seconds).alias("runtime_s"),
-        (F.col("samples") / F.lit(seconds)).alias("samples_per_second"),
-        (F.ceil(F.col("samples") / batch_size) / F.lit(seconds)).alias("steps_per_second"),
+    df.observe(seen, F.count(F.lit(1)).alias("samples")).write.format("noop").mode("overwrite").save()
+    seconds, samples = perf_counter() - started, seen.get["samples"]
+    row = (samples, seconds, samples / seconds, -(-samples // batch_size) / seconds)
+    return df.sparkSession.createDataFrame(
+        [row], "samples BIGINT, runtime_s DOUBLE, samples_per_second DOUBLE, steps_per_second DOUBLE"
     )

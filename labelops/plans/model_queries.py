@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.functions.text import clean_text
 from labelops.operators import models, reshape
+from labelops.operators.curves import weighted_curve_metrics
+from labelops.operators.training import Training, train_jointly
 from labelops.plans.inputs import Inputs, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
+from labelops.session import scratch_path
+from labelops.sources.ledger import RunLedger
 
 # One keyword per label position, and a second list for a second model.
 KEYWORDS = (
@@ -106,46 +109,134 @@ def _split(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("data_type") == name)
 
 
+EPOCHS = 10
+
+
 @query("u5_train_classifier")
 def train(t: Inputs) -> DataFrame:
+    """Scores of all labelled documents by one model of both labels."""
     labelled = _labelled(t)
-    classifier = models.train_classifier(_split(labelled, "Train"), LogisticRegression(maxIter=10, regParam=0.01), 2)
-    scored = classifier.scores(labelled)
-    return scored.select("id", "data_type", F.posexplode_outer("scores").alias("pos", "score"))
+    classifier = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS).classifier
+    return classifier.scores(labelled).select("id", "data_type", F.posexplode_outer("scores").alias("pos", "score"))
 
 
-@query("u6_run_grid")
-def grid(t: Inputs) -> DataFrame:
-    """Three classifiers on all training rows, and on a set where marked rows count three times."""
+@query(
+    "u5_training_check",
+    """SELECT a.data_type, CAST(r.i AS INTEGER) AS pos, count(*) AS n,
+              CAST(sum(CASE WHEN r.i = 0 THEN 1 - a.quality ELSE a.toxic END) AS BIGINT) AS positives, TRUE AS scores_are_probabilities,
+              CASE WHEN a.data_type = 'Train' THEN TRUE END AS positives_score_higher
+       FROM (SELECT a.*, d.data_type FROM annotations a JOIN docs d ON a.id = d.id) a CROSS JOIN range(2) r(i) GROUP BY a.data_type, r.i""",
+)
+def training_check(t: Inputs) -> DataFrame:
+    """Every labelled document is scored once per label; learned labels separate the training rows."""
+    labelled = _labelled(t)
+    classifier = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS).classifier
+    cells = classifier.scores(labelled).select("data_type", F.posexplode(F.arrays_zip("y", "scores")).alias("pos", "cell"))
+    score, y = F.col("cell.scores"), F.col("cell.y")
+    higher = F.avg(F.when(y == 1, score)) > F.avg(F.when(y == 0, score))
+    return cells.groupBy("data_type", "pos").agg(
+        F.count("*").alias("n"),
+        F.sum(y.cast("long")).alias("positives"),
+        F.bool_and(score.between(0, 1)).alias("scores_are_probabilities"),
+        F.when(F.col("data_type") == "Train", higher).alias("positives_score_higher"),
+    )
+
+
+def _grid(t: Inputs, trainers: dict) -> tuple[RunLedger, dict, DataFrame, dict]:
+    """All training rows, and a set where marked rows count three times."""
     labelled = _labelled(t)
     original = _split(labelled, "Train")
     marked = original.filter(F.array_contains("y", 1))
-    return models.run_grid(
-        {"original_train": original, "balanced_train": reshape.union_all([original, marked, marked])},
-        labelled,
-        models.candidate_estimators(max_iter=5),
-        n_labels=2,
-        split="data_type",
-    )
+    sets = {"original_train": original, "balanced_train": reshape.union_all([original, marked, marked])}
+    return RunLedger(t.spark, scratch_path(t.spark, "runs")), sets, labelled, trainers
+
+
+def _interrupted(t: Inputs, trainers: dict) -> tuple[DataFrame, list[int]]:
+    """A grid that stops after its first training set, goes on in a second call, and is complete in a third."""
+    ledger, sets, labelled, trainers = _grid(t, trainers)
+    first = {"original_train": sets["original_train"]}
+    calls = [(first, "first"), (sets, "second"), (sets, "third")]
+    results = [models.resume_grid(ledger, s, labelled, trainers, "data_type", name) for s, name in calls]
+    table = results[-1][0].withColumnRenamed("split", "data_type")
+    return table, [len(trained) for _, trained in results]
+
+
+@query("u6_run_grid")
+def grid(t: Inputs) -> DataFrame:
+    """Three classifiers on two training sets, some of them finished by an earlier call."""
+    others = {k: e for k, e in models.candidate_estimators(max_iter=5).items() if k != "logistic_regression"}
+    trainers = {"joint_logistic": models.joint_trainer(2, max_epochs=EPOCHS)}
+    trainers |= {name: models.estimator_trainer(e, 2) for name, e in others.items()}
+    return _interrupted(t, trainers)[0].drop("written_by")
+
+
+@query(
+    "u6_resume_check",
+    """SELECT m.model, r.train_set, d.data_type, r.written_by, r.trained
+       FROM (VALUES ('epochs_1'), ('epochs_2')) m(model)
+       CROSS JOIN (VALUES ('original_train', 'first', 2), ('balanced_train', 'second', 2)) r(train_set, written_by, trained)
+       CROSS JOIN (SELECT DISTINCT d.data_type FROM annotations a JOIN docs d ON a.id = d.id) d""",
+)
+def resume_check(t: Inputs) -> DataFrame:
+    """Which call trained each run, and how many it trained; the third call trains none."""
+    table, trained = _interrupted(t, {f"epochs_{n}": models.joint_trainer(2, max_epochs=n) for n in (1, 2)})
+    counts = F.create_map(*[F.lit(v) for name, n in zip(("first", "second", "third"), trained) for v in (name, n)])
+    return table.select("model", "train_set", "data_type", "written_by", F.element_at(counts, F.col("written_by")).alias("trained"))
+
+
+def _with_validation(t: Inputs) -> tuple[Training, DataFrame]:
+    labelled = _labelled(t)
+    run = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS, validation=_split(labelled, "Validation"), patience=3)
+    return run, labelled
 
 
 @query("u7_best_by_ap")
 def early_stop(t: Inputs) -> DataFrame:
-    labelled = _labelled(t)
-    settings = [LogisticRegression(maxIter=n, regParam=0.01) for n in (1, 3, 5, 8)]
-    _, tries = models.train_until_no_gain(
-        _split(labelled, "Train"), _split(labelled, "Validation"), settings, n_labels=2, patience=2
-    )
-    return tries
+    """The best epoch of a run that stops when the validation AP no longer rises."""
+    run, labelled = _with_validation(t)
+    return run.table(labelled).filter("best").select("epoch", "loss", "ap")
 
 
 @query("u8_training_history")
 def history(t: Inputs) -> DataFrame:
-    train_rows = _split(_labelled(t), "Train")
-    classifier = models.train_classifier(train_rows, LogisticRegression(maxIter=10, regParam=0.01), 2)
-    return models.training_history(train_rows, classifier)
+    """Loss and validation AP of every epoch."""
+    run, labelled = _with_validation(t)
+    return run.table(labelled)
+
+
+@query("u8_history_check", "SELECT TRUE AS loss_never_rises, TRUE AS best_is_first_maximum, TRUE AS best_weights_restored")
+def history_check(t: Inputs) -> DataFrame:
+    """What holds of every history, and of the classifier returned with it."""
+    run, labelled = _with_validation(t)
+    again = weighted_curve_metrics(run.classifier.scores(_split(labelled, "Validation")), []).select(F.col("ap").alias("again"))
+    return (
+        run.table(labelled)
+        .withColumn("before", F.lag("loss").over(Window.partitionBy(F.lit(0)).orderBy("epoch")))
+        .agg(
+            F.bool_and(F.coalesce(F.col("loss") <= F.col("before"), F.lit(True))).alias("loss_never_rises"),
+            (F.min(F.struct(-F.coalesce("ap", F.lit(-1.0)), "epoch")).getField("epoch") == F.max(F.when(F.col("best"), F.col("epoch")))).alias(
+                "best_is_first_maximum"
+            ),
+            F.max(F.when(F.col("best"), F.col("ap"))).alias("ap"),
+        )
+        .crossJoin(again)
+        .select("loss_never_rises", "best_is_first_maximum", F.col("ap").eqNullSafe(F.col("again")).alias("best_weights_restored"))
+    )
+
+
+def _timed(t: Inputs) -> DataFrame:
+    return models.throughput(t.noisy.select("id", clean_text("text").alias("processed_text")))
 
 
 @query("m14_throughput")
 def throughput(t: Inputs) -> DataFrame:
-    return models.throughput(t.noisy.select("id", clean_text("text").alias("processed_text")))
+    return _timed(t)
+
+
+@query("m14_throughput_check", "SELECT count(*) AS samples, TRUE AS rates_agree FROM docs")
+def throughput_check(t: Inputs) -> DataFrame:
+    """All rows are counted by the timed write itself, and the rates follow from it."""
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * b
+    steps = F.ceil(F.col("samples") / 8) / F.col("runtime_s")
+    agree = near(F.col("samples_per_second"), F.col("samples") / F.col("runtime_s")) & near(F.col("steps_per_second"), steps)
+    return _timed(t).select("samples", agree.alias("rates_agree"))
