@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
 from labelops.operators.ranges import global_rank
+from labelops.operators.selection import Histogram, at_cut, below, bounded_counts, lowest, ranked_in_prefixes
 from labelops.operators.stats import label_support
-from labelops.session import materialise, stored
 from labelops.vocab import LABELS, label_at, sql_string
 
 # Sampling keys are the leading 12 hexadecimal digits of an MD5 sum.
@@ -38,18 +39,27 @@ def _key_cut(wanted: int, available: int) -> int:
 def sample_exact(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """Exactly n rows without replacement: those with the lowest sampling keys.
 
-    The key cut leaves little more than n rows to be ranked; should it leave
-    too few, all rows are ranked instead.
+    The n-th key is found from counts of key prefixes, and the rows are those up
+    to it: nothing is ranked or sorted. The key cut leaves little more than n
+    rows to be counted; should it leave too few, all rows are counted instead.
+    Of rows that share the n-th id any fill what is missing.
     """
-    keyed = df.withColumn("sampling_key", sampling_key(seed, key))
     available = df.count()
-    near = keyed.filter(F.col("sampling_key") < _key_cut(n, available))
-    ranked = global_rank(near, [F.col("sampling_key"), F.col(key)], name="sample_rank")
-    chosen = materialise(ranked.filter(F.col("sample_rank") <= n))
-    if chosen.count() < min(n, available):
-        ranked = global_rank(keyed, [F.col("sampling_key"), F.col(key)], name="sample_rank")
-        chosen = ranked.filter(F.col("sample_rank") <= n)
-    return chosen.drop("sampling_key", "sample_rank")
+    if n >= available:
+        return df
+    identity = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    keyed = df.withColumn("sampling_key", sampling_key(seed, key))
+    rows = keyed.select(F.lit(0).alias("group"), F.col("sampling_key").alias("key"), identity.alias("id"), F.lit(0).cast("long").alias("bits"))
+    histogram = Histogram(rows.filter(F.col("key") < _key_cut(n, available)), 0)
+    if histogram.support(0) < n:
+        histogram = Histogram(rows, 0)
+    cut = lowest(histogram, 0, n)
+    sampled = keyed.filter(below(cut, F.col("sampling_key"), identity))
+    if cut.copies < cut.all_copies:
+        equal = keyed.filter(at_cut(cut, F.col("sampling_key"), identity))
+        some = global_rank(equal, [F.col("sampling_key")], name="sample_rank").filter(F.col("sample_rank") <= cut.copies)
+        sampled = sampled.unionByName(some.drop("sample_rank"))
+    return sampled.drop("sampling_key")
 
 
 def sample_with_replacement(df: DataFrame, m: int, seed: int, key: str = "id") -> DataFrame:
@@ -87,33 +97,42 @@ def synthetic_rows(draws: DataFrame, vocabulary: Sequence[str] = LABELS) -> Data
     )
 
 
-def _by_position(numbers: Sequence[int]) -> Column:
-    """The number that belongs to the label position of a row."""
-    return F.expr("element_at(array(" + ", ".join(f"{n}L" for n in numbers) + "), pos + 1)")
-
+def _plan(histogram: Histogram, n: int, size: int) -> tuple[dict[int, int], dict[int, int]]:
+    """How many rows each label takes and how many are made, the rarest label first.
 
-def _candidates(df: DataFrame, n: int, seed: int, support: Mapping[int, int], vocabulary: Sequence[str]) -> DataFrame:
-    """For each label the n rows with the lowest sampling keys (or all it has).
-
-    No step of the balancing ever needs another row, so this is the only pass
-    over the data. Columns: pos, rank, bits and the row itself.
+    A label that lacks rows ends at n exactly: it takes what it lacks, or all it
+    has and the rest is made. What it takes adds to the counts of the labels
+    after it, known within bounds until the segments that matter are looked into.
     """
-    held = ", ".join(f"if(array_contains(labels, {sql_string(v)}), {i}, null)" for i, v in enumerate(vocabulary))
-    positions = F.expr(f"array_compact(array({held}))")
-    exploded = df.withColumn("pos", F.explode(positions)).withColumn("key", sampling_key(seed, "pos", "id"))
-
-    def lowest(cuts: Mapping[int, int]) -> DataFrame:
-        cut = _by_position([cuts[i] for i in range(len(vocabulary))])
-        near = exploded.filter(F.col("key") < cut)
-        ranked = global_rank(near, [F.col("key"), F.col("id")], groups=["pos"])
-        found = ranked.filter(F.col("rank") <= n).drop("key").withColumn("bits", L.label_bits("labels", vocabulary))
-        return stored(found, "candidates")
-
-    found = lowest({i: _key_cut(n, support[i]) for i in range(len(vocabulary))})
-    counts = {r["pos"]: r["rows"] for r in found.groupBy("pos").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    if any(counts.get(i, 0) < min(n, support[i]) for i in range(len(vocabulary))):
-        found = lowest({i: KEY_SPACE for i in range(len(vocabulary))})
-    return found
+    support = [histogram.support(pos) for pos in range(size)]
+    order = [pos for pos in sorted(range(size), key=lambda p: (support[p], p)) if support[pos]]
+
+    def rule(pos: int, low: np.ndarray, high: np.ndarray):
+        # Which of the two bounds gives the fewest rows is clear: more rows held, fewer lacking.
+        fewest, most = (min(max(n - held, 0), support[pos]) for held in (int(high[pos]), int(low[pos])))
+
+        def settle(least: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            for bounds, held in ((least, low), (upper, high)):
+                bounds[pos] = max(n, int(held[pos]))
+            return least, upper
+
+        return fewest, most, settle
+
+    decided = None
+    while decided is None:
+        decided = bounded_counts(histogram, order, rule)
+    # The same steps once more, on exact counts.
+    counts, take, make = np.zeros(size, np.int64), {}, {}
+    for pos, taken in decided:
+        missing = n - int(counts[pos])
+        if missing <= 0:
+            continue
+        take[pos] = taken
+        counts = counts + histogram.taken(pos, taken, taken)[0]
+        if support[pos] < missing:
+            make[pos] = missing - support[pos]
+        counts[pos] = n
+    return take, make
 
 
 def balance(
@@ -128,8 +147,9 @@ def balance(
     n because rows carry several labels.
 
     Labels depend on each other in sequence, but only through a vector of
-    counts: the loop below decides how many rows each label takes, and reads
-    one row of sums per label. The rows themselves stay distributed.
+    counts. One aggregate counts label sets per label and key prefix; the loop
+    over labels runs on it, and a second one tells the few rows apart that lie
+    at the boundaries. The rows are then selected by their keys in one pass.
     """
     spark = df.sparkSession
     columns = ["id", "text", "link", "labels", "processed_text"]
@@ -137,39 +157,38 @@ def balance(
     if not df.filter(F.col("id").startswith("aug-")).isEmpty():
         raise ValueError("ids starting with 'aug-' are reserved for augmented rows")
     size = len(vocabulary)
-    support = {r["pos"]: r["n"] for r in label_support(df, vocabulary=vocabulary).collect()}
-    candidates = _candidates(df, n, seed, support, vocabulary)
-
-    counts = [0] * size
-    take: dict[int, int] = {}
-    make: dict[int, int] = {}
-    for pos in sorted(range(size), key=lambda p: (support[p], p)):
-        missing = n - counts[pos]
-        if missing <= 0 or support[pos] == 0:
-            continue
-        take[pos] = min(missing, support[pos])
-        added = (
-            candidates.filter((F.col("pos") == pos) & (F.col("rank") <= take[pos]))
-            .agg(L.label_counts("bits", size).alias("added"))
-            .first()["added"]
-        )
-        counts = [c + a for c, a in zip(counts, added)]
-        if support[pos] < missing and counts[pos] < n:
-            make[pos] = n - counts[pos]
-            counts[pos] = n
-
-    quota = _by_position([take.get(p, 0) for p in range(size)])
-    originals = candidates.filter(F.col("rank") <= quota).select(*columns)
+    held = ", ".join(f"if(array_contains(labels, {sql_string(v)}), {i}, null)" for i, v in enumerate(vocabulary))
+    positions = F.expr(f"array_compact(array({held}))")
+    keyed = df.withColumn("group", F.explode(positions)).withColumn("key", sampling_key(seed, "group", "id"))
+    flags = keyed.select("group", "key", F.coalesce("id", F.lit("")).alias("id"), L.label_bits("labels", vocabulary).alias("bits"))
+    histogram = Histogram(flags, size)
+    take, make = _plan(histogram, n, size)
+
+    cuts = {pos: histogram.cut(pos, k) for pos, k in take.items()}
+    identity = F.coalesce("id", F.lit(""))
+    chosen = F.lit(False)
+    for pos, cut in cuts.items():
+        chosen = chosen | ((F.col("group") == pos) & below(cut, F.col("key"), identity))
+    originals = keyed.filter(chosen).select(*columns)
+    partly = {pos: cut for pos, cut in cuts.items() if cut.copies < cut.all_copies}
+    if partly:
+        equal = F.lit(False)
+        for pos, cut in partly.items():
+            equal = equal | ((F.col("group") == pos) & at_cut(cut, F.col("key"), identity))
+        ranked = global_rank(keyed.filter(equal), [F.col("key")], groups=["group"])
+        quota = F.element_at(F.create_map(*[F.lit(v) for pos, cut in partly.items() for v in (pos, cut.copies)]), F.col("group"))
+        originals = originals.unionByName(ranked.filter(F.col("rank") <= quota).select(*columns))
     if not make:
         return originals
 
     def draws(pos: int, wanted: int) -> DataFrame:
         number = F.col("id") + 1
-        enough = support[pos] >= wanted
-        pick = number if enough else sampling_key(seed, F.lit(f"draw-{pos}"), "id") % support[pos] + 1
+        available = histogram.support(pos)
+        pick = number if available >= wanted else sampling_key(seed, F.lit(f"draw-{pos}"), "id") % available + 1
         return spark.range(wanted).select(F.lit(pos).alias("pos"), number.alias("draw"), pick.alias("rank"))
 
     wanted = reduce(DataFrame.unionAll, [draws(p, k) for p, k in make.items()])
-    chosen = candidates.select("pos", "rank", "processed_text").join(wanted, ["pos", "rank"])
-    made = synthetic_rows(chosen, vocabulary)
+    sources = keyed.filter(F.col("group").isin(list(make))).select("group", "key", "id", "processed_text")
+    ranked = ranked_in_prefixes(sources, histogram, list(make)).select(F.col("group").alias("pos"), "rank", "processed_text")
+    made = synthetic_rows(ranked.join(wanted, ["pos", "rank"]), vocabulary)
     return originals.unionByName(augment(made) if augment else made)

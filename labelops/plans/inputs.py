@@ -207,6 +207,6 @@ annotations AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality, toxic FROM labels
 """
 
 
-def with_inputs(body: str, *ctes: str) -> str:
+def with_inputs(body: str, *ctes: str, recursive: bool = False) -> str:
     """A statement over the inputs and further common table expressions."""
-    return "WITH " + ",\n".join([INPUT_CTES.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([INPUT_CTES.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()

@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, *ctes: str):
+def query(name: str, sql: str | None = None, *ctes: str, recursive: bool = False):
     """Register a function of Inputs under a name, with SQL over the same inputs if there is any."""
 
     def register(build: Callable[[Inputs], DataFrame]):
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, *ctes: str):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_inputs(sql, *ctes)
+            ORACLE[name] = with_inputs(sql, *ctes, recursive=recursive)
         return build
 
     return register

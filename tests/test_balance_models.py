@@ -155,3 +155,26 @@ def test_reshape_cast_like_and_tags(spark):
     assert reshape.cast_like(df, model).schema == model.schema
     tagged = reshape.tag_splits({"x": df, "y": df})
     assert sorted(r["data_type"] for r in tagged.collect()) == ["x", "y"]
+
+
+def test_cuts_are_exact_when_prefixes_must_be_looked_into(spark, monkeypatch):
+    """With almost no rows told apart at once, boundaries are found by finer and finer prefixes."""
+    monkeypatch.setattr("labelops.operators.selection.FEW", 2)
+    table, df = source(spark)
+    for n in (5, 40):
+        originals = Counter(r["id"] for r in balance.balance(df, n, seed=7).collect() if not r["id"].startswith("aug-"))
+        assert originals == python_balance(table, n, 7)[0]
+    expected = sorted((str(i) for i in range(500)), key=lambda i: (key(3, i), i))
+    ids = spark.range(500).select(F.col("id").cast("string").alias("id"))
+    assert {r[0] for r in balance.sample_exact(ids, 123, 3).collect()} == set(expected[:123])
+
+
+def test_balance_with_repeated_ids(spark):
+    """A third of the rows are copies of one row: labels still end at n exactly where they take less than all."""
+    table, _ = source(spark)
+    rows = table + [("hot", "text", "link", [LABELS[0]], "hot text")] * 150
+    df = spark.createDataFrame(rows, "id STRING, text STRING, link STRING, labels ARRAY<STRING>, processed_text STRING")
+    got = balance.balance(df, 100, seed=7).collect()
+    support = Counter(v for r in got for v in r["labels"])
+    assert all(support[v] >= 100 for v in LABELS[:6])
+    assert sorted(map(str, got)) == sorted(map(str, balance.balance(df, 100, seed=7).collect()))
