@@ -35,13 +35,14 @@ Translator = Callable[[pd.Series], Sequence[str]]
 def scores_from(make_scorer: Callable[[], Scorer], text: str = "processed_text") -> Column:
     """Scores of a text column by a user-supplied model, in Arrow batches.
 
-    The model is made once per task; only the text column goes to Python.
+    The model is made once per task that has rows; only the text column goes to Python.
     """
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = make_scorer()
+        scorer = None
         for texts in batches:
+            scorer = scorer or make_scorer()
             yield pd.Series([list(map(float, row)) for row in scorer(texts)])
 
     return run(text)
@@ -70,8 +71,9 @@ def translate(df: DataFrame, make_translator: Callable[[], Translator], text: st
 
     @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        translator = make_translator()
+        translator = None
         for texts in batches:
+            translator = translator or make_translator()
             yield pd.Series(list(translator(texts)), dtype=object)
 
     return df.withColumn(text, run(text))

@@ -67,6 +67,12 @@ def tag_splits(parts: Mapping[str, DataFrame], name: str = "data_type") -> DataF
     return union_all(tagged)
 
 
+def tag_by_condition(df: DataFrame, conditions: Mapping[str, Column], name: str = "data_type") -> DataFrame:
+    """All rows of one table, tagged with the first name whose condition holds, in one projection."""
+    tags = [F.when(condition, F.lit(tag)) for tag, condition in conditions.items()]
+    return df.withColumn(name, F.coalesce(*tags))
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows of all parts, duplicates kept, columns matched by name."""
     first, *others = parts

@@ -102,7 +102,7 @@ class Inputs:
         noisy = (
             F.when(kind == 0, F.concat(F.lit("RT @user_"), name, F.lit(" "), text))
             .when(kind == 1, F.concat(text, F.lit(" http://t.co/x"), name, F.lit("?a=1 end")))
-            .when(kind == 2, F.lit("#OnlyTag"))
+            .when(kind == 2, F.concat(text, F.lit(" #OnlyTag")))
             .when(kind == 3, F.concat(F.lit("VIDEO: "), text, F.lit(" AUDIO: [link] [url] [user]")))
             .when(kind == 4, F.concat(text, F.lit(" 😀❤️ 漢字 (ok)! #tag-"), name))
             .when(kind == 5, F.concat(F.lit("We don't know, it's \\n "), text, F.lit(" they're sure they'll can't")))
@@ -111,6 +111,12 @@ class Inputs:
         )
         return self.documents.select(name.alias("id"), "lang", noisy.alias("text"))
 
+    @cached_property
+    def noisy_and_made(self) -> DataFrame:
+        """The noisy documents, and a few made rows that cleaning empties."""
+        made = "SELECT * FROM VALUES ('made-1', 'en', '#OnlyTag'), ('made-2', 'fr', ''), ('made-3', 'de', ' @ab bit.ly/x 😀 ') AS t(id, lang, text)"
+        return self.noisy.unionByName(self.spark.sql(made))
+
     @cached_property
     def prepared(self) -> DataFrame:
         """(id, text, link, labels, processed_text, lang, data_type)."""
@@ -192,13 +198,15 @@ noisy AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE doc_id % 8
     WHEN 0 THEN 'RT @user_' || CAST(doc_id AS VARCHAR) || ' ' || text
     WHEN 1 THEN text || ' http://t.co/x' || CAST(doc_id AS VARCHAR) || '?a=1 end'
-    WHEN 2 THEN '#OnlyTag'
+    WHEN 2 THEN text || ' #OnlyTag'
     WHEN 3 THEN 'VIDEO: ' || text || ' AUDIO: [link] [url] [user]'
     WHEN 4 THEN text || ' 😀❤️ 漢字 (ok)! #tag-' || CAST(doc_id AS VARCHAR)
     WHEN 5 THEN 'We don''t know, it''s \\n ' || text || ' they''re sure they''ll can''t'
     WHEN 6 THEN '  bit.ly/ab pic.twitter.com/q @ab @a ' || text
     ELSE text END AS text
   FROM documents),
+made AS (SELECT * FROM (VALUES ('made-1', 'en', '#OnlyTag'), ('made-2', 'fr', ''), ('made-3', 'de', ' @ab bit.ly/x 😀 ')) v(id, lang, text)),
+noisy_and_made AS (SELECT id, lang, text FROM noisy UNION ALL SELECT * FROM made),
 logits AS (
   SELECT CAST(e.vec_id AS VARCHAR) AS id, CAST(r.i AS INTEGER) AS k, e.embedding[r.i + 1] AS logit,
          CASE WHEN e.label = r.i % 10 THEN 1 ELSE 0 END AS y

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from labelops.functions.text import clean_text
 from labelops.operators import models, reshape
 from labelops.operators.curves import weighted_curve_metrics
-from labelops.operators.training import Training, train_jointly
+from labelops.operators.batches import padded_scores, padding_share
+from labelops.operators.training import JointClassifier, Training, train_jointly
+from labelops.operators.translation import TranslationStore
+from labelops.operators.translation import back_translate as back_translate_stored
 from labelops.plans.inputs import Inputs, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
@@ -83,7 +86,32 @@ def score_all(t: Inputs) -> DataFrame:
 @query("u3_translate", f"SELECT id, {glossary_sql('processed_text')} AS processed_text FROM clean", clean_ctes())
 def translate(t: Inputs) -> DataFrame:
     texts = t.noisy.select("id", clean_text("text").alias("processed_text"))
-    return models.translate(texts, partial(models.GlossaryTranslator, GLOSSARY), "processed_text")
+    return _store(t, "there", GLOSSARY).translate(texts, "processed_text")
+
+
+@query(
+    "u3_store_check",
+    """SELECT count(*) AS n_rows, count(DISTINCT text) AS texts, count(DISTINCT text) AS translated, 0::BIGINT AS translated_again
+       FROM (SELECT text FROM docs UNION ALL SELECT text FROM docs)""",
+)
+def translation_store(t: Inputs) -> DataFrame:
+    """Every document twice: each text is translated once, and not again in a second run."""
+    store = _store(t, "there", GLOSSARY)
+    twice = t.gold.select("text").unionAll(t.gold.select("text"))
+    counts = []
+    for _ in range(2):
+        store.add(twice, "text")
+        counts.append(t.spark.read.parquet(store.path).count())
+    return twice.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("text").alias("texts"),
+        F.lit(counts[0]).cast("long").alias("translated"),
+        F.lit(counts[1] - counts[0]).cast("long").alias("translated_again"),
+    )
+
+
+def _store(t: Inputs, name: str, glossary: dict[str, str]) -> TranslationStore:
+    return TranslationStore(t.spark, scratch_path(t.spark, name), partial(models.GlossaryTranslator, glossary))
 
 
 @query(
@@ -94,8 +122,7 @@ def translate(t: Inputs) -> DataFrame:
 )
 def back_translate(t: Inputs) -> DataFrame:
     texts = t.noisy.select("id", clean_text("text").alias("processed_text"))
-    there, back = (partial(models.GlossaryTranslator, g) for g in (GLOSSARY, BACKWARDS))
-    return models.back_translate(texts, there, back)
+    return back_translate_stored(texts, _store(t, "there", GLOSSARY), _store(t, "back", BACKWARDS))
 
 
 def _labelled(t: Inputs) -> DataFrame:
@@ -110,6 +137,39 @@ def _split(df: DataFrame, name: str) -> DataFrame:
 
 
 EPOCHS = 10
+TOKEN_BUDGET = 1 << 14
+
+
+def _trained(t: Inputs) -> JointClassifier:
+    return train_jointly(_split(_labelled(t), "Train"), 2, max_epochs=EPOCHS).classifier
+
+
+@query("u1_score_in_batches")
+def score_in_batches(t: Inputs) -> DataFrame:
+    """All documents scored by a trained model, in batches padded to a token budget."""
+    texts = t.noisy.select("id", "lang", clean_text("text").alias("text"))
+    return padded_scores(texts, _trained(t), TOKEN_BUDGET).select("id", "lang", F.posexplode("scores").alias("pos", "score"))
+
+
+@query(
+    "u1_batches_check",
+    """SELECT count(*) AS n, CAST(sum(len(list_filter(string_split(processed_text, ' '), lambda w: w <> ''))) AS BIGINT) AS n_tokens,
+              TRUE AS same_scores, TRUE AS little_padding FROM clean""",
+    clean_ctes(),
+)
+def batches_check(t: Inputs) -> DataFrame:
+    """Batches change no score, and sorting by length leaves less padding than taking rows as they come."""
+    classifier = _trained(t)
+    texts = t.noisy.select("id", clean_text("text").alias("text"))
+    scored = classifier.scores(padded_scores(texts, classifier, TOKEN_BUDGET).withColumnRenamed("scores", "batched"))
+    differences = F.transform(F.arrays_zip("scores", "batched"), lambda x: F.abs(x["scores"] - x["batched"]))
+    as_they_come = padding_share(padded_scores(texts, classifier, TOKEN_BUDGET, by_length=False))
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.sum("n_tokens").alias("n_tokens"),
+        (F.max(F.array_max(differences)) < 1e-9).alias("same_scores"),
+        F.lit(padding_share(scored) <= as_they_come).alias("little_padding"),
+    )
 
 
 @query("u5_train_classifier")

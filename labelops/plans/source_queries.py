@@ -6,11 +6,14 @@ back, so that its result can be compared with the source.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions.text import clean_text
 from labelops.operators import curves, models, reshape, stats, thresholds, validate
+from labelops.operators.translation import TranslationStore
 from labelops.plans.inputs import MODELS, Inputs, joined
 from labelops.plans.metric_queries import LABEL_SWEEP, RUN_CURVE, rounded
 from labelops.plans.model_queries import GLOSSARY, glossary_sql
@@ -23,6 +26,13 @@ from labelops.vocab import LABELS, label_array
 
 @query("s1_read_annotated", "SELECT d.id, d.text, g.labels FROM docs d JOIN gold g ON d.id = g.id")
 def annotated(t: Inputs) -> DataFrame:
+    path = scratch_path(t.spark, "annotated")
+    io.write_json_array(t.gold.select("id", "text", "labels"), path)
+    return joined(io.read_annotated(t.spark, path), "text")
+
+
+@query("s1_read_annotated_lines", "SELECT d.id, d.text, g.labels FROM docs d JOIN gold g ON d.id = g.id")
+def annotated_lines(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "annotated")
     io.write_json_lines(t.gold.select("id", "text", "labels"), path)
     return joined(io.read_annotated(t.spark, path, json_array=False), "text")
@@ -31,10 +41,8 @@ def annotated(t: Inputs) -> DataFrame:
 @query("s2_read_by_language", "SELECT d.id, d.lang, length(d.text) AS n_chars FROM docs d")
 def by_language(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "languages")
-    languages = [r["lang"] for r in t.gold.select("lang").distinct().orderBy("lang").collect()]
     io.write_json_lines(t.gold.select("id", "text", "labels", "lang"), path, by=["lang"])
-    paths = {lang: f"{path}/lang={lang}" for lang in languages}
-    read = io.read_by_language(t.spark, paths, json_array=False)
+    read = io.read_language_folders(t.spark, path, json_array=False)
     return read.select("id", "lang", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -67,6 +75,13 @@ def model_predictions(t: Inputs) -> DataFrame:
 
 @query("s5_read_thresholds", "SELECT model, label, round(threshold, 6) AS threshold FROM best", *LABEL_SWEEP)
 def read_thresholds(t: Inputs) -> DataFrame:
+    path = scratch_path(t.spark, "thresholds")
+    io.write_threshold_folders(thresholds.best_label_thresholds(t.scores), path)
+    return rounded(io.read_threshold_folders(t.spark, path), "threshold", digits=6)
+
+
+@query("s5_read_threshold_lines", "SELECT model, label, round(threshold, 6) AS threshold FROM best", *LABEL_SWEEP)
+def read_threshold_lines(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "thresholds")
     io.write_thresholds(thresholds.best_label_thresholds(t.scores), path)
     return rounded(io.read_threshold_lines(t.spark, path), "threshold", digits=6)
@@ -104,8 +119,8 @@ def label_list(t: Inputs) -> DataFrame:
 @query("s8_write_prepared_table", "SELECT label, CAST(sum(y) AS BIGINT) AS n FROM gold_long GROUP BY label")
 def prepared_table(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "prepared")
-    io.write_table(_prepared(t), path)
-    sums = stats.support_wide(t.spark.read.parquet(path))
+    io.write_prepared_csv(_prepared(t), path)
+    sums = stats.support_wide(io.read_prepared_csv(t.spark, path))
     return sums.unpivot([], [reshape.quoted(v) for v in LABELS], "label", "n")
 
 
@@ -120,8 +135,10 @@ def predictions(t: Inputs) -> DataFrame:
 @query("s10_write_metric_tables", RUN_TABLE, *RUN_CURVE)
 def metric_tables(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "metrics")
-    io.write_table(_run_table(t), path, by=["model", "train_set", "data_type"])
-    return t.spark.read.parquet(path)
+    by = ["model", "train_set", "data_type"]
+    table = _run_table(t).withColumn("index", F.array_position(label_array(), F.col("label")))
+    io.write_metrics(table.select("index", "label", "roc_auc", "ap", *by), path, by=by)
+    return io.read_metrics(t.spark, path, by)
 
 
 @query("s11_overwrite_or_skip", "SELECT id, lang, 'second' AS written FROM docs")
@@ -138,7 +155,8 @@ def overwrite_or_skip(t: Inputs) -> DataFrame:
 def translated(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "translated")
     source = t.gold.select("id", "lang", "text")
-    io.write_translated(models.translate(source, lambda: models.GlossaryTranslator(GLOSSARY)), path)
+    store = TranslationStore(t.spark, scratch_path(t.spark, "store"), partial(models.GlossaryTranslator, GLOSSARY))
+    io.write_translated(store.translate(source), path)
     return t.spark.read.schema(source.schema).json(path)
 
 

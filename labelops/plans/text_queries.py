@@ -128,7 +128,7 @@ def truncate(t: Inputs) -> DataFrame:
 @query(
     "p9_drop_empty_text",
     "SELECT id, processed_text FROM clean WHERE processed_text <> ''",
-    clean_ctes(),
+    clean_ctes(source="noisy_and_made"),
 )
 def drop_empty(t: Inputs) -> DataFrame:
-    return reshape.drop_empty_text(reshape.with_clean_text(t.noisy)).select("id", "processed_text")
+    return reshape.drop_empty_text(reshape.with_clean_text(t.noisy_and_made)).select("id", "processed_text")

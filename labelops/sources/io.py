@@ -5,10 +5,12 @@ All readers use explicit schemas, and ids are always strings.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType,
     DoubleType,
@@ -71,6 +73,12 @@ def read_annotated(spark: SparkSession, path: str | Sequence[str], json_array: b
     return _read_json(spark, path, ANNOTATED, json_array)
 
 
+def read_language_folders(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
+    """All languages of a folder with one subfolder ``lang=...`` each, in one read."""
+    tagged = StructType([*ANNOTATED.fields, *_text_fields("lang")])
+    return _read_json(spark, path, tagged, json_array)
+
+
 def read_binary(spark: SparkSession, path: str | Sequence[str], json_array: bool = True) -> DataFrame:
     return _read_json(spark, path, BINARY, json_array)
 
@@ -138,6 +146,14 @@ def read_thresholds(spark: SparkSession, path: str, **tags: str) -> DataFrame:
     return table.select(*[F.lit(v).alias(k) for k, v in tags.items()], "label", "threshold")
 
 
+def read_threshold_folders(spark: SparkSession, path: str, tag: str = "model") -> DataFrame:
+    """The cut-off objects of all subfolders ``model=...``, one file each, in one read."""
+    schema = StructType(_text_fields("value", tag))
+    text = spark.read.schema(schema).option("wholetext", True).text(path)
+    cuts = F.from_json("value", MapType(StringType(), DoubleType()))
+    return text.select(tag, F.explode(cuts).alias("label", "threshold"))
+
+
 def read_threshold_lines(spark: SparkSession, path: str) -> DataFrame:
     """Many threshold objects, one JSON line per model: (model, label, threshold)."""
     schema = StructType(
@@ -195,6 +211,42 @@ def write_json_lines(df: DataFrame, path: str, by: Sequence[str] = (), skip_exis
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, by: Sequence[str] = (), skip_existing: bool = False) -> None:
+    """JSON files that hold one array each, optionally in one folder per value of the given columns.
+
+    A task writes its rows as they come, a record a line, so no array is ever
+    held whole. With folders the rows are dealt to tasks by folder first, and a
+    folder is a single array: fit for many folders of moderate size.
+    """
+    record = df.select(F.to_json(F.struct(*[c for c in df.columns if c not in by])).alias("value"), *by)
+    if by:
+        record = record.repartition(*by).sortWithinPartitions(*by)
+    width = len(by)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, opened = None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for value, *key in zip(*[c.to_pylist() for c in batch.columns]):
+                if opened and key != folder:
+                    out.append(("]", *folder))
+                    opened = False
+                out.append(("," + value if opened else "[" + value, *key))
+                folder, opened = key, True
+            yield _columns(out, batch.schema)
+        if opened:
+            yield _columns([("]", *folder)], schema)
+        elif not width:
+            yield _columns([("[]",)], schema)
+
+    def _columns(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), like)] if rows else [pa.array([], f.type) for f in like], schema=like)
+
+    schema = to_arrow_schema(record.schema)
+    writer = record.mapInArrow(lines, record.schema).write.mode(_mode(skip_existing))
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
 def write_predictions(df: DataFrame, path: str, by: Sequence[str] = (), skip_existing: bool = False) -> None:
     """Predictions as JSON lines of id and labels."""
     table = df.select(F.col("id").cast("string").alias("id"), "labels", *by)
@@ -207,6 +259,20 @@ def write_thresholds(df: DataFrame, path: str, skip_existing: bool = False) -> N
     write_json_lines(df.groupBy("model").agg(entries.alias("thresholds")), path, (), skip_existing)
 
 
+def write_threshold_folders(df: DataFrame, path: str, skip_existing: bool = False) -> None:
+    """Cut-offs (model, label, threshold) as one JSON object per model, each in its folder."""
+    entries = F.map_from_entries(F.sort_array(F.collect_set(F.struct("label", "threshold"))))
+    table = df.groupBy("model").agg(F.to_json(entries).alias("value"))
+    # A folder holds one object, however the rows are dealt.
+    table.write.mode(_mode(skip_existing)).partitionBy("model").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str, by: Sequence[str] = ("model", "train_set", "split")) -> DataFrame:
+    """Metric tables of all runs of a folder, tagged by its subfolders."""
+    schema = StructType([*LABEL_METRICS.fields, *_text_fields(*by)])
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path).drop("index")
+
+
 def write_metrics(df: DataFrame, path: str, by: Sequence[str] = ("model", "train_set", "split")) -> None:
     """Metric tables as CSV, one folder per run."""
     df.write.mode("overwrite").partitionBy(*by).options(**CSV_OPTIONS).csv(path)

@@ -8,7 +8,7 @@ from labelops.plans.catalog import ORACLE, QUERIES
 
 WITHOUT_SQL = {
     "m14_throughput",
-    "u5_train_classifier", "u6_run_grid", "u7_best_by_ap", "u8_training_history",
+    "u1_score_in_batches", "u5_train_classifier", "u6_run_grid", "u7_best_by_ap", "u8_training_history",
 }
 
 

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 
+from labelops.operators import batches as batches_module
 from labelops.operators import models, training
 from labelops.operators.curves import label_curve_metrics
+from labelops.operators.translation import TranslationStore
 from labelops.sources.ledger import RunLedger
 
 
@@ -99,3 +101,48 @@ def test_grid_goes_on_where_it_stopped(spark, noisy, tmp_path):
     again, trained = models.resume_grid(RunLedger(spark, ledger.path), sets, noisy, whole, written_by="three")
     assert trained == [] and sorted(map(str, again.collect())) == sorted(map(str, rows)) and len(calls) == 5
     assert RunLedger(spark, f"file:{tmp_path}/none").table([("a", "all")]) is None
+
+
+def test_token_batches():
+    lengths = np.array([5, 1, 9, 0, 3, 3, 30])
+    batches = list(batches_module.token_batches(lengths, 10))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(7))
+    assert all(len(b) == 1 or lengths[b].max() * len(b) <= 10 for b in batches)
+    assert list(batches_module.token_batches(np.array([], dtype=np.int64), 10)) == []
+
+
+def test_padded_scores_are_the_same(noisy):
+    classifier = training.train_jointly(noisy.filter("split = 'Train'"), 3, max_epochs=3, n_features=64).classifier
+    both = classifier.scores(batches_module.padded_scores(noisy, classifier, 40).withColumnRenamed("scores", "batched"))
+    for row in both.collect():
+        assert row["batched"] == pytest.approx(row["scores"])
+    assert batches_module.padding_share(both) <= batches_module.padding_share(batches_module.padded_scores(noisy, classifier, 40, by_length=False))
+
+
+def test_texts_are_translated_once(spark, tmp_path):
+    rows = [(i, f"text {i % 7}" if i % 5 else None) for i in range(60)] + [(60, "")]
+    df = spark.createDataFrame(rows, "id INT, text STRING").repartition(4)
+    path = f"file:{tmp_path}/store"
+
+    def once():
+        seen = set()
+
+        def run(texts):
+            assert not texts.duplicated().any() and not seen & set(texts)
+            seen.update(texts)
+            return [t.upper() for t in texts]
+
+        return run
+
+    def never():
+        raise ValueError("nothing is left to translate")
+
+    expected = sorted(((i, t and t.upper()) for i, t in rows), key=repr)
+    got = TranslationStore(spark, path, once).translate(df)
+    assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=repr) == expected
+    assert spark.read.parquet(path).count() == 8
+    again = TranslationStore(spark, path, never).translate(df)
+    assert sorted((tuple(r) for r in again.collect()), key=repr) == expected
+    more = df.unionByName(spark.createDataFrame([(61, "new")], df.schema))
+    assert (61, "NEW") in [tuple(r) for r in TranslationStore(spark, path, once).translate(more).collect()]
+    assert spark.read.parquet(path).count() == 9

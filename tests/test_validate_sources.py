@@ -125,3 +125,29 @@ def test_published_tables(spark, published):
     assert len(cuts) == 12 and reshape.union_all(cuts).count() == 240
     lists = [p for p in published(".txt") if set(open(p, encoding="utf-8").read().splitlines()) <= {*NODES, ""}]
     assert sorted(io.read_label_list(spark, p).count() for p in lists) == [28, 30]
+
+
+def test_json_arrays(spark, tmp_path):
+    rows = [(str(i), f'te"xt\n{i}', ["Smears"] * (i % 3), ["en", "fr", None][i % 3]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id STRING, text STRING, labels ARRAY<STRING>, lang STRING")
+    path = str(tmp_path / "whole")
+    io.write_json_array(df.drop("lang").repartition(3), path)
+    for file in (tmp_path / "whole").glob("*.txt"):
+        assert isinstance(json.loads(file.read_text(encoding="utf-8")), list)
+    back = io.read_annotated(spark, path).select("id", "text", "labels").collect()
+    assert sorted(map(tuple, back)) == sorted(r[:3] for r in rows)
+    io.write_json_array(df, str(tmp_path / "folders"), by=["lang"])
+    read = io.read_language_folders(spark, str(tmp_path / "folders")).select("id", "text", "labels", "lang").collect()
+    assert sorted(map(tuple, read), key=repr) == sorted(rows, key=repr)
+    io.write_json_array(df.limit(0).drop("lang"), str(tmp_path / "none"))
+    assert io.read_annotated(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_threshold_and_metric_folders(spark, tmp_path):
+    rows = [(m, v, 0.02 * (i + 41)) for m in ("a", "b/c") for i, v in enumerate(LABELS)]
+    io.write_threshold_folders(spark.createDataFrame(rows, "model STRING, label STRING, threshold DOUBLE"), str(tmp_path / "t"))
+    assert {tuple(r) for r in io.read_threshold_folders(spark, str(tmp_path / "t")).collect()} == set(rows)
+    metrics = [(1, "Smears", 0.5, None, "m", "x", "Train"), (2, 'a "label", b', 0.25, 1.0, "n", "x", "Train")]
+    schema = "index INT, label STRING, roc_auc DOUBLE, ap DOUBLE, model STRING, train_set STRING, split STRING"
+    io.write_metrics(spark.createDataFrame(metrics, schema), str(tmp_path / "m"))
+    assert {tuple(r) for r in io.read_metrics(spark, str(tmp_path / "m")).collect()} == {r[1:] for r in metrics}
