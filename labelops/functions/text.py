@@ -7,11 +7,14 @@ is not cleaned again, and only the first step collapses blanks.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelops.functions.contractions import EXPANSIONS, PATTERN
+
 # Patterns of the cleaning steps. They mean the same to Java,
 # Python and RE2 regular expressions.
 LATIN_BLANKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
@@ -25,21 +28,9 @@ HASHTAG = "#[A-Za-z]+[A-Za-z0-9_-]+"
 SYMBOLS = r"[\x{24C2}-\x{10FFFF}]+"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
 
-# Contraction rules as (pattern, stem group kept, expansion,
-# group kept after it). Whole words come first, then the regular endings.
-CONTRACTIONS = (
-    ("(^|[^A-Za-z])can['’]t", "1", "cannot", None),
-    ("(^|[^A-Za-z])won['’]t", "1", "will not", None),
-    ("(^|[^A-Za-z])shan['’]t", "1", "shall not", None),
-    ("(^|[^A-Za-z])ain['’]t", "1", "are not", None),
-    ("(^|[^A-Za-z])let['’]s", "1", "let us", None),
-    ("(^|[^A-Za-z])y['’]all", "1", "you all", None),
-    (
-        "((?:^|[^A-Za-z])(?:it|he|she|that|what|who|there|here|where|how|when|why))['’]s([^A-Za-z]|$)",
-        "1",
-        " is",
-        "2",
-    ),
+# Regular endings of words that are not in the dictionary, as
+# (pattern, stem group kept, expansion, group kept after it).
+ENDINGS = (
     ("([A-Za-z])n['’]t([^A-Za-z]|$)", "1", " not", "2"),
     ("([A-Za-z])['’]re([^A-Za-z]|$)", "1", " are", "2"),
     ("([A-Za-z])['’]ve([^A-Za-z]|$)", "1", " have", "2"),
@@ -102,21 +93,39 @@ def remove_punctuation(text: Column | str) -> Column:
 
 
 def expand_contractions(text: Column | str) -> Column:
-    """English contractions spelled out; texts without an apostrophe skip it.
+    """English contractions spelled out, those that lost their apostrophe included.
 
-    The text is bound to a lambda variable: the expression it comes from may
-    be a long chain, and would otherwise run again in every branch.
+    One pass finds the longest forms of the dictionary, then regular endings
+    are spelled out where an apostrophe is left. Texts are bound to lambda
+    variables: the expression they come from may be a long chain, and would
+    otherwise run again in every branch.
     """
+    # Every lambda uses its own variable only: where an inner one uses that of an outer one,
+    # Catalyst fails to extract Python functions of the text.
+    found = F.transform(
+        F.array(_column(text)), lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)).alias("forms"))
+    )
+    return F.transform(F.transform(found, _expand_forms), _expand_endings)[0]
+
+
+def _expand_forms(found: Column) -> Column:
+    entries = F.from_json(F.lit(json.dumps(EXPANSIONS)), "map<string, struct<keep:int, rest:string>>")
+
+    def expanded(form: Column) -> Column:
+        entry = F.element_at(entries, F.lower(F.replace(form, F.lit("’"), F.lit("'"))))
+        return F.concat(form.substr(F.lit(1), entry["keep"]), entry["rest"])
+
+    gaps = F.split(found["text"], PATTERN, -1)
+    parts = F.zip_with(gaps, F.transform(found["forms"], expanded), lambda gap, words: F.concat(gap, F.coalesce(words, F.lit(""))))
+    return F.when(F.size(found["forms"]) > 0, F.array_join(parts, "")).otherwise(found["text"])
 
-    def expand(original: Column) -> Column:
-        expanded = original
-        for pattern, before, words, after in CONTRACTIONS:
-            kept = f"${before}{words}" + (f"${after}" if after else "")
-            expanded = F.regexp_replace(expanded, "(?i)" + pattern, kept)
-        has_apostrophe = F.contains(original, F.lit("'")) | F.contains(original, F.lit("’"))
-        return F.when(has_apostrophe, expanded).otherwise(original)
 
-    return F.transform(F.array(_column(text)), expand)[0]
+def _expand_endings(original: Column) -> Column:
+    expanded = original
+    for pattern, before, words, after in ENDINGS:
+        expanded = F.regexp_replace(expanded, "(?i)" + pattern, f"${before}{words}${after}")
+    has_apostrophe = F.contains(original, F.lit("'")) | F.contains(original, F.lit("’"))
+    return F.when(has_apostrophe, expanded).otherwise(original)
 
 
 def clean_text(text: Column | str, keep_punctuation: bool = False) -> Column:

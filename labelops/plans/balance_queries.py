@@ -103,11 +103,11 @@ taken AS (
 draws AS (
   SELECT pos, i + 1 AS draw, CASE WHEN support >= make THEN i + 1 ELSE {sql_key("'draw-' || pos", 'i')} % support + 1 END AS rank
   FROM (SELECT s.pos, s.make, o.support, unnest(range(s.make)) AS i FROM steps s JOIN ordered o ON o.pos = s.pos WHERE s.make > 0)),
-made AS (
+augmented AS (
   SELECT 'aug-' || w.pos || '-' || w.draw AS id, 'dummy' AS text, 'dummy' AS link, {glossary_sql(glossary_sql('c.processed_text'), BACKWARDS)} AS processed_text,
          h.label AS labels
   FROM draws w JOIN held h ON h.pos = w.pos AND h.rank = w.rank JOIN clean c ON c.id = h.id),
-balanced AS (SELECT * FROM taken UNION ALL SELECT * FROM made)""",
+balanced AS (SELECT * FROM taken UNION ALL SELECT * FROM augmented)""",
 )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelops.functions import contractions as C
 from labelops.functions import text as T
 from labelops.operators import reshape
 from labelops.plans.inputs import Inputs, sql_text
@@ -52,9 +53,13 @@ def sql_punctuation(e: str) -> str:
 
 
 def sql_contractions(e: str) -> str:
-    for pattern, before, words, after in T.CONTRACTIONS:
-        put = f"\\{before}{words}" + (f"\\{after}" if after else "")
-        e = _drop(e, "(?i)" + pattern, put)
+    """The dictionary word by word, then the regular endings."""
+    entries = ", ".join(f"{sql_text(form)}: {{'keep': {x['keep']}, 'rest': {sql_text(x['rest'])}}}" for form, x in C.EXPANSIONS.items())
+    words = f"regexp_extract_all({e}, {sql_text(C.WORD + '|[^' + chr(92) + 'p{L}]+')})"
+    entry = f"MAP {{{entries}}}[lower(replace(w, '’', {sql_text(chr(39))}))]"
+    e = f"array_to_string(list_transform({words}, lambda w: coalesce(substr(w, 1, ({entry}).keep) || ({entry}).rest, w)), '')"
+    for pattern, before, words, after in T.ENDINGS:
+        e = _drop(e, "(?i)" + pattern, f"\\{before}{words}\\{after}")
     return e
 
 

@@ -4,9 +4,11 @@ import re
 import string
 
 import pytest
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from labelops.functions import contractions as C
 from labelops.functions import text as T
 
 HARD = [
@@ -89,6 +91,9 @@ def test_sample_sentence(spark):
         ("can't can't", "cannot cannot"),
         ("o'really", "o'really"),
         ("nothing here", "nothing here"),
+        ("Dont, youre; I'd've wouldntve DIDN'T", "Do not, you are; I would have would not have DID not"),
+        ("Peter'll x'don't don't'll also've dont_ donté", "Peter will x'do not do not will also have do not_ donté"),
+        ("its well were gonna o’clock", "its well were going to of the clock"),
         ("", ""),
     ],
 )
@@ -114,3 +119,12 @@ def test_chain_runs_once_before_a_filter(spark):
     assert [r["id"] for r in kept.collect()] == ["2"]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count(T.MENTION) == 2 * plan.count(T.RETWEET) == 2
+
+
+def test_the_trie_finds_each_form_whole():
+    pattern = regex.compile(C.PATTERN)
+    assert len(C.FORMS) >= 100
+    for form in C.ENTRIES:
+        for text in (form, form.upper(), form.replace("'", "’")):
+            assert pattern.findall(f"é {text}. {text}x") == [text]
+        assert not pattern.search(f"x{form}") and not pattern.search(f"a'{form}") and not pattern.search(f"{form}'s")
