@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelops.llm.running import running
+
 
 def _either_case(text: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
@@ -36,12 +38,14 @@ WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character in a window, by class: hexadecimal digits only, or any token characters.
 LEAST_BITS = {"hex": 3.0, "base64": 3.7}
+# A part of a candidate that looks like words: one letter, one case, or capitalised words in a row.
+_WORDS = "(?:[A-Za-z]|[A-Z]{2,24}|[A-Z]?[a-z]{1,24}(?:[A-Z][a-z]{1,24}){0,7})"
 #: Candidates that are no secrets: UUIDs, numbers, words joined by marks with a short number, rulers.
+#: Other letters, mixed in case or longer than words are, are judged by their entropy.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9+/_=-]+$",
-    "^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*[0-9]{0,4}$",
-    "^[A-Za-z+/_=-]+$",
+    f"^[+/_=-]*{_WORDS}(?:[+/_=-]+{_WORDS})*[+/_=-]*[0-9]{{0,4}}$",
 )
 
 
@@ -52,10 +56,8 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 def _ends(gaps: Column, matches: Column) -> Column:
     """End of each match, from the texts before and between matches."""
     sizes = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
-    nothing = F.array().cast("array<int>")
-    return F.aggregate(
-        sizes, nothing, lambda ends, size: F.concat(ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + size))
-    )
+    add = lambda so_far, size: F.struct((so_far + size).alias("state"), (so_far + size).alias("out"))
+    return running(sizes, F.lit(0), add, "int")
 
 
 def _with_spans(rows: DataFrame, name: str, pattern: str, least: int, group: int = 0, guard: Column | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Line dedup, tokens, classifier, urls, pages and secrets on small tables."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -211,3 +213,19 @@ def test_secrets(table):
 
 def test_paths_are_parameters():
     assert BYTE_BPE == public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_letters_only_secrets_are_judged_by_entropy(spark):
+    pick = random.Random(7)
+    rows = [(i, "key " + "".join(pick.choice(string.ascii_letters) for _ in range(32)) + " end") for i in range(40)]
+    names = "some_long_snake_case_name_here aVeryLongCamelCaseIdentifierName LOUD_CONSTANT_NAME_1234 well-known-and-long-words ------------------------"
+    docs = spark.createDataFrame([*rows, (99, names)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs).collect()}
+    assert found == {**{i: "entropy:4:36" for i, _ in rows}, 99: ""}
+
+
+def test_many_secrets_in_one_text(spark):
+    """Positions after very many matches, over several chunks of running ends."""
+    text = "token=abcdef1 " * 3000
+    (row,) = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.n_assign == 3000 and row.spans.split(",")[-1] == f"assign:{14 * 2999}:{14 * 2999 + 13}"
