@@ -30,8 +30,9 @@ from labelops.session import stored
 
 LEAST = 10
 TOP = 2000
-#: Suffixes that one prefix, and on average one group, may have.
-BUDGET = 1 << 16
+#: Suffixes that one prefix, and on average one group, may have: this many, or this share of all if that is less.
+BUDGET = 1 << 20
+SHARES = 1 << 10
 #: Bits of a filter (2 MB).
 FILTER_BITS = 1 << 24
 #: Bytes of text a task counts together; a longer text is counted by itself.
@@ -269,6 +270,7 @@ def phrase_counts(
     key = F.concat_ws(" ", F.col("lang").cast("string"), F.col("phrase").cast("string")).cast("binary")
     frequent = words.where(F.col("f") >= least)
     total = frequent.agg(F.sum("f")).first()[0] or 0
+    budget = max(1, min(budget, int(total) // SHARES))
     kept = _filter_of(frequent.select(key.alias("prefix")), filter_bits)
     heavy = _filter_of(words.where(F.col("f") > budget).select(key.alias("prefix")), filter_bits)
     heavy_pairs = Filter(bytes(filter_bits // 8))
@@ -278,7 +280,7 @@ def phrase_counts(
         heavy_pairs = _filter_of(pairs.select(key.alias("prefix")), filter_bits)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Several groups a partition even out their sizes.
-    groups = max(16 * partitions, 2 * int(total // budget))
+    groups = max(16 * partitions, 2 * int(total) // budget)
     suffixes = texts.mapInArrow(_suffixes(kept, heavy, heavy_pairs, groups), _SUFFIXES)
     trees = suffixes.repartition(partitions, "grp").sortWithinPartitions("grp")
     nodes = trees.mapInArrow(_trees(least), _NODES)
