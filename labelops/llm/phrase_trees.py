@@ -36,7 +36,7 @@ SHARES = 1 << 10
 #: Bits of a filter (2 MB).
 FILTER_BITS = 1 << 24
 #: Bytes of text a task counts together; a longer text is counted by itself.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: A longer phrase with this percentage of a phrase's count explains it.
 CONTAINED = 50
 UNKNOWN = "und"
