@@ -37,6 +37,8 @@ SHARES = 1 << 10
 FILTER_BITS = 1 << 24
 #: Bytes of text a task counts together; a longer text is counted by itself.
 BLOCK = 1 << 22
+#: Rows handed from Python to the executor at a time.
+PASSED = 1 << 15
 #: A longer phrase with this percentage of a phrase's count explains it.
 CONTAINED = 50
 UNKNOWN = "und"
@@ -129,11 +131,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         yield _Block(langs, texts)
 
 
+def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that the executor never holds a block's rows at once."""
+    for start in range(0, batch.num_rows, PASSED):
+        yield batch.slice(start, PASSED)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
         counts = np.bincount(block.ids, minlength=len(block.words))
         langs = block.lang_column(np.arange(len(counts)))
-        yield pa.RecordBatch.from_arrays([langs, block.words, pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"])
+        yield from _passed_on(pa.RecordBatch.from_arrays([langs, block.words, pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"]))
 
 
 def _heavy_pairs(heavy: Filter):
@@ -162,7 +170,7 @@ def _suffixes(frequent: Filter, heavy: Filter, heavy_pairs: Filter, groups: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            yield counted(block)
+            yield from _passed_on(counted(block))
 
     def counted(block: _Block) -> pa.RecordBatch:
         keys = block.keys()
