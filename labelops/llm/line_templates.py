@@ -3,7 +3,8 @@
 A fixed-depth tree sorts lines: the first level is the number of tokens, the
 next LEADING levels are the leading tokens. Tokens that hold a digit are
 variable fields and stand as ``*`` from the start. A line whose masked form is
-held by MIN_DOCS documents recurs. A line with fewer than MIN_LITERAL of its
+held by MIN_DOCS documents recurs. Rows of one doc_id with different texts are
+documents of their own; equal rows of one doc_id are one document. A line with fewer than MIN_LITERAL of its
 tokens fixed, such as a row of figures, is not masked: it recurs only if equal
 lines (but for blanks) do, and is in no template. Other lines that differ in words as well recur as a
 template: in a leaf, a token is part of a template only if at least TEMPLATE_DOCS
@@ -44,16 +45,16 @@ def _count(text: Column, part: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, place, form, exact) of all lines with tokens: the masked line, or the line itself where too little of it is fixed."""
-    rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    rows = rows.select("doc", "place", spaced(F.col("line")).alias("line")).where("line <> ''")
-    rows = rows.select("doc", "place", "line", masked(F.col("line")).alias("masked"))
+    """(doc, row, place, form, exact) of all lines with tokens: the masked line, or the line itself where too little of it is fixed."""
+    rows = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = rows.select("doc", "row", "place", spaced(F.col("line")).alias("line")).where("line <> ''")
+    rows = rows.select("doc", "row", "place", "line", masked(F.col("line")).alias("masked"))
     # Doubled blanks keep neighbouring tokens from sharing one.
     apart = F.concat(F.lit(" "), F.replace("masked", F.lit(" "), F.lit("  ")), F.lit(" "))
     size = _count(F.col("masked"), " ") + 1
     exact = F.when(F.col("masked") == F.col("line"), F.lit(False)).otherwise(size - _count(apart, " * ") < MIN_LITERAL * size)
-    rows = rows.select("doc", "place", "line", "masked", exact.alias("exact"))
-    return rows.select("doc", "place", F.when(F.col("exact"), F.col("line")).otherwise(F.col("masked")).alias("form"), "exact")
+    rows = rows.select("doc", "row", "place", "line", "masked", exact.alias("exact"))
+    return rows.select("doc", "row", "place", F.when(F.col("exact"), F.col("line")).otherwise(F.col("masked")).alias("form"), "exact")
 
 
 def _leaf() -> Column:
@@ -63,12 +64,12 @@ def _leaf() -> Column:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc, place) of every line to drop, for ``docs`` (doc, text)."""
-    lines = _lines(docs).select("doc", "place", _leaf().alias("leaf"), F.xxhash64("form").alias("line"))
+    """(doc, row, place) of every line to drop, for ``docs`` (doc, row, text); ``row`` tells the texts of a doc apart."""
+    lines = _lines(docs).select("doc", "row", "place", _leaf().alias("leaf"), F.xxhash64("form").alias("line"))
     # A document holds a line once here; hot lines are combined before they are dealt.
-    held = stored(lines.groupBy("leaf", "line", "doc").agg(F.collect_list("place").alias("places")), "lines")
+    held = stored(lines.groupBy("leaf", "line", "doc", "row").agg(F.collect_list("place").alias("places")), "lines")
     forms = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
-    leaves = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
+    leaves = held.select("leaf", "doc", "row").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
     forms = stored(forms.join(leaves.where(F.col("leaf_docs") >= MIN_DOCS), "leaf"), "forms")
 
     # Leaves where some line is in few documents by itself but may belong to a template.
@@ -78,7 +79,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     templates = stored(_templates(docs, wanted), "templates")
 
     plain = forms.where(F.col("docs") >= MIN_DOCS).select("leaf", "line", F.col("line").alias("template"))
-    sized = held.join(templates, ["leaf", "line"]).select("leaf", "template", "doc").distinct()
+    sized = held.join(templates, ["leaf", "line"]).select("leaf", "template", "doc", "row").distinct()
     general = sized.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= TEMPLATE_DOCS)
     general = templates.join(general.select("leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "line", "template")
     # A line in a general template goes with it, else with its own masked form.
@@ -89,9 +90,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .agg(F.max_by("template", "general").alias("template")),
         "chosen",
     )
-    members = held.join(chosen, ["leaf", "line"]).select("leaf", "template", "doc", F.explode("places").alias("place"))
-    keep = members.groupBy("leaf", "template").agg(F.min(F.struct("doc", "place")).alias("kept"))
-    return members.join(keep, ["leaf", "template"]).where("struct(doc, place) <> kept").select("doc", "place")
+    members = held.join(chosen, ["leaf", "line"]).select("leaf", "template", "doc", "row", F.explode("places").alias("place"))
+    keep = members.groupBy("leaf", "template").agg(F.min(F.struct("doc", "row", "place")).alias("kept"))
+    return members.join(keep, ["leaf", "template"]).where("struct(doc, row, place) <> kept").select("doc", "row", "place")
 
 
 def _templates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,8 +118,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     All columns and rows stay; only ``text`` changes. Lines end at ``\\n``; blank
     lines and lines of white space are no lines of a template and stay. A text
     all of whose lines go becomes empty. A null text stays null. Rows of a
-    null doc_id stay as they are. Rows that repeat a doc_id are taken as one
-    document for counting, and lose the same places.
+    null doc_id stay as they are. Rows of one doc_id with different texts are
+    documents of their own, in an order of their hashes; equal rows of one doc_id
+    are one document and keep and lose the same lines.
     """
     return _without(docs).select(docs.columns)
 
@@ -130,10 +132,13 @@ def without_emptied(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame) -> DataFrame:
     id_ = F.col("doc_id").cast("long")
-    named = docs.select(id_.alias("doc"), "text").where("doc is not null and text is not null")
-    gone = recurring_lines(named).groupBy("doc").agg(F.collect_set("place").alias("places"))
-    kept = F.filter(F.split("text", "\n"), lambda line, place: ~F.array_contains("__places", place.cast("int")))
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("places").alias("__places")).hint("merge")
-    joined = docs.withColumn("__doc", id_).join(gone, "__doc", "left")
+    row = F.xxhash64("text")
+    named = docs.select(id_.alias("doc"), row.alias("row"), "text").where("doc is not null and text is not null")
+    gone = recurring_lines(named).groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
+    # The places that stay come from one hash set, and the lines are bound once, so a long text costs its length.
+    stay = "array_except(sequence(0, size(lines) - 1), __places)"
+    kept = F.expr(f"transform(array(split(text, '\\n')), lines -> array_join(transform({stay}, place -> lines[place]), '\\n'))[0]")
+    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("places").alias("__places")).hint("merge")
+    joined = docs.withColumn("__doc", id_).withColumn("__row", row).join(gone, ["__doc", "__row"], "left")
     return joined.withColumn("text", text)
