@@ -5,10 +5,11 @@ A token table is a folder of parts in ascending order of doc_id. Part k has
 * ``*.ids``: all token ids as unsigned little-endian integers, of 16 bits if all
   ids of the vocabulary fit, else of 32 bits,
 * ``*.offsets``: n_docs + 1 signed 64-bit little-endian token offsets in it,
-* ``*.docs``: the doc_id of each document as signed 64-bit integers,
+* ``*.docs``: the doc_id of each document as signed 64-bit integers, 0 for null,
 
 and a Parquet manifest lists per part its file name, its numbers of documents
-and tokens, and the bytes of an id. The offset of a part in the whole corpus is a prefix sum
+and tokens, the bytes of an id, and how many of its documents have no doc_id;
+these come first. The offset of a part in the whole corpus is a prefix sum
 over the manifest, so no part waits for another.
 
 Names hold a random part: a task that runs twice, after the loss of an executor
@@ -35,8 +36,17 @@ from pyspark.sql import functions as F
 from labelops.llm.bpe import Bpe
 from labelops.session import scratch_path
 
-MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int"
-MANIFEST = pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
+MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int, n_null long"
+MANIFEST = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("name", pa.string()),
+        ("n_docs", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("width", pa.int32()),
+        ("n_null", pa.int64()),
+    ]
+)
 _ROWS = 2048
 
 
@@ -116,7 +126,7 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
     """Encode ``docs`` (doc_id, text) into a token table at ``target``; returns its manifest.
 
     Documents are in ascending order of doc_id, rows of one doc_id in order of
-    text, nulls first; ``end_id`` follows each. A null text counts as empty. An
+    text, nulls first, and a null doc_id is read back as null; ``end_id`` follows each. A null text counts as empty. An
     empty table gives parts without documents. Other columns are ignored.
     """
 
@@ -128,10 +138,11 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         encode = encoder(tokenizer_path).encode
-        counts, ids_of = [np.zeros(1, np.int64)], []
+        counts, ids_of, without_id = [np.zeros(1, np.int64)], [], 0
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{name}.ids") as out:
             for batch in batches:
+                without_id += batch.column(0).null_count
                 ids_of.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 for start in range(0, batch.num_rows, _ROWS):
                     encoded = encode(batch.column(1).slice(start, _ROWS).to_pylist())
@@ -144,7 +155,7 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
             out.write(offsets.tobytes())
         with system.open_output_stream(f"{root}/{name}.docs") as out:
             out.write(b"".join(x.tobytes() for x in ids_of))
-        row = {"part": [part], "name": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": [width]}
+        row = {"part": [part], "name": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": [width], "n_null": [without_id]}
         yield pa.RecordBatch.from_pydict(row, MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -163,11 +174,12 @@ def _mapped(system: fs.FileSystem, path: str) -> memoryview:
         return memoryview(file.read())
 
 
-def documents_of(system: fs.FileSystem, root: str, name: str, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def documents_of(system: fs.FileSystem, root: str, name: str, width: int, n_null: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, offset in the part, its ids) of each document of a part."""
     ids = np.frombuffer(_mapped(system, f"{root}/{name}.ids"), f"<u{width}")
     offsets = np.frombuffer(_mapped(system, f"{root}/{name}.offsets"), "<i8").tolist()
     docs = np.frombuffer(_mapped(system, f"{root}/{name}.docs"), "<i8").tolist()
+    docs[:n_null] = [None] * n_null
     for doc, begin, end in zip(docs, offsets, offsets[1:]):
         yield doc, begin, ids[begin:end]
 
@@ -177,16 +189,16 @@ def read_digests(spark, target: str) -> DataFrame:
     manifest = spark.read.parquet(f"{target}/manifest").where("n_docs > 0")
     n = max(1, manifest.count())
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base"), "width").repartition(n)
+    parts = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base"), "width", "n_null").repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = folder(target)
         for batch in batches:
-            for name, base, width in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = documents_of(system, root, name, width)
+            for name, base, width, n_null in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found = documents_of(system, root, name, width, n_null)
                 rows = [(doc, base + at, len(ids), zlib.crc32(ids.astype("<u4"))) for doc, at, ids in found]
-                columns = np.array(rows, np.int64).reshape(-1, 4).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
