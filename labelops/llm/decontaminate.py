@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelops.llm.rows import id_of, row_id, row_key
 from labelops.session import stored
 
 WORDS = 5
@@ -71,16 +72,8 @@ def _blocks(fingerprint: Column) -> Column:
     return F.explode(F.array(*blocks))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, distance, similarity) of benchmark passages in ``docs``.
-
-    One row per document and item, of the window most like it (the first of
-    equals), if their weighted similarity is at least 0.75. Null and empty texts
-    and items match nothing; so do rows without an id. Items of fewer than five
-    words are one shingle and are found only as a whole document of the same
-    words. Repeated ids count as one document or item each for the result; every
-    text of them is searched and looked for by itself.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc, row, item_id, size, begin, distance, similarity) of all windows like an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     # Each text of an item_id is an item of its own until the end.
     items = with_words(items).select("item_id", F.xxhash64("item_id", "words").alias("item"), shingles(F.col("words")).alias("shingles"))
@@ -91,8 +84,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     weights = stored(places.groupBy("h").agg(_whole(rarity).alias("weight")), "weights")
     unseen = _whole(F.log(F.lit(1.0 + n_items)) + 1)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
-    rows = rows.withColumn("row", F.xxhash64("doc", "text"))
+    rows = docs.select(row_id().alias("doc"), row_key().alias("row"), "text").where("text is not null")
     tokens = with_words(rows)
     scanned = tokens.select("doc", "row", F.posexplode(shingles(F.col("words"))).alias("place", "h"))
     hits = stored(scanned.join(weights.select("h"), "h", "left_semi"), "hits")
@@ -130,11 +122,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = shared.join(of_window, window).join(of_item, "item")
     joined = joined.withColumn("either", F.col("window_weight") + F.col("item_weight") - F.col("both"))
     leaks = joined.where(F.col("both") >= F.col("either") * SIMILARITY)
-    leaks = leaks.withColumn("similarity", F.col("both") / F.col("either"))
+    return leaks.select(*window, "item_id", "distance", (F.col("both") / F.col("either")).alias("similarity"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, distance, similarity) of benchmark passages in ``docs``.
+
+    One row per document and item, of the window most like it (the first of
+    equals), if their weighted similarity is at least 0.75. Null and empty texts
+    and items match nothing. Items of fewer than five words are one shingle and
+    are found only as a whole document of the same words. Repeated ids count as
+    one document or item each for the result, and so do all rows without an id;
+    every text of them is searched and looked for by itself. Items without an
+    id are not looked for.
+    """
+    leaks = _leaks(docs, benchmark)
     best = F.max(F.struct("similarity", (-F.col("begin")).alias("b"), (-F.col("distance")).alias("d"), "size")).alias("best")
-    found = leaks.groupBy("doc", "item_id").agg(best)
+    found = leaks.groupBy(id_of().alias("doc_id"), "item_id").agg(best)
     return found.select(
-        F.col("doc").alias("doc_id"),
+        "doc_id",
         "item_id",
         (-F.col("best.b")).cast("long").alias("start_word"),
         (F.col("best.size") + WORDS - 1).cast("long").alias("n_words"),
@@ -149,6 +155,11 @@ def _whole(weight: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark passage, with all their columns."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("__leaked"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark passage, with all their columns.
+
+    Rows are judged one by one, so of a repeated doc_id, or of the rows without
+    one, those with a passage go and the others stay.
+    """
+    leaks = _leaks(docs, benchmark).select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__doc", row_id()).withColumn("__row", row_key())
+    return keyed.join(leaks, ["__doc", "__row"], "left_anti").select(docs.columns)
