@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.llm.components import components
+from labelops.llm.rows import id_of, row_id, row_key
 from labelops.llm.shingles import mix, shingle_lists
 from labelops.session import stored
 
@@ -85,7 +86,7 @@ def bucket_counts(values: np.ndarray) -> bytes:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set size and keys (doc not null); per partition its frequent shingles (doc null)."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
     seen: set[int] = set()
     pending: list[np.ndarray] = []
     size = documents = 0
@@ -114,13 +115,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, counts = fold(held, counts)
                     pending, size = [], 0
         columns = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns.T), pa.array(counted, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in columns.T), pa.array(counted, pa.binary())], schema=schema)
     if pending:
         held, counts = fold(held, counts)
     often = counts >= max(FREQUENT_LEAST, FREQUENT * documents)
     values = held[often].view(np.int64)
     nulls = pa.nulls(len(values), pa.int64())
-    columns = [nulls, pa.array(counts[often]), pa.array(values), nulls, pa.nulls(len(values), pa.binary())]
+    columns = [nulls, nulls, pa.array(counts[often]), pa.array(values), nulls, pa.nulls(len(values), pa.binary())]
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -209,11 +210,16 @@ def _index(frequent: np.ndarray, rank: np.ndarray, common: bool):
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the rows (entity, text) whose text has the entity's set: a doc_id may stand for several texts."""
+    """Keep the rows (entity, text) whose text has the entity's set, and of equal ones in a row the first."""
+    last = None
     for batch in batches:
         sets = shingle_lists(batch.column(1).to_pylist())
         keys = [_set_keys(np.unique(s))[0] if len(s) else 0 for s in sets]
-        yield batch.filter(pa.array([k == e for k, e in zip(keys, batch.column(0).to_pylist())], pa.bool_()))
+        own = []
+        for key, entity in zip(keys, batch.column(0).to_pylist()):
+            own.append(key == entity != last)
+            last = entity if own[-1] else last
+        yield batch.filter(pa.array(own, pa.bool_()))
 
 
 def forest(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
@@ -325,7 +331,7 @@ def _links(units: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
     units = stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
     wanted = units.select("entity").distinct()
     # The wanted documents grow with the corpus, so they are never broadcast.
-    texts = owner.join(wanted, "entity", "left_semi").select("entity", "doc").hint("merge").join(docs, "doc").select("entity", "text")
+    texts = owner.join(wanted, "entity", "left_semi").select("entity", "doc", "row").hint("merge").join(docs, ["doc", "row"]).select("entity", "text")
     rows = units.join(texts.mapInArrow(_own_texts, "entity long, text string"), "entity").select("unit", "side", "entity", "text")
     dealt = rows.repartition("unit").sortWithinPartitions("unit", "side", "entity")
     return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
@@ -337,12 +343,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     A null or empty text, and one without words, has no shingles and is linked
     with nothing, so its component is its own id. Equal texts are linked. A
     repeated doc_id gives one row for each of its rows; its component is that
-    of its own text. Other columns are ignored. Empty tables give no rows.
+    of its own text. Rows without a doc_id link like all others and have the
+    component of the ids they reach, null if none. Other columns are ignored.
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    scanned = stored(docs.mapInArrow(_scan, "doc long, n long, k1 long, k2 long, counts binary"), "sets")
-    sets = scanned.where("k2 is not null").select("doc", "n", F.col("k1").alias("entity"), "counts")
+    # Texts are found again by keys that neither null nor repeated ids blur.
+    docs = docs.select(row_id().alias("doc"), "text", row_key().alias("row"))
+    scanned = stored(docs.mapInArrow(_scan, "doc long, row long, n long, k1 long, k2 long, counts binary"), "sets")
+    sets = scanned.where("k2 is not null").select("doc", "row", "n", F.col("k1").alias("entity"), "counts")
 
     # At most 1 / FREQUENT * (mean size of a set) shingles pass this filter.
     total = sets.count()
@@ -356,8 +365,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     stars = _grouped(_listed(docs.select("text"), frequent, rank))
 
-    owner = sets.where("n > 0").groupBy("entity").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    owner = stored(owner, "owners")
+    owner = sets.where("n > 0").groupBy("entity").agg(
+        F.min(F.struct("doc", "row")).alias("key"), F.min(id_of()).alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts")
+    )
+    owner = stored(owner.select("entity", "key.*", "id", "n", "counts"), "owners")
     spot = F.when(F.col("blocks").isNull(), 0).otherwise(_spot("blocks"))
     members = stars.select("centre", spot.alias("spot"), "entity")
     heads = members.select("centre", "spot").distinct().select("centre", "spot", F.col("centre").alias("entity"))
@@ -371,13 +382,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         found = components(links)
 
     roots = found.select(F.col("node").alias("entity"), "root")
-    owner = owner.join(roots, "entity", "left").select("entity", "doc", F.coalesce("root", "entity").alias("root"))
-    least = owner.groupBy("root").agg(F.min("doc").alias("component"))
+    owner = owner.join(roots, "entity", "left").select("entity", "id", F.coalesce("root", "entity").alias("root"))
+    least = owner.groupBy("root").agg(F.min("id").alias("component"))
     components_of = owner.join(least, "root").select("entity", "component")
     return sets.join(components_of, "entity", "left").select(
-        F.col("doc").alias("doc_id"),
+        id_of().alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(id_of()).alias("component_id"),
     )
 
 

@@ -71,6 +71,18 @@ def test_join_keeps_repeated_and_null_rows(table):
     assert jaccard_join.jaccard_join(table([])).count() == 0
 
 
+def test_links_through_null_and_repeated_ids(table):
+    words = [f"w{k}" for k in range(60)]
+    middle = " ".join(words[:50])
+    ends = [" ".join(words[:43]), " ".join(words[7:50])]
+    # The two ends are linked only through the middle text, which has no id of its own.
+    rows = [(4, ends[0]), (9, ends[1]), (None, middle), (None, middle), (None, "quite other words in this text"), (9, "alone in here as well now"), (0, "zero")]
+    assert groups([(4, ends[0]), (9, ends[1])])[9] != groups([(4, ends[0]), (9, ends[1]), (10, middle)])[9]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id is None, r.component_id or 0) for r in jaccard_join.jaccard_join(table(rows)).collect())
+    expected = [(False, 0, 1, False, 0), (False, 4, 39, False, 4), (False, 9, 2, False, 9), (False, 9, 39, False, 4)]
+    assert got == expected + [(True, 0, 2, True, 0), (True, 0, 46, False, 4), (True, 0, 46, False, 4)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -114,10 +126,13 @@ def test_leaks(table, spark):
     docs += [(100, None), (101, ""), (None, items[0][1])]
     benchmark = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(docs), benchmark).collect()}
+    expected.add((None, 0))
     assert got == expected
     clean = decontaminate.decontaminated(table(docs), benchmark)
     assert clean.columns == table(docs).columns
     assert clean.count() == len(docs) - len({d for d, _ in expected})
+    without = table([(None, items[1][1]), (None, "clean"), (0, items[1][1] + " more"), (None, None)])
+    assert sorted(map(str, (r.text for r in decontaminate.decontaminated(without, benchmark).collect()))) == ["None", "clean"]
     assert decontaminate.find_leaks(table([]), benchmark).count() == 0
     assert decontaminate.find_leaks(table(docs), benchmark.limit(0)).count() == 0
 
@@ -136,4 +151,5 @@ def test_leaks_of_repeated_rows_and_items(table, spark):
     docs = table([(1, f"x y {first} z")] * 3 + [(2, second), (2, "other words"), (3, "other words")])
     got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.find_leaks(docs, benchmark).collect()}
     assert got == {(1, 1): (2, 1.0), (2, 1): (0, 1.0)}
-    assert [r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()] == [3]
+    # Only the row with the passage goes.
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 3]

@@ -40,6 +40,13 @@ def test_template_with_words_that_vary(table):
     assert [k for k, t in got.items() if "Posted" in t] == [0]
 
 
+def test_rows_of_one_id_keep_their_own_lines(table):
+    shared, other = "a line that both of these documents hold", "what only the second row holds"
+    rows = [(1, f"x one\n{shared}"), (2, f"first\n{shared}"), (2, f"second\n{other}"), (2, f"first\n{shared}"), (3, "")]
+    got = sorted((r.doc_id, r.text) for r in line_templates.drop_recurring_lines(table(rows)).collect())
+    assert got == [(1, f"x one\n{shared}"), (2, "first"), (2, "first"), (2, f"second\n{other}"), (3, "")]
+
+
 def test_a_line_of_two_documents_recurs(table):
     shared = "this long passage stands in exactly two documents and nowhere else in the corpus"
     rows = [(2, f"{shared}\nown words of the second"), (1, f"quite other text here\n{shared}"), (3, "nothing of the kind")]
@@ -88,6 +95,10 @@ def test_token_files(spark, table):
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == expected
+    nulls = token_files.new_folder(spark)
+    token_files.write_tokens(table([(0, "zero"), (None, "b"), (-5, "minus"), (None, "a a")]).repartition(3), nulls, BYTE_BPE)
+    rows = sorted(token_files.read_digests(spark, nulls).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -5, 0]
     empty = token_files.new_folder(spark)
     token_files.write_tokens(table([]), empty, BYTE_BPE)
     assert token_files.read_digests(spark, empty).count() == 0
