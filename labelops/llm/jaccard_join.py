@@ -16,8 +16,7 @@ similarity of at least 0.75. All links between different sets are found:
    Linked sets even share k shingles within their prefixes extended by k. Each
    set extends by 1 + size // SLACK, so one that has fewer shingles there which
    are frequent or held by another set than its least partner's extension has
-   no links, and its rare shingles are left out of what follows. The count is
-   taken over all sets first and then over those of near sizes that are left.
+   no links, and its rare shingles are left out of what follows.
 3. Entities sharing an index key are candidates if their sizes are near enough:
    sizes fall into bands of ratio 4/3, and a key is looked at for every two
    neighbouring bands by itself. They are not paired up: each
@@ -324,15 +323,24 @@ def _by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[t
         yield rows
 
 
-def _links(units: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links of units (unit, side, entity)."""
+def _possible_units(units: DataFrame, owner: DataFrame) -> DataFrame:
+    """The entities of units (unit, side, entity) that may link there by their bucket counts."""
     counted = units.join(owner.select("entity", "n", "counts"), "entity").select("unit", "side", "entity", "n", "counts")
     dealt = counted.repartition("unit").sortWithinPartitions("unit", "side", "entity")
-    units = stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
-    wanted = units.select("entity").distinct()
+    return stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
+
+
+def _texts(entities: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
+    """(entity, text) of the given entities. The documents are shuffled for it, so it is done once for all uses."""
     # The wanted documents grow with the corpus, so they are never broadcast.
-    texts = owner.join(wanted, "entity", "left_semi").select("entity", "doc", "row").hint("merge").join(docs, ["doc", "row"]).select("entity", "text")
-    rows = units.join(texts.mapInArrow(_own_texts, "entity long, text string"), "entity").select("unit", "side", "entity", "text")
+    wanted = owner.join(entities.distinct(), "entity", "left_semi").select("entity", "doc", "row").hint("merge")
+    texts = wanted.join(docs, ["doc", "row"]).select("entity", "text")
+    return stored(texts.mapInArrow(_own_texts, "entity long, text string"), "texts")
+
+
+def _links(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of units."""
+    rows = units.join(texts, "entity").select("unit", "side", "entity", "text")
     dealt = rows.repartition("unit").sortWithinPartitions("unit", "side", "entity")
     return stored(dealt.mapInArrow(_verify, "a long, b long"), "links")
 
@@ -373,12 +381,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     members = stars.select("centre", spot.alias("spot"), "entity")
     heads = members.select("centre", "spot").distinct().select("centre", "spot", F.col("centre").alias("entity"))
     units = members.union(heads).select(F.xxhash64("centre", "spot").alias("unit"), F.lit(0).alias("side"), "entity")
-    links = _links(units, owner, docs)
+    units = _possible_units(units, owner)
+    large = stars.where("blocks is not null")
+    later = large.select("entity").union(large.select("centre"))
+    texts = _texts(units.select("entity").union(later), owner, docs)
+    links = _links(units, texts)
     found = components(links)
 
-    large = stars.where("blocks is not null")
     if not large.isEmpty():
-        links = links.union(_links(_apart(large, found), owner, docs))
+        links = links.union(_links(_possible_units(_apart(large, found), owner), texts))
         found = components(links)
 
     roots = found.select(F.col("node").alias("entity"), "root")
@@ -414,13 +425,11 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     bands = F.explode(F.array(own_band, own_band + 1)).alias("band")
     rare = texts.mapInArrow(_index(frequent, rank, False), schema)
     # Copies of a set in several partitions give its keys repeatedly; they share nothing with each other.
-    rare = stored(_held_twice(rare, "sig").distinct(), "shared")
-    # A linked pair is in one band together, so what it shares is counted again within each band.
-    near = _with_enough(rare, "entity").select("sig", "entity", "info", bands)
-    near = stored(_held_twice(near, "sig", "band"), "near")
-    rare = _with_enough(near, "entity", "band").where("info & 1 = 1").select("sig", "entity", "band")
+    near = _with_enough(_held_twice(rare, "sig").distinct()).where("info & 1 = 1")
+    # Dealt by the key alone, before each row is doubled for its two bands.
+    near = near.select("sig", "entity", "info").repartition("sig").select("sig", "entity", bands)
     centre = F.min("entity").over(Window.partitionBy("sig", "band")).alias("centre")
-    listed = rare.select(centre, "entity").where("centre <> entity")
+    listed = near.select(centre, "entity").where("centre <> entity")
     if len(frequent):
         common = stored(texts.mapInArrow(_index(frequent, rank, True), schema), "common").select("sig", "entity", bands)
         least = common.groupBy("sig", "band").agg(F.min("entity").alias("centre"), F.max("entity").alias("last"))
@@ -429,17 +438,17 @@ def _listed(texts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     return stored(listed.distinct(), "candidates")
 
 
-def _held_twice(keys: DataFrame, *by: str) -> DataFrame:
+def _held_twice(keys: DataFrame, by: str) -> DataFrame:
     """The rows whose key is held by more than one entity."""
-    of_key = Window.partitionBy(*by)
+    of_key = Window.partitionBy(by)
     told = keys.select("*", F.min("entity").over(of_key).alias("least"), F.max("entity").over(of_key).alias("last"))
     return told.where("least <> last").drop("least", "last")
 
 
-def _with_enough(keys: DataFrame, *by: str) -> DataFrame:
-    """The rows of entities that share as many keys as a link takes."""
-    counts = keys.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.shiftright("info", 9)).alias("need"))
-    return keys.join(counts.where("n >= need").select(*by), list(by), "left_semi")
+def _with_enough(keys: DataFrame) -> DataFrame:
+    """The rows of entities that share as many keys as a link takes; an entity has no more rows than shingles."""
+    counted = keys.withColumn("n", F.count("*").over(Window.partitionBy("entity")))
+    return counted.where(F.col("n") >= F.shiftright("info", 9)).drop("n")
 
 
 def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
