@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
+from labelops.operators import hierarchy
 from labelops.functions.scores import cross_entropy, f1_from_counts, f_beta, ratio
 from labelops.operators.reshape import score_elements
 from labelops.operators.stats import top_label
@@ -81,11 +82,16 @@ def hierarchical_counts(aligned: DataFrame, groups: Sequence[str] = ()) -> DataF
     )
 
 
-def hierarchical_scores(aligned: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Hierarchical precision, recall and F1 over all rows of a group."""
+def hierarchical_scores(aligned: DataFrame, groups: Sequence[str] = (), masks: DataFrame | None = None) -> DataFrame:
+    """Hierarchical precision, recall and F1 over all rows of a group.
+
+    ``masks`` from ``hierarchy.node_words`` puts another hierarchy in place of
+    the built-in one.
+    """
+    counts = hierarchical_counts(aligned, groups) if masks is None else hierarchy.hierarchical_counts(aligned, masks, groups)
     precision = ratio(F.col("tp"), F.col("n_pred"))
     recall = ratio(F.col("tp"), F.col("n_gold"))
-    return hierarchical_counts(aligned, groups).select(
+    return counts.select(
         *groups,
         "tp",
         "n_pred",

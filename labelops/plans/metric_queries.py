@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions.scores import sigmoid_array
-from labelops.operators import curves, ensemble, metrics, thresholds
+from labelops.operators import curves, ensemble, hierarchy, metrics, thresholds
 from labelops.plans.inputs import MODEL_NAMES, Inputs, joined
 from labelops.plans.registry import query
 from labelops.plans.shape_queries import UNION_CTE
-from labelops.vocab import BINARY_CLASSES, label_at
+from labelops.vocab import BINARY_CLASSES, hierarchy_edges, label_at
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -275,6 +275,19 @@ def hierarchical(t: Inputs) -> DataFrame:
     return _rounded_scores(scores.withColumn("ensemble", F.lit("union")))
 
 
+@query(
+    "m8_scores_from_edges",
+    _hierarchical_select("ensemble"),
+    UNION_LONG,
+    *_hierarchical_cte("ensemble", "union_long"),
+)
+def hierarchical_from_edges(t: Inputs) -> DataFrame:
+    """The main query with the hierarchy read as a table of edges."""
+    masks = hierarchy.node_words(hierarchy.ancestor_table(hierarchy_edges(t.spark)))
+    aligned = metrics.align(t.gold, ensemble.ensemble_by_union(t.predictions))
+    return _rounded_scores(metrics.hierarchical_scores(aligned, masks=masks).withColumn("ensemble", F.lit("union")))
+
+
 @query(
     "m9_hierarchical_report",
     _hierarchical_select("model, train_set, lang"),

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelops.functions import labels as L
-from labelops.operators import ensemble, metrics, reshape, stats, validate
+from labelops.operators import ensemble, hierarchy, metrics, reshape, stats, validate
 from labelops.operators.thresholds import apply_threshold
 from labelops.plans.inputs import MODEL_NAMES, Inputs, joined, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
-from labelops.vocab import LABELS, label_at
+from labelops.vocab import LABELS, hierarchy_edges, label_at
 
 WIDE = ", ".join(
     f'CAST(max(CASE WHEN label = {sql_text(v)} THEN y END) AS INTEGER) AS "{v}"' for v in LABELS
@@ -188,13 +188,20 @@ def label_thresholds(t: Inputs) -> DataFrame:
     return long.select("id", "model", label_at("pos").alias("label"), F.col("score").alias("yhat"))
 
 
-@query(
-    "j7_add_ancestors",
-    """SELECT g.id, coalesce(string_agg(n.node, '|' ORDER BY n.node), '') AS nodes
+ANCESTORS = """SELECT g.id, coalesce(string_agg(n.node, '|' ORDER BY n.node), '') AS nodes
        FROM gold g LEFT JOIN (
          SELECT DISTINCT l.id, c.node FROM gold_long l JOIN closure c ON l.label = c.label WHERE l.y = 1
-       ) n ON g.id = n.id GROUP BY g.id""",
-)
+       ) n ON g.id = n.id GROUP BY g.id"""
+
+
+@query("j7_ancestors_from_edges", ANCESTORS)
+def ancestors_from_edges(t: Inputs) -> DataFrame:
+    """The hierarchy as a table of edges, its closure by joins."""
+    table = hierarchy.ancestor_table(hierarchy_edges(t.spark))
+    return hierarchy.with_ancestors(t.gold, table).select("id", F.array_join("nodes", "|").alias("nodes"))
+
+
+@query("j7_add_ancestors", ANCESTORS)
 def ancestors(t: Inputs) -> DataFrame:
     return t.gold.select("id", F.array_join(L.with_ancestors("labels"), "|").alias("nodes"))
 

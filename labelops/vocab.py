@@ -172,3 +172,8 @@ def label_table(spark: SparkSession) -> DataFrame:
         .select(F.posexplode(label_array()).alias("pos", "label"))
         .withColumn("display_rank", display_rank("label"))
     )
+
+
+def hierarchy_edges(spark: SparkSession) -> DataFrame:
+    """The hierarchy as a table (parent, child); the root is null."""
+    return spark.createDataFrame([(p, c) for p, children in HIERARCHY.items() for c in children], "parent string, child string")
