@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from time import perf_counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from labelops.arrow import text_slices
 from labelops.functions.scores import sigmoid
 from labelops.operators.curves import weighted_curve_metrics
 from labelops.operators.metrics import best_run
@@ -32,18 +34,29 @@ Scorer = Callable[[pd.Series], Sequence[Sequence[float]]]
 Translator = Callable[[pd.Series], Sequence[str]]
 
 
+#: Arrow type of the scores of a row.
+SCORES = pa.list_(pa.float64())
+
+
+def _score_rows(rows: Iterable[Sequence[float]]) -> pa.Array:
+    return pa.array([list(map(float, row)) for row in rows], SCORES)
+
+
 def scores_from(make_scorer: Callable[[], Scorer], text: str = "processed_text") -> Column:
     """Scores of a text column by a user-supplied model, in Arrow batches.
 
     The model is made once per task that has rows; only the text column goes to Python.
+    A batch is scored in slices of bounded bytes, so that what a model makes of
+    its texts does not grow with their length.
     """
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = None
         for texts in batches:
             scorer = scorer or make_scorer()
-            yield pd.Series([list(map(float, row)) for row in scorer(texts)])
+            parts = [_score_rows(scorer(texts.slice(*at).to_pandas())) for at in text_slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], SCORES)
 
     return run(text)
 
@@ -67,14 +80,15 @@ def score_with_models(
 
 
 def translate(df: DataFrame, make_translator: Callable[[], Translator], text: str = "text") -> DataFrame:
-    """Replace a text column by its translation; other columns stay in the JVM."""
+    """Replace a text column by its translation, in slices of bounded bytes; other columns stay in the JVM."""
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         translator = None
         for texts in batches:
             translator = translator or make_translator()
-            yield pd.Series(list(translator(texts)), dtype=object)
+            parts = [pa.array(list(translator(texts.slice(*at).to_pandas())), pa.string()) for at in text_slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return df.withColumn(text, run(text))
 
