@@ -21,6 +21,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from labelops.arrow import text_slices
 from labelops.operators.reshape import union_all
 from labelops.vocab import LABELS
 
@@ -214,8 +215,8 @@ def write_json_lines(df: DataFrame, path: str, by: Sequence[str] = (), skip_exis
 def write_json_array(df: DataFrame, path: str, by: Sequence[str] = (), skip_existing: bool = False) -> None:
     """JSON files that hold one array each, optionally in one folder per value of the given columns.
 
-    A task writes its rows as they come, a record a line, so no array is ever
-    held whole. With folders the rows are dealt to tasks by folder first, and a
+    A task writes its rows as they come, a record a line and some at a time, so
+    no array is ever held whole. With folders the rows are dealt to tasks by folder first, and a
     folder is a single array: fit for many folders of moderate size.
     """
     record = df.select(F.to_json(F.struct(*[c for c in df.columns if c not in by])).alias("value"), *by)
@@ -225,7 +226,7 @@ def write_json_array(df: DataFrame, path: str, by: Sequence[str] = (), skip_exis
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, opened = None, False
-        for batch in batches:
+        for batch in (b.slice(*at) for b in batches for at in text_slices(b.column(0))):
             out: list[tuple] = []
             for value, *key in zip(*[c.to_pylist() for c in batch.columns]):
                 if opened and key != folder:

@@ -1,11 +1,13 @@
 """Steps that run once per row, and memory that does not grow with the texts of a batch."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelops.operators import models
 from labelops.plans import model_queries
 from labelops.plans.inputs import Inputs
+from labelops.sources import io
 
 
 @pytest.fixture
@@ -48,3 +50,24 @@ def test_models_get_slices_of_bounded_bytes(spark):
 
     assert _longest(spark, lambda df: models.score_texts(df, scorer, "text").select(F.col("scores")[0])) <= 1 << 20
     assert _longest(spark, lambda df: models.translate(df, translator).select(F.col("text").cast("double"))) <= 1 << 20
+
+
+def test_an_array_is_written_in_small_batches(spark, tmp_path, monkeypatch):
+    taken = []
+
+    class Rows:
+        columns = ["text"]
+
+        def select(self, *columns):
+            return self
+
+        schema = spark.createDataFrame([], "value STRING").schema
+
+        def mapInArrow(self, lines, schema):
+            batch = pa.record_batch({"value": ["x" * 300_000] * 20})
+            taken.extend(b.nbytes for b in lines(iter([batch])))
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(io.F, "to_json", lambda column: column)
+    io.write_json_array(Rows(), f"{tmp_path}/array")
+    assert max(taken) < 1_100_000 and sum(taken) > 6_000_000
