@@ -28,6 +28,9 @@ HASHTAG = "#[A-Za-z]+[A-Za-z0-9_-]+"
 SYMBOLS = r"[\x{24C2}-\x{10FFFF}]+"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
 
+#: Sets off the forms that were found.
+MARK = "\x00"
+
 # Regular endings of words that are not in the dictionary, as
 # (pattern, stem group kept, expansion, group kept after it).
 ENDINGS = (
@@ -95,29 +98,38 @@ def remove_punctuation(text: Column | str) -> Column:
 def expand_contractions(text: Column | str) -> Column:
     """English contractions spelled out, those that lost their apostrophe included.
 
-    One pass finds the longest forms of the dictionary, then regular endings
+    One pass marks the longest forms of the dictionary, then regular endings
     are spelled out where an apostrophe is left. Texts are bound to lambda
     variables: the expression they come from may be a long chain, and would
     otherwise run again in every branch.
     """
     # Every lambda uses its own variable only: where an inner one uses that of an outer one,
     # Catalyst fails to extract Python functions of the text.
-    found = F.transform(
-        F.array(_column(text)), lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)).alias("forms"))
-    )
+    found = F.transform(F.array(_column(text)), _forms_and_gaps)
     return F.transform(F.transform(found, _expand_forms), _expand_endings)[0]
 
 
-def _expand_forms(found: Column) -> Column:
+def _forms_and_gaps(text: Column) -> Column:
+    """The parts of a text, every second one a form of the dictionary.
+
+    The pattern is the dearest step of cleaning, so it runs once: forms are set
+    off by a mark, at which the text is cut. A text that holds the mark itself
+    is cut by the pattern, in two passes.
+    """
+    forms, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
+    pairs = F.zip_with(gaps, forms, lambda gap, form: F.when(form.isNull(), F.array(gap)).otherwise(F.array(gap, form)))
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(F.contains(text, F.lit(MARK)), F.flatten(pairs)).otherwise(marked)
+
+
+def _expand_forms(parts: Column) -> Column:
     entries = F.from_json(F.lit(json.dumps(EXPANSIONS)), "map<string, struct<keep:int, rest:string>>")
 
     def expanded(form: Column) -> Column:
         entry = F.element_at(entries, F.lower(F.replace(form, F.lit("’"), F.lit("'"))))
         return F.concat(form.substr(F.lit(1), entry["keep"]), entry["rest"])
 
-    gaps = F.split(found["text"], PATTERN, -1)
-    parts = F.zip_with(gaps, F.transform(found["forms"], expanded), lambda gap, words: F.concat(gap, F.coalesce(words, F.lit(""))))
-    return F.when(F.size(found["forms"]) > 0, F.array_join(parts, "")).otherwise(found["text"])
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, expanded(part)).otherwise(part)), "")
 
 
 def _expand_endings(original: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelops.operators.models import Translator, translate
+from labelops.session import stored
 from labelops.sources.io import path_exists
 
 SCHEMA = "hash STRING, translation STRING"
@@ -29,12 +30,16 @@ class TranslationStore:
         """(hash, translation), one row per text."""
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], SCHEMA)
-        stored = self.spark.read.schema(SCHEMA).parquet(self.path)
-        return stored.groupBy("hash").agg(F.min("translation").alias("translation"))
+        kept = self.spark.read.schema(SCHEMA).parquet(self.path)
+        return kept.groupBy("hash").agg(F.min("translation").alias("translation"))
 
     def add(self, df: DataFrame, text: str) -> None:
         """Translate the texts of a column that the store lacks."""
-        texts = df.where(F.col(text).isNotNull()).groupBy(_hash(text)).agg(F.first(text).alias("translation"))
+        self._add(df.select(_hash(text), F.col(text).alias("translation")))
+
+    def _add(self, rows: DataFrame) -> None:
+        """The same for rows of (hash, text)."""
+        texts = rows.where(F.col("translation").isNotNull()).groupBy("hash").agg(F.first("translation").alias("translation"))
         new = texts.join(self.table().select("hash"), "hash", "left_anti") if path_exists(self.spark, self.path) else texts
         translate(new, self.make_translator, "translation").write.mode("append").parquet(self.path)
 
@@ -44,8 +49,10 @@ class TranslationStore:
         The join is by hash; a text that very many rows share makes a skewed
         partition, which adaptive execution splits.
         """
-        self.add(df, text)
-        found = df.withColumn("__hash", _hash(text)).join(self.table().withColumnRenamed("hash", "__hash"), "__hash", "left")
+        # Read twice, for what the store lacks and for the rows themselves: stored, so that the plan before runs once.
+        rows = stored(df.withColumn("__hash", _hash(text)), "to-translate")
+        self._add(rows.select(F.col("__hash").alias("hash"), F.col(text).alias("translation")))
+        found = rows.join(self.table().withColumnRenamed("hash", "__hash"), "__hash", "left")
         return found.withColumn(text, F.col("translation")).select(*df.columns)
 
 

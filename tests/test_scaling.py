@@ -4,7 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from labelops.functions import text as T
 from labelops.operators import models
+from labelops.operators.translation import TranslationStore, back_translate
 from labelops.plans import model_queries
 from labelops.plans.inputs import Inputs
 from labelops.sources import io
@@ -33,6 +35,29 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize(
+    "query, cleaned",
+    [
+        (model_queries.translate, 120),
+        (model_queries.back_translate, 120),
+    ],
+)
+def test_every_text_is_cleaned_once(spark, tables, counted, monkeypatch, query, cleaned):
+    passed, seen = counted
+    monkeypatch.setattr(model_queries, "clean_text", passed)
+    query(Inputs(spark, tables)).collect()
+    assert seen() == cleaned
+
+
+def test_back_translation_reads_its_rows_once(spark, tmp_path, counted):
+    passed, seen = counted
+    rows = spark.createDataFrame([(i, None if i == 3 else f"the house {i % 4}") for i in range(20)], "id INT, text STRING")
+    there = TranslationStore(spark, f"{tmp_path}/there", lambda: models.GlossaryTranslator({"the": "la"}))
+    back = TranslationStore(spark, f"{tmp_path}/back", lambda: models.GlossaryTranslator({"la": "the"}))
+    read = back_translate(rows.withColumn("text", passed("text")), there, back, "text").collect()
+    assert sorted(read) == sorted(rows.collect()) and seen() == 20
+
+
 def _longest(spark, run):
     """The most bytes that a model gets at a time for 40 texts of 200,000 bytes, a null and an empty one."""
     rows = [(i, "x" * 200_000) for i in range(40)] + [(40, ""), (41, None)]
@@ -71,3 +96,9 @@ def test_an_array_is_written_in_small_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(io.F, "to_json", lambda column: column)
     io.write_json_array(Rows(), f"{tmp_path}/array")
     assert max(taken) < 1_100_000 and sum(taken) > 6_000_000
+
+
+def test_contractions_around_the_mark_of_forms(spark):
+    texts = ["it's \x00 don't", "\x00", "\x00it's\x00", "don't", "no form", "", "cant can't've", None]
+    read = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").select("i", T.expand_contractions("t").alias("t"))
+    assert [r["t"] for r in sorted(read.collect())] == ["it is \x00 do not", "\x00", "\x00it is\x00", "do not", "no form", "", "cannot cannot have", None]
