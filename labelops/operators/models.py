@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from time import perf_counter
 
@@ -275,9 +275,23 @@ def joint_trainer(n_labels: int = len(LABELS), **settings) -> Trainer:
     return lambda train: train_jointly(train, n_labels, **settings).classifier
 
 
+@dataclass
+class EstimatorTrainer:
+    """One binary model per label; runs on the same training set can share its prepared rows."""
+
+    estimator: Estimator
+    n_labels: int
+
+    def __call__(self, train: DataFrame) -> TextClassifier:
+        return train_classifier(train, self.estimator, self.n_labels)
+
+    def fit(self, features: PipelineModel, prepared: DataFrame) -> TextClassifier:
+        return fit_labels(features, prepared, self.estimator, self.n_labels)
+
+
 def estimator_trainer(estimator: Estimator, n_labels: int = len(LABELS)) -> Trainer:
     """One binary model per label, for a grid of runs."""
-    return lambda train: train_classifier(train, estimator, n_labels)
+    return EstimatorTrainer(estimator, n_labels)
 
 
 def resume_grid(
@@ -291,16 +305,26 @@ def resume_grid(
     """Run what the ledger lacks of the grid, and read all of it back.
 
     Every run is committed as soon as its metrics are known, so an interrupted
-    grid loses one run at most. Returns the metrics of all runs of the grid,
+    grid loses one run at most. Features of a training set are fitted once for
+    all the estimators that need them. Returns the metrics of all runs of the grid,
     those finished earlier included, and the runs trained by this call.
     """
     grid = [(model, train_set) for train_set in train_sets for model in trainers]
     done = set(ledger.finished(grid))
     pending = [run for run in grid if run not in done]
-    for model, train_set in pending:
-        scored = trainers[model](train_sets[train_set]).scores(evaluation.select(split, "text", "y"))
-        rows = materialise(scored.select(F.col(split).alias("split"), "y", "scores"))
-        ledger.record(model, train_set, run_metrics(rows, ["split"]), written_by)
+    for train_set, train in train_sets.items():
+        with ExitStack() as kept:
+            prepared = None
+            for model in [m for m, s in pending if s == train_set]:
+                trainer = trainers[model]
+                if isinstance(trainer, EstimatorTrainer):
+                    prepared = prepared or kept.enter_context(prepared_features(train))
+                    classifier = trainer.fit(*prepared)
+                else:
+                    classifier = trainer(train)
+                scored = classifier.scores(evaluation.select(split, "text", "y"))
+                rows = materialise(scored.select(F.col(split).alias("split"), "y", "scores"))
+                ledger.record(model, train_set, run_metrics(rows, ["split"]), written_by)
     return ledger.table(grid), pending
 
 

@@ -17,7 +17,7 @@ from labelops.operators.translation import back_translate as back_translate_stor
 from labelops.plans.inputs import Inputs, sql_text
 from labelops.plans.registry import query
 from labelops.plans.text_queries import clean_ctes
-from labelops.session import scratch_path
+from labelops.session import scratch_path, stored
 from labelops.sources.ledger import RunLedger
 
 # One keyword per label position, and a second list for a second model.
@@ -128,8 +128,14 @@ def back_translate(t: Inputs) -> DataFrame:
 def _labelled(t: Inputs) -> DataFrame:
     """Documents with human labels: (id, data_type, text, y) for low quality and toxic."""
     y = F.array(1 - F.col("quality"), F.col("toxic"))
-    documents = t.gold.select("id", "data_type", clean_text("text").alias("text"))
-    return documents.join(t.annotations, "id").select("id", "data_type", "text", y.alias("y"))
+    # Joined first, so that only documents with labels are cleaned.
+    documents = t.gold.select("id", "data_type", "text").join(t.annotations, "id")
+    return documents.select("id", "data_type", clean_text("text").alias("text"), y.alias("y"))
+
+
+def _labelled_once(t: Inputs) -> DataFrame:
+    """The same, cleaned and joined once for all the runs that read it."""
+    return stored(_labelled(t), "labelled")
 
 
 def _split(df: DataFrame, name: str) -> DataFrame:
@@ -189,7 +195,7 @@ def train(t: Inputs) -> DataFrame:
 )
 def training_check(t: Inputs) -> DataFrame:
     """Every labelled document is scored once per label; learned labels separate the training rows."""
-    labelled = _labelled(t)
+    labelled = _labelled_once(t)
     classifier = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS).classifier
     cells = classifier.scores(labelled).select("data_type", F.posexplode(F.arrays_zip("y", "scores")).alias("pos", "cell"))
     score, y = F.col("cell.scores"), F.col("cell.y")

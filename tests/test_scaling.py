@@ -9,6 +9,7 @@ from labelops.operators import models
 from labelops.operators.translation import TranslationStore, back_translate
 from labelops.plans import model_queries
 from labelops.plans.inputs import Inputs
+from labelops.session import scratch_path
 from labelops.sources import io
 
 
@@ -38,6 +39,7 @@ def tables(spark, tmp_path):
 @pytest.mark.parametrize(
     "query, cleaned",
     [
+        (model_queries.resume_check, 40),
         (model_queries.translate, 120),
         (model_queries.back_translate, 120),
     ],
@@ -49,6 +51,17 @@ def test_every_text_is_cleaned_once(spark, tables, counted, monkeypatch, query,
     assert seen() == cleaned
 
 
+def test_features_of_a_training_set_are_fitted_once(spark, tables, monkeypatch):
+    fitted, plain = [], models.prepared_features
+    monkeypatch.setattr(models, "prepared_features", lambda train, **k: fitted.append(train) or plain(train, **k))
+    estimators = {k: e for k, e in models.candidate_estimators(max_iter=1).items() if k != "logistic_regression"}
+    trainers = {name: models.estimator_trainer(e, 2) for name, e in estimators.items()}
+    labelled = model_queries._labelled(Inputs(spark, tables))
+    ledger = models.RunLedger(spark, scratch_path(spark, "runs"))
+    table, trained = models.resume_grid(ledger, {"all": labelled}, labelled, trainers, "data_type")
+    assert len(fitted) == 1 and len(trained) == 2 and table.count() == 6
+
+
 def test_back_translation_reads_its_rows_once(spark, tmp_path, counted):
     passed, seen = counted
     rows = spark.createDataFrame([(i, None if i == 3 else f"the house {i % 4}") for i in range(20)], "id INT, text STRING")
