@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +52,18 @@ def score_matrix(model: JointClassifier, tokens: np.ndarray) -> np.ndarray:
 def padded_scores(df: DataFrame, model: JointClassifier, budget: int, text: str = "text", by_length: bool = True) -> DataFrame:
     """Add ``scores``, ``n_tokens`` and ``width``, the length its batch was padded to. A null text has no tokens."""
 
-    @F.pandas_udf("scores array<double>, n_tokens bigint, width bigint")
-    def run(series_of: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in series_of:
-            words = pa.array(series, pa.list_(pa.int32()))
+    @F.arrow_udf("scores array<double>, n_tokens bigint, width bigint")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
             offsets, values = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
             lengths = np.diff(offsets)
-            scores, widths = np.zeros((len(series), model.weights.shape[1])), np.zeros(len(series), np.int64)
+            scores, widths = np.zeros((len(words), model.weights.shape[1])), np.zeros(len(words), np.int64)
             for rows in token_batches(lengths, budget, by_length):
                 matrix = padded(offsets, values, rows)
                 scores[rows], widths[rows] = score_matrix(model, matrix), matrix.shape[1]
-            yield pd.DataFrame({"scores": list(scores), "n_tokens": lengths.astype(np.int64), "width": widths})
+            starts = np.arange(len(words) + 1, dtype=np.int32) * scores.shape[1]
+            columns = [pa.ListArray.from_arrays(pa.array(starts), pa.array(scores.ravel())), pa.array(lengths.astype(np.int64)), pa.array(widths)]
+            yield pa.StructArray.from_arrays(columns, names=["scores", "n_tokens", "width"])
 
     words = F.coalesce(hashed_words(text, model.n_features), F.array().cast("array<int>"))
     return df.withColumn("__scored", run(words)).select(*df.columns, "__scored.*")

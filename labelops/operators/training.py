@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from labelops.vocab import LABELS
 N_FEATURES = 1 << 14
 #: Rows whose words are held as one sparse matrix.
 SLICE = 512
+#: Words of such a matrix, but for a single longer row.
+SLICE_WORDS = 1 << 18
 #: Values of one block of a matrix that tasks add up.
 BLOCK = 1 << 14
 #: Steps the quasi-Newton direction is built from.
@@ -39,16 +40,25 @@ def hashed_words(text: Column | str, n_features: int = N_FEATURES) -> Column:
     return F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(n_features)).cast("int"))
 
 
+def _words(text: Column | str, n_features: int) -> Column:
+    """Feature numbers of the words of a text; a null text has none."""
+    return F.coalesce(hashed_words(text, n_features), F.array().cast("array<int>"))
+
+
 def _counts(words: pa.Array, n_features: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Sparse word counts of slices of rows: (first row, rows, row, feature, count)."""
     offsets = words.offsets.to_numpy()
-    flat = words.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    for first in range(0, len(words), SLICE):
-        last = min(first + SLICE, len(words))
+    flat = words.values.to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(words):
+        # Rows of long texts make shorter slices, so that a slice is bounded by its words too.
+        last = int(np.searchsorted(offsets[: first + SLICE + 1], offsets[first] + SLICE_WORDS, side="right")) - 1
+        last = min(max(last, first + 1), len(words))
         lengths = np.diff(offsets[first : last + 1])
         row = np.repeat(np.arange(last - first), lengths)
-        cells, count = np.unique(row * n_features + flat[offsets[first] : offsets[last]], return_counts=True)
+        cells, count = np.unique(row * n_features + flat[offsets[first] : offsets[last]].astype(np.int64), return_counts=True)
         yield first, last - first, cells // n_features, cells % n_features, count.astype(np.float64)
+        first = last
 
 
 def _blocks(values: np.ndarray) -> pa.RecordBatch:
@@ -107,16 +117,21 @@ class JointClassifier:
 
     def scores(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``scores``, one probability per label; only the feature numbers go to Python."""
+        return df.withColumn("scores", self.scores_of(_words(text, self.n_features)))
+
+    def scores_of(self, words: Column | str) -> Column:
+        """One probability per label for a column of feature numbers."""
         model = self
 
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for series in batches:
-                words = pa.array(series, pa.list_(pa.int32()))
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for words in batches:
                 found = [_sigmoid(model.margins(n, *cells)) for _, n, *cells in _counts(words, model.n_features)]
-                yield pd.Series(list(np.concatenate(found)) if found else [], dtype=object)
+                scores = np.concatenate(found) if found else np.zeros((0, model.weights.shape[1]))
+                starts = np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(starts), pa.array(scores.ravel()))
 
-        return df.withColumn("scores", run(F.coalesce(hashed_words(text, self.n_features), F.array().cast("array<int>"))))
+        return run(words)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -259,14 +274,15 @@ def train_jointly(
 ) -> Training:
     """Train on (text, y) by one job per epoch; epoch 0 is the start.
 
-    With validation rows every epoch is scored on them, training ends after
+    With validation rows every epoch is scored on them, whose words are found
+    once like those of the training rows; training ends after
     ``patience`` epochs without a higher AP, and the weights of the best epoch
     are the result. ``start`` continues from the weights of an earlier training,
     with its feature scales. A null text has no words. Without training rows
     the start is returned as it is.
     """
-    words = F.coalesce(hashed_words(text, n_features), F.array().cast("array<int>"))
-    rows = stored(train.select(words.alias("words"), "y"), "training-rows")
+    words = _words(text, n_features).alias("words")
+    rows = stored(train.select(words, "y"), "training-rows")
     scale, n = _feature_scale(rows, n_features)
     if start is not None:
         if start.weights.shape != (n_features + 1, n_labels):
@@ -274,10 +290,12 @@ def train_jointly(
         scale = start.scale
     model = JointClassifier(np.zeros((n_features + 1, n_labels)) if start is None else start.weights, scale)
 
+    held_out = None if validation is None else stored(validation.select(words, "y"), "validation-rows")
+
     def measured(classifier: JointClassifier) -> float | None:
-        if validation is None:
+        if held_out is None:
             return None
-        return weighted_curve_metrics(classifier.scores(validation.select(text, "y"), text), []).first()["ap"]
+        return weighted_curve_metrics(held_out.select("y", classifier.scores_of("words").alias("scores")), []).first()["ap"]
 
     loss, gradient = _evaluate(rows, model, n, reg)
     steps = _Steps(model.weights, loss, gradient)

@@ -166,8 +166,9 @@ def score_in_batches(t: Inputs) -> DataFrame:
 def batches_check(t: Inputs) -> DataFrame:
     """Batches change no score, and sorting by length leaves less padding than taking rows as they come."""
     classifier = _trained(t)
-    texts = t.noisy.select("id", clean_text("text").alias("text"))
-    scored = classifier.scores(padded_scores(texts, classifier, TOKEN_BUDGET).withColumnRenamed("scores", "batched"))
+    texts = stored(t.noisy.select("id", clean_text("text").alias("text")), "cleaned")
+    batched = padded_scores(texts, classifier, TOKEN_BUDGET).withColumnRenamed("scores", "batched")
+    scored = stored(classifier.scores(batched).select("n_tokens", "width", "batched", "scores"), "scored")
     differences = F.transform(F.arrays_zip("scores", "batched"), lambda x: F.abs(x["scores"] - x["batched"]))
     as_they_come = padding_share(padded_scores(texts, classifier, TOKEN_BUDGET, by_length=False))
     return scored.agg(
@@ -181,7 +182,7 @@ def batches_check(t: Inputs) -> DataFrame:
 @query("u5_train_classifier")
 def train(t: Inputs) -> DataFrame:
     """Scores of all labelled documents by one model of both labels."""
-    labelled = _labelled(t)
+    labelled = _labelled_once(t)
     classifier = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS).classifier
     return classifier.scores(labelled).select("id", "data_type", F.posexplode_outer("scores").alias("pos", "score"))
 
@@ -210,7 +211,7 @@ def training_check(t: Inputs) -> DataFrame:
 
 def _grid(t: Inputs, trainers: dict) -> tuple[RunLedger, dict, DataFrame, dict]:
     """All training rows, and a set where marked rows count three times."""
-    labelled = _labelled(t)
+    labelled = _labelled_once(t)
     original = _split(labelled, "Train")
     marked = original.filter(F.array_contains("y", 1))
     sets = {"original_train": original, "balanced_train": reshape.union_all([original, marked, marked])}
@@ -251,7 +252,7 @@ def resume_check(t: Inputs) -> DataFrame:
 
 
 def _with_validation(t: Inputs) -> tuple[Training, DataFrame]:
-    labelled = _labelled(t)
+    labelled = _labelled_once(t)
     run = train_jointly(_split(labelled, "Train"), 2, max_epochs=EPOCHS, validation=_split(labelled, "Validation"), patience=3)
     return run, labelled
 

@@ -1,11 +1,12 @@
 """Steps that run once per row, and memory that does not grow with the texts of a batch."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelops.functions import text as T
-from labelops.operators import models
+from labelops.operators import models, training
 from labelops.operators.translation import TranslationStore, back_translate
 from labelops.plans import model_queries
 from labelops.plans.inputs import Inputs
@@ -40,6 +41,10 @@ def tables(spark, tmp_path):
     "query, cleaned",
     [
         (model_queries.resume_check, 40),
+        (model_queries.training_check, 40),
+        (model_queries.history_check, 40),
+        (model_queries.score_in_batches, 120 + 40),
+        (model_queries.batches_check, 120 + 40),
         (model_queries.translate, 120),
         (model_queries.back_translate, 120),
     ],
@@ -62,6 +67,13 @@ def test_features_of_a_training_set_are_fitted_once(spark, tables, monkeypatch):
     assert len(fitted) == 1 and len(trained) == 2 and table.count() == 6
 
 
+def test_validation_rows_are_prepared_once(spark, counted):
+    passed, seen = counted
+    rows = spark.createDataFrame([(f"a{i % 3} b", [i % 2]) for i in range(30)], "text STRING, y ARRAY<INT>")
+    run = training.train_jointly(rows, 1, max_epochs=3, n_features=64, validation=rows.withColumn("text", passed("text")), patience=9)
+    assert len(run.history) == 4 and seen() == 30
+
+
 def test_back_translation_reads_its_rows_once(spark, tmp_path, counted):
     passed, seen = counted
     rows = spark.createDataFrame([(i, None if i == 3 else f"the house {i % 4}") for i in range(20)], "id INT, text STRING")
@@ -111,6 +123,14 @@ def test_an_array_is_written_in_small_batches(spark, tmp_path, monkeypatch):
     assert max(taken) < 1_100_000 and sum(taken) > 6_000_000
 
 
+def test_word_counts_are_held_in_bounded_slices():
+    words = pa.array([[i % 5, i % 5, 7] * 50_000 for i in range(6)] + [[], [1]], pa.list_(pa.int32()))
+    found = list(training._counts(words, 8))
+    assert [n for _, n, *_ in found] == [1, 1, 1, 1, 1, 3]
+    row = np.concatenate([first + r for first, _, r, _, _ in found])
+    assert row.tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 7] and sum(c.sum() for *_, c in found) == 900_001
+
+
 def test_contractions_around_the_mark_of_forms(spark):
     texts = ["it's \x00 don't", "\x00", "\x00it's\x00", "don't", "no form", "", "cant can't've", None]
     read = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").select("i", T.expand_contractions("t").alias("t"))
