@@ -154,7 +154,9 @@ def _trained(t: Inputs) -> JointClassifier:
 def score_in_batches(t: Inputs) -> DataFrame:
     """All documents scored by a trained model, in batches padded to a token budget."""
     texts = t.noisy.select("id", "lang", clean_text("text").alias("text"))
-    return padded_scores(texts, _trained(t), TOKEN_BUDGET).select("id", "lang", F.posexplode("scores").alias("pos", "score"))
+    scored = padded_scores(texts, _trained(t), TOKEN_BUDGET)
+    # Scores are never empty; without "outer" a filter on them is inferred, for which all texts are cleaned and scored again.
+    return scored.select("id", "lang", F.posexplode_outer("scores").alias("pos", "score"))
 
 
 @query(

@@ -135,3 +135,8 @@ def test_contractions_around_the_mark_of_forms(spark):
     texts = ["it's \x00 don't", "\x00", "\x00it's\x00", "don't", "no form", "", "cant can't've", None]
     read = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").select("i", T.expand_contractions("t").alias("t"))
     assert [r["t"] for r in sorted(read.collect())] == ["it is \x00 do not", "\x00", "\x00it is\x00", "do not", "no form", "", "cannot cannot have", None]
+
+
+def test_rows_are_scored_once(spark, tables):
+    plan = model_queries.score_in_batches(Inputs(spark, tables))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
