@@ -19,8 +19,11 @@ attempt that Spark committed.
 
 from __future__ import annotations
 
+import gc
+import itertools
 import json
 import mmap
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,12 +31,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelops.llm.bpe import Bpe
+from labelops.arrow import text_slices
+from labelops.llm.bpe import CACHE_ENTRIES, Bpe, atoms, byte_symbols
 from labelops.session import scratch_path
 
 MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int, n_null long"
@@ -47,7 +52,8 @@ MANIFEST = pa.schema(
         ("n_null", pa.int64()),
     ]
 )
-_ROWS = 2048
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 6 << 20
 
 
 def folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -57,11 +63,16 @@ def folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+#: Pieces that the pattern never cuts, of scripts whose letters no version of Unicode tells apart.
+_ONE_WORD = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
+
+
 class _Library(Bpe):
     """The tokenizers library on the pieces of texts, each distinct piece once.
 
     Only for byte-level vocabularies without a normaliser, whose words never
-    span the places where pieces are cut.
+    span the places where pieces are cut. Pieces that are a single word go to
+    the library's model as they are, all others through its whole encoder.
     """
 
     def __init__(self, path: str):
@@ -71,11 +82,97 @@ class _Library(Bpe):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
 
     #: Pieces that are encoded as one text, a special token between them.
     JOINED = 1000
 
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of each text of a column, as ``encode`` has them; a word is looked up once a column."""
+        if not len(texts):
+            return []
+        if len(self.known) > 2 * CACHE_ENTRIES:
+            self.known.clear()
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for mark in self.specials:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
+        begins = np.concatenate(([0], ends[:-1]))
+        parts = cut.flatten()
+        follows = np.ones(len(parts), bool)
+        follows[begins] = False
+        words = parts.filter(pa.array(follows)).dictionary_encode()
+        index = words.indices.to_numpy(zero_copy_only=False)
+        names = pc.binary_join_element_wise(" ", words.dictionary, "").to_numpy(zero_copy_only=False).tolist()
+        heads = parts.take(pa.array(begins)).to_numpy(zero_copy_only=False).tolist()
+        # Texts with white space around a single space can't be cut there, as in ``pieces``.
+        spaces = np.array([w == " " or w[1].isspace() or w[-1].isspace() for w in names], bool)
+        last = ends - np.arange(1, len(texts) + 1)
+        first = np.concatenate(([0], last[:-1]))
+        held = np.concatenate(([0], np.cumsum(spaces[index])))
+        whole |= held[last] > held[first]
+        whole |= (last > first) & np.array([not h or h[-1].isspace() for h in heads], bool)
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            known = self.known
+            self._know_pieces([w for w in names if w not in known and not w[-1].isspace()] + [h for h in heads if h not in known])
+            ids = [known.get(w) for w in names]
+            index = index.tolist()
+            out = [
+                None if w else np.frombuffer(known[h] + b"".join([ids[k] for k in index[b:e]]), "<u4")
+                for w, h, b, e in zip(whole.tolist(), heads, first.tolist(), last.tolist())
+            ]
+        finally:
+            if collecting:
+                gc.enable()
+        others = np.flatnonzero(whole)
+        for k, found in zip(others.tolist(), self.encode(texts.take(pa.array(others)).to_pylist())):
+            out[k] = found
+        return out
+
+    def _know_pieces(self, new: list[str]) -> None:
+        """Learn pieces by their atoms."""
+        known, single = self.known, _ONE_WORD.fullmatch
+        words, cut = [], {}
+        for piece in new:
+            if single(piece):
+                words.append(piece)
+            else:
+                cut[piece] = atoms(piece)
+        known.update(zip(words, self._modelled(words)))
+        unknown = list({a for own in cut.values() for a in own if a not in known})
+        known.update(zip(unknown, self._learn(unknown)))
+        for piece, own in cut.items():
+            if len(own) > 1:
+                known[piece] = b"".join([known[a] for a in own])
+
     def _learn(self, new: list[str]) -> list[bytes]:
+        words = [p for p in new if _ONE_WORD.fullmatch(p)]
+        ids = dict(zip(words, self._modelled(words)))
+        others = [p for p in new if p not in ids]
+        ids.update(zip(others, self._encoded(others)))
+        return [ids[p] for p in new]
+
+    def _modelled(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces of a single word."""
+        tokenize, symbols = self.model.tokenize, self._symbols
+        lists = [[t.id for t in tokenize(symbols(w))] for w in words]
+        data = np.fromiter(itertools.chain.from_iterable(lists), "<u4").tobytes()
+        ends = np.cumsum([4 * len(own) for own in lists], dtype=np.int64).tolist()
+        return [data[b:e] for b, e in zip([0, *ends], ends)]
+
+    def _symbols(self, word: str) -> str:
+        """The bytes of a word as the characters of the vocabulary."""
+        if word.isascii():
+            return self.symbols[32] + word[1:] if word[0] == " " else word
+        return word.encode().decode("latin-1").translate(self.symbols)
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces by the whole encoder."""
         if not self.specials:
             found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -105,6 +202,9 @@ class _Whole:
         found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        return self.encode(texts.to_pylist())
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
@@ -137,15 +237,15 @@ def write_tokens(docs: DataFrame, target: str, tokenizer_path: str, end_id: int
         system, root = folder(target)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path).encode_column
         counts, ids_of, without_id = [np.zeros(1, np.int64)], [], 0
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{name}.ids") as out:
             for batch in batches:
                 without_id += batch.column(0).null_count
                 ids_of.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                for start in range(0, batch.num_rows, _ROWS):
-                    encoded = encode(batch.column(1).slice(start, _ROWS).to_pylist())
+                for start, rows in text_slices(batch.column(1), SLICE_BYTES):
+                    encoded = encode(batch.column(1).slice(start, rows))
                     counts.append(np.array([len(e) + 1 for e in encoded], np.int64))
                     end = np.array([end_id], "<u4")
                     if encoded:

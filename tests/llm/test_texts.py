@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -84,6 +85,18 @@ def test_bpe_tables(table):
     assert bpe.encode_and_decode(table([]), BYTE_BPE).count() == 0
 
 
+def test_columns_equal_the_library(monkeypatch):
+    reference, mine = Tokenizer.from_file(BYTE_BPE), token_files.encoder(BYTE_BPE)
+    draw, signs = random.Random(4), [*"aB9\u00e9 'st.,\n\t  _\u4e2d\u0416\u00bd\u00aa", "<|endoftext|>", "'ll"]
+    texts = [*ODD, *("".join(draw.choices(signs, k=draw.randrange(30))) for _ in range(3000))]
+    expected = [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in mine.encode_column(pa.array(texts, pa.string()).slice(1))] == expected[1:]
+    # A word is looked up once a column, and single words need the library's model only.
+    monkeypatch.setattr(mine, "_encoded", lambda new: [] if not new else pytest.fail(f"whole encoder for {new}"))
+    assert [len(ids) for ids in mine.encode_column(pa.array(["brisk words, unseen", None, "words"]))][1] == 0
+    assert mine.encode_column(pa.array([], pa.string())) == []
+
+
 def test_token_files(spark, table):
     docs = [(k * 3, t) for k, t in enumerate(ODD)]
     target = token_files.new_folder(spark)
