@@ -60,6 +60,8 @@ BLOCK = 512
 BUCKETS = 512
 FREQUENT = 0.0005
 FREQUENT_LEAST = 4
+#: Size of the filter of documents whose texts are moved, 4 MB.
+KEY_BITS = 1 << 25
 
 _BUCKET = np.uint64(64 - 9)
 _SINGLE, _PAIR = np.uint64(0x51A3C2B1), np.uint64(0x9B97F4A7)
@@ -330,11 +332,25 @@ def _possible_units(units: DataFrame, owner: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
 
 
+def _may_hold(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc, row) may be among ``keys``: all that are, and few others.
+
+    The keys are bits at their hashes, of which there are KEY_BITS at most,
+    whatever the number of keys; more keys only let more other rows pass.
+    """
+    bit = F.xxhash64("doc", "row").bitwiseAND(F.lit(KEY_BITS - 1))
+    page, place = F.shiftright(bit, 15).alias("page"), bit.bitwiseAND(F.lit((1 << 15) - 1))
+    pages = stored(keys.groupBy(page).agg(F.bitmap_construct_agg(place).alias("bits")), "key_bits")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("int")) != 0
+    return docs.withColumn("page", page).join(pages, "page").where(held).select(docs.columns)
+
+
 def _texts(entities: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, text) of the given entities. The documents are shuffled for it, so it is done once for all uses."""
+    """(entity, text) of the given entities. Their documents are shuffled for it, so it is done once for all uses."""
+    wanted = stored(owner.join(entities.distinct(), "entity", "left_semi").select("entity", "doc", "row"), "wanted")
     # The wanted documents grow with the corpus, so they are never broadcast.
-    wanted = owner.join(entities.distinct(), "entity", "left_semi").select("entity", "doc", "row").hint("merge")
-    texts = wanted.join(docs, ["doc", "row"]).select("entity", "text")
+    texts = wanted.hint("merge").join(_may_hold(docs, wanted), ["doc", "row"]).select("entity", "text")
     return stored(texts.mapInArrow(_own_texts, "entity long, text string"), "texts")
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from labelops.llm import decontaminate, fingerprints, jaccard_join
 from labelops.llm.components import components
+from labelops.llm.rows import row_id, row_key
 
 
 def shingles(text, n=5):
@@ -153,3 +154,20 @@ def test_leaks_of_repeated_rows_and_items(table, spark):
     assert got == {(1, 1): (2, 1.0), (2, 1): (0, 1.0)}
     # Only the row with the passage goes.
     assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 3]
+
+
+def test_few_texts_are_moved(table, monkeypatch):
+    """Documents that no candidate names stay where they are; those that one names all come through."""
+    rows = [(k, f"text {k} has words{k} of its own{k} and more{k} of them{k}") for k in range(3000)] + [(None, "no id at all here"), (7, None)]
+    docs = table(rows).select(row_id().alias("doc"), "text", row_key().alias("row"))
+    keys = docs.where("doc % 100 = 5 or text like 'no id%'").select("doc", "row")
+    held = jaccard_join._may_hold(docs, keys)
+    assert held.columns == docs.columns
+    got = {r.text for r in held.collect()}
+    assert {t for k, t in rows if k is None or k % 100 == 5} <= got and len(got) < 40
+    assert jaccard_join._may_hold(docs, keys.where("false")).count() == 0
+    # With few bits other documents come through as well, and the join has the same result.
+    monkeypatch.setattr(jaccard_join, "KEY_BITS", 8)
+    assert {t for k, t in rows if k is None or k % 100 == 5} <= {r.text for r in jaccard_join._may_hold(docs, keys).collect()}
+    near = [(k, " ".join(f"w{k // 2}x{j}" for j in range(60)) + (" end" if k % 2 else "")) for k in range(20)]
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(table(near)).collect()} == {(k, k - k % 2) for k in range(20)}
