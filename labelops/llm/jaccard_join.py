@@ -23,9 +23,13 @@ similarity of at least 0.75. All links between different sets are found:
    is listed under the smallest entity of the key, its centre. All entities
    that share a key share its centre, so every candidate pair meets in the
    group of a centre.
-4. Counts of shingles per hash bucket bound each intersection from above; only
-   entities that pass the bound with another one of their group go on, so few
-   texts are moved.
+4. Bits at the hashes of the shingles tell how many of them a set must have for
+   itself, which bounds each intersection from above; only entities that pass
+   the bound with another one of their group go on, so few texts are moved. The
+   bits grow with the set, so that the bound tells long texts apart as well.
+   What may link in a group is split into its components, and a component that
+   several groups have is verified once: two linked texts meet under each centre
+   that shares a key with both by chance, and of these there are ever more.
    A group is verified exactly by set intersection, in tasks of at most
    BLOCK entities (or two blocks), which give back a spanning forest of the
    links found. Groups above BLOCK are first verified block by block, each
@@ -57,13 +61,15 @@ PERCENT = 75
 PAIR_SIZE = 48
 SLACK = 20
 BLOCK = 512
-BUCKETS = 512
+#: Bits of a set are a power of two of at least twice its size, or its size above this one.
+LONG = 2048
+#: Least and largest power, the latter for 16 KB.
+LEAST_BITS, MOST_BITS = 6, 17
 FREQUENT = 0.0005
 FREQUENT_LEAST = 4
-#: Size of the filter of documents whose texts are moved, 4 MB.
+#: Size of the filter of rows that are moved, 4 MB.
 KEY_BITS = 1 << 25
 
-_BUCKET = np.uint64(64 - 9)
 _SINGLE, _PAIR = np.uint64(0x51A3C2B1), np.uint64(0x9B97F4A7)
 
 
@@ -79,15 +85,23 @@ def _set_keys(values: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a]))[0].view(np.int64)), int((a ^ b).view(np.int64))
 
 
-def bucket_counts(values: np.ndarray) -> bytes:
-    """How many shingles fall into each of BUCKETS buckets, one byte each; empty if a count does not fit."""
-    counts = np.bincount((mix(values ^ np.uint64(0xB5026F5AA96619E9)) >> _BUCKET).astype(np.int64), minlength=BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+def level(size: int) -> int:
+    """Of how many bits a set has, the power; sizes of linked sets have the same or neighbouring ones."""
+    return max(LEAST_BITS, min(MOST_BITS, (size - 1).bit_length() + (size <= LONG)))
+
+
+def set_bits(values: np.ndarray) -> bytes:
+    """Bits at the hashes of the shingles of a set, none for an empty set. Halves laid over each other are those of half the length."""
+    if not len(values):
+        return b""
+    bits = np.zeros(1 << level(len(values)), bool)
+    bits[(mix(values ^ np.uint64(0xB5026F5AA96619E9)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set size and keys (doc not null); per partition its frequent shingles (doc null)."""
-    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary())])
     seen: set[int] = set()
     pending: list[np.ndarray] = []
     size = documents = 0
@@ -101,10 +115,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return held, np.bincount(where, np.concatenate((counts, n[keep])), len(held)).astype(np.int64)
 
     for batch in batches:
-        rows, counted = [], []
+        rows, marked = [], []
         for values in shingle_lists(batch.column(1).to_pylist()):
             values = np.unique(values)
-            counted.append(bucket_counts(values))
+            marked.append(set_bits(values))
             keys = _set_keys(values) if len(values) else (0, 0)
             rows.append((len(values), *keys))
             documents += 1
@@ -116,7 +130,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, counts = fold(held, counts)
                     pending, size = [], 0
         columns = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in columns.T), pa.array(counted, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in columns.T), pa.array(marked, pa.binary())], schema=schema)
     if pending:
         held, counts = fold(held, counts)
     often = counts >= max(FREQUENT_LEAST, FREQUENT * documents)
@@ -285,26 +299,43 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, side, entity, n, counts), sorted by unit, to those (unit, side, entity) that may link in their unit."""
+    """Rows (unit, side, entity, n, bits), sorted by unit and side, to those (unit, side, entity) that may link in their unit.
+
+    The units given back are the components of what may link, named by their rows.
+    """
 
     def passing(rows: list[tuple]) -> list[tuple]:
         sides = np.array([r[1] for r in rows])
-        names = np.array([r[2] for r in rows])
+        names = np.array([r[2] for r in rows], np.int64)
         sizes = np.array([r[3] for r in rows])
-        uncounted = np.array([not r[4] for r in rows])
-        counts = np.array([np.frombuffer(r[4] or bytes(BUCKETS), np.uint8) for r in rows])
+        widths = np.array([len(r[4]) for r in rows])
         two = len(set(sides.tolist())) > 1
-        passed = np.zeros(len(rows), bool)
-        for i in range(len(rows) - 1):
-            most = np.minimum(counts[i], counts[i + 1 :]).sum(axis=1, dtype=np.int64)
-            most = np.where(uncounted[i] | uncounted[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :]), most)
-            near = (100 * most >= PERCENT * (sizes[i] + sizes[i + 1 :] - most)) & (names[i + 1 :] != names[i])
-            if two:
-                near &= sides[i + 1 :] != sides[i]
-            if near.any():
-                passed[i] = True
-                passed[i + 1 :] |= near
-        return [r[:3] for r, ok in zip(rows, passed) if ok]
+        part = np.arange(len(rows))
+        for width in np.unique(widths).tolist():
+            # Sets with twice as many bits are folded; those with others are too large or too small.
+            own, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+            at = np.concatenate((own, wider))
+            words = np.frombuffer(b"".join(rows[i][4] for i in at.tolist()), np.uint64)
+            split = len(own) * width // 8
+            folded = np.bitwise_or.reduce(words[split:].reshape(len(wider), 2, width // 8), axis=1)
+            words = np.concatenate((words[:split].reshape(len(own), width // 8), folded))
+            for i, one in enumerate(own.tolist()):
+                rest = at[i + 1 :]
+                fit = 100 * np.minimum(sizes[one], sizes[rest]) >= PERCENT * np.maximum(sizes[one], sizes[rest])
+                fit &= names[rest] != names[one]
+                if two:
+                    fit &= sides[rest] != sides[one]
+                rest, others = rest[fit], words[i + 1 :][fit]
+                most = sizes[one] - np.bitwise_count(words[i] & ~others).sum(axis=1, dtype=np.int64)
+                most = np.minimum(most, sizes[rest] - np.bitwise_count(others & ~words[i]).sum(axis=1, dtype=np.int64))
+                near = rest[100 * most >= PERCENT * (sizes[one] + sizes[rest] - most)]
+                if len(near):
+                    part[np.isin(part, part[near])] = part[one]
+        _, part, held = np.unique(part, return_inverse=True, return_counts=True)
+        unit = np.zeros(len(held), np.uint64)
+        np.add.at(unit, part, mix(names.view(np.uint64) * np.uint64(3) + sides.astype(np.uint64)))
+        unit = mix(unit).view(np.int64)
+        return [(int(unit[k]), r[1], r[2]) for k, r in zip(part.tolist(), rows) if held[k] > 1]
 
     schema = pa.schema([("unit", pa.int64()), ("side", pa.int32()), ("entity", pa.int64())])
     for rows in _by_unit(batches, 5):
@@ -325,29 +356,37 @@ def _by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[t
         yield rows
 
 
-def _possible_units(units: DataFrame, owner: DataFrame) -> DataFrame:
-    """The entities of units (unit, side, entity) that may link there by their bucket counts."""
-    counted = units.join(owner.select("entity", "n", "counts"), "entity").select("unit", "side", "entity", "n", "counts")
-    dealt = counted.repartition("unit").sortWithinPartitions("unit", "side", "entity")
-    return stored(dealt.mapInArrow(_possible, "unit long, side int, entity long"), "possible")
+def _possible_units(units: DataFrame, marked: DataFrame) -> DataFrame:
+    """Units of the entities of units (unit, side, entity) that may link there by their bits (entity, n, bits)."""
+    rows = units.join(marked, "entity").select("unit", "side", "entity", "n", "bits")
+    dealt = rows.repartition("unit").sortWithinPartitions("unit", "side", "entity")
+    return stored(dealt.mapInArrow(_possible, "unit long, side int, entity long").distinct(), "possible")
 
 
-def _may_hold(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc, row) may be among ``keys``: all that are, and few others.
+def _may_hold(rows: DataFrame, keys: DataFrame, by: tuple[str, ...] = ("doc", "row")) -> DataFrame:
+    """The rows whose columns ``by`` may be among ``keys``: all that are, and few others.
 
     The keys are bits at their hashes, of which there are KEY_BITS at most,
-    whatever the number of keys; more keys only let more other rows pass.
+    whatever the number of keys; more keys only let more other rows pass. So
+    they are never too many to broadcast, which keeps ``rows`` where they are.
     """
-    bit = F.xxhash64("doc", "row").bitwiseAND(F.lit(KEY_BITS - 1))
+    bit = F.xxhash64(*by).bitwiseAND(F.lit(KEY_BITS - 1))
     page, place = F.shiftright(bit, 15).alias("page"), bit.bitwiseAND(F.lit((1 << 15) - 1))
-    pages = stored(keys.groupBy(page).agg(F.bitmap_construct_agg(place).alias("bits")), "key_bits")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    pages = stored(keys.groupBy(page).agg(F.bitmap_construct_agg(place).alias("held")), "key_bits")
+    byte = F.conv(F.hex(F.substring("held", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = byte.bitwiseAND(F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("int")) != 0
-    return docs.withColumn("page", page).join(pages, "page").where(held).select(docs.columns)
+    return rows.withColumn("page", page).join(F.broadcast(pages), "page").where(held).select(rows.columns)
+
+
+def _marked(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(entity, n, bits) of all members of groups."""
+    members = stars.select("entity").union(stars.select("centre"))
+    marked = _may_hold(sets.where("n > 0").select("entity", "n", "bits"), members, ("entity",))
+    return stored(marked.groupBy("entity").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "marked")
 
 
 def _texts(entities: DataFrame, owner: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, text) of the given entities. Their documents are shuffled for it, so it is done once for all uses."""
+    """(entity, text) of the given entities. Their documents are shuffled for it, so none is asked for twice."""
     wanted = stored(owner.join(entities.distinct(), "entity", "left_semi").select("entity", "doc", "row"), "wanted")
     # The wanted documents grow with the corpus, so they are never broadcast.
     texts = wanted.hint("merge").join(_may_hold(docs, wanted), ["doc", "row"]).select("entity", "text")
@@ -374,8 +413,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # Texts are found again by keys that neither null nor repeated ids blur.
     docs = docs.select(row_id().alias("doc"), "text", row_key().alias("row"))
-    scanned = stored(docs.mapInArrow(_scan, "doc long, row long, n long, k1 long, k2 long, counts binary"), "sets")
-    sets = scanned.where("k2 is not null").select("doc", "row", "n", F.col("k1").alias("entity"), "counts")
+    scanned = stored(docs.mapInArrow(_scan, "doc long, row long, n long, k1 long, k2 long, bits binary"), "sets")
+    sets = scanned.where("k2 is not null").select("doc", "row", "n", F.col("k1").alias("entity"), "bits")
 
     # At most 1 / FREQUENT * (mean size of a set) shingles pass this filter.
     total = sets.count()
@@ -389,23 +428,25 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     stars = _grouped(_listed(docs.select("text"), frequent, rank))
 
-    owner = sets.where("n > 0").groupBy("entity").agg(
-        F.min(F.struct("doc", "row")).alias("key"), F.min(id_of()).alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts")
-    )
-    owner = stored(owner.select("entity", "key.*", "id", "n", "counts"), "owners")
+    owner = sets.where("n > 0").groupBy("entity").agg(F.min(F.struct("doc", "row")).alias("key"), F.min(id_of()).alias("id"))
+    owner = stored(owner.select("entity", "key.*", "id"), "owners")
     spot = F.when(F.col("blocks").isNull(), 0).otherwise(_spot("blocks"))
     members = stars.select("centre", spot.alias("spot"), "entity")
     heads = members.select("centre", "spot").distinct().select("centre", "spot", F.col("centre").alias("entity"))
     units = members.union(heads).select(F.xxhash64("centre", "spot").alias("unit"), F.lit(0).alias("side"), "entity")
-    units = _possible_units(units, owner)
-    large = stars.where("blocks is not null")
-    later = large.select("entity").union(large.select("centre"))
-    texts = _texts(units.select("entity").union(later), owner, docs)
+    marked = _marked(stars, sets)
+    units = _possible_units(units, marked)
+    texts = _texts(units.select("entity"), owner, docs)
     links = _links(units, texts)
     found = components(links)
 
+    large = stars.where("blocks is not null")
     if not large.isEmpty():
-        links = links.union(_links(_possible_units(_apart(large, found), owner), texts))
+        units = _possible_units(_apart(large, found), marked)
+        more = stored(units.select("entity").distinct().join(texts.select("entity"), "entity", "left_anti"), "more")
+        if not more.isEmpty():
+            texts = texts.union(_texts(more, owner, docs))
+        links = links.union(_links(units, texts))
         found = components(links)
 
     roots = found.select(F.col("node").alias("entity"), "root")

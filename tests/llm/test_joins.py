@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelops.llm import decontaminate, fingerprints, jaccard_join
@@ -171,3 +173,40 @@ def test_few_texts_are_moved(table, monkeypatch):
     assert {t for k, t in rows if k is None or k % 100 == 5} <= {r.text for r in jaccard_join._may_hold(docs, keys).collect()}
     near = [(k, " ".join(f"w{k // 2}x{j}" for j in range(60)) + (" end" if k % 2 else "")) for k in range(20)]
     assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(table(near)).collect()} == {(k, k - k % 2) for k in range(20)}
+
+
+def test_bits_tell_long_sets_apart(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 7, 60, 64, 65, 600, 2040, 2049, 5000, 6000, 6000]
+    sets = {k: rng.integers(0, 1 << 63, n).astype(np.uint64) for k, n in enumerate(sizes)}
+    # Linked with a set of other bits, as twice as many or folded from them, and by the least overlap.
+    for k, n in list(enumerate(sizes))[3:10]:
+        least = -(-75 * n // 100)
+        sets[100 + k] = sets[k][:least]
+        sets[200 + k] = np.concatenate((sets[k], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)))
+    assert {jaccard_join.level(n) - jaccard_join.level(-(-75 * n // 100)) for n in range(1, 9000)} <= {0, 1}
+
+    def possible(units):
+        rows = [(u, side, k, len(sets[k]), jaccard_join.set_bits(np.unique(sets[k]))) for u, side, k in units]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["unit", "side", "entity", "n", "bits"])
+        out = {}
+        for b in jaccard_join._possible(iter([batch])):
+            for unit, side, k in zip(*(c.to_pylist() for c in b.columns)):
+                out.setdefault(unit, set()).add((side, k))
+        return sorted(map(sorted, out.values()))
+
+    together = [[(0, k), (0, 100 + k), (0, 200 + k)] for k in range(3, 10)]
+    for most in (17, 8):
+        monkeypatch.setattr(jaccard_join, "MOST_BITS", most)
+        got = possible([(1, 0, k) for k in sorted(sets)])
+        for family in together:
+            assert any(set(family) <= set(found) for found in got), family
+        if most == 17:
+            # Sets that share nothing stay behind, long ones too.
+            assert [f for f in got if any(k % 100 >= 6 for _, k in f)] == sorted(f for f in together if f[0][1] >= 6)
+    # A pair that meets in several groups is one unit; two sides are compared with each other only.
+    monkeypatch.undo()
+    assert possible([(u, 0, k) for u in range(4) for k in (9, 10 + u % 2, 109)]) == [[(0, 9), (0, 109)]]
+    assert possible([(5, 0, 9), (5, 0, 109), (5, 1, 10)]) == []
+    assert possible([(5, 0, 9), (5, 0, 10), (5, 1, 109)]) == [[(0, 9), (1, 109)]]
